@@ -1,6 +1,7 @@
 """The queries of the training-data operators, and their DuckDB SQL where SQL can express them."""
 
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .substring_dedup import OP2_SQL, op2_substring_dedup
 
-QUERIES = {"op1_decontaminate": op1_decontaminate}
-ORACLE_SQL = {"op1_decontaminate": OP1_SQL}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_substring_dedup": op2_substring_dedup}
+ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op2_substring_dedup": OP2_SQL}

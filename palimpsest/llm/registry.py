@@ -1,7 +1,8 @@
 """The queries of the training-data operators, and their DuckDB SQL where SQL can express them."""
 
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .jaccard_join import OP3_SQL, op3_jaccard_join
 from .substring_dedup import OP2_SQL, op2_substring_dedup
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_substring_dedup": op2_substring_dedup}
-ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op2_substring_dedup": OP2_SQL}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_substring_dedup": op2_substring_dedup, "op3_jaccard_join": op3_jaccard_join}
+ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op3_jaccard_join": OP3_SQL}

@@ -2,7 +2,17 @@
 
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .jaccard_join import OP3_SQL, op3_jaccard_join
+from .packing import op6_pack
 from .substring_dedup import OP2_SQL, op2_substring_dedup
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_substring_dedup": op2_substring_dedup, "op3_jaccard_join": op3_jaccard_join}
-ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op3_jaccard_join": OP3_SQL}
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_jaccard_join": op3_jaccard_join,
+    "op6_pack": op6_pack,
+}
+ORACLE_SQL = {
+    "op1_decontaminate": OP1_SQL,
+    "op2_substring_dedup": OP2_SQL,
+    "op3_jaccard_join": OP3_SQL,
+}

@@ -1,7 +1,9 @@
 """The queries of the training-data operators, and their DuckDB SQL where SQL can express them."""
 
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .fingerprint import op7_fingerprint
 from .jaccard_join import OP3_SQL, op3_jaccard_join
+from .line_dedup import OP5_SQL, op5_line_dedup
 from .packing import op6_pack
 from .substring_dedup import OP2_SQL, op2_substring_dedup
 
@@ -9,10 +11,13 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_jaccard_join": op3_jaccard_join,
+    "op5_line_dedup": op5_line_dedup,
     "op6_pack": op6_pack,
+    "op7_fingerprint": op7_fingerprint,
 }
 ORACLE_SQL = {
     "op1_decontaminate": OP1_SQL,
     "op2_substring_dedup": OP2_SQL,
     "op3_jaccard_join": OP3_SQL,
+    "op5_line_dedup": OP5_SQL,
 }

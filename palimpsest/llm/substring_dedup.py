@@ -7,7 +7,7 @@ removed when a window that covers it starts earlier as well (smaller doc_id, or
    it touched as byte-coded gaps, cut into slices. Slices are merged by addition; what is kept is one bit a counter:
    two or more. A window whose bits are both set is estimated repeated; estimates are never too low.
 2. Exact pass. Only windows estimated repeated go on. Within a chunk all but the earliest occurrence are marked at once,
-   so a window contributes one row a chunk to the shuffle however often it occurs. Those rows are ranked by 96-bit window hash;
+   so a window contributes one row a chunk to the shuffle however often it occurs. Those rows are ranked by 95-bit window hash;
    all but the first are marked. Nothing is lost to the sketch: it only spares windows that occur once.
 3. Marks are gathered by document and applied to its words.
 
@@ -37,7 +37,9 @@ SLICE = 1 << 22
 ROWS = 2
 _ROLL, _CHECK = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 KEY = -(1 << 63)
-ROW = T.StructType([T.StructField(n, t) for n, t in (("h", T.LongType()), ("h2", T.IntegerType()), ("doc", T.LongType()), ("start", T.IntegerType()), ("length", T.IntegerType()))])
+#: A row of the exact pass, packed: the last bit of h is 0 for an occurrence (high half of `at`: 32 more hash bits) and 1
+#: for a run of known later starts (high half: its length). The low half of `at` is the start.
+ROW = T.StructType([T.StructField(n, T.LongType()) for n in ("h", "at", "doc")])
 
 
 def gaps(index: np.ndarray) -> bytes:
@@ -133,8 +135,8 @@ def sketch(docs: DataFrame, size: int, width: int) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame, size: int, width: int, bits) -> DataFrame:
-    """ROWs: the earliest occurrence in its chunk of each window estimated repeated (length 0), and runs of starts already
-    known to be later ones (length > 0)."""
+    """ROWs: the earliest occurrence in its chunk of each window estimated repeated, and runs of starts already known to be
+    later ones."""
 
     def find(batches):
         sieve = bits.value
@@ -144,7 +146,7 @@ def occurrences(docs: DataFrame, size: int, width: int, bits) -> DataFrame:
                 at = at.astype(np.int64)
                 keep &= (sieve[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
             keep = np.flatnonzero(keep)
-            h, h2, doc, start = h[keep], h2[keep], doc[keep], start[keep]
+            h, h2, doc, start = h[keep] & ~U(1), h2[keep], doc[keep], start[keep]
             order = np.lexsort((start, doc, h2, h))
             h, h2, doc, start = h[order], h2[order], doc[order], start[order]
             new = np.ones(len(h), bool)
@@ -161,11 +163,9 @@ def occurrences(docs: DataFrame, size: int, width: int, bits) -> DataFrame:
             ends = np.append(runs[1:], len(d)) - 1
             length = (s[ends] - s[runs] + 1).astype(np.int32) if len(d) else np.zeros(0, np.int32)
             d, s = d[runs], s[runs]
-            spread = mix(d.astype(np.int64).view(U) ^ (s.astype(U) << U(40)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([h[new], spread]).view(np.int64)), pa.array(np.concatenate([h2[new], np.zeros(len(d), np.int32)])), pa.array(np.concatenate([doc[new], d])), pa.array(np.concatenate([start[new], s])), pa.array(np.concatenate([np.zeros(int(new.sum()), np.int32), length]))],
-                ROW.names,
-            )
+            spread = mix(d.astype(np.int64).view(U) ^ (s.astype(U) << U(40))) | U(1)
+            at = np.concatenate([h2[new].astype(np.int64), length.astype(np.int64)]) << 32 | np.concatenate([start[new], s]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[new], spread]).view(np.int64)), pa.array(at), pa.array(np.concatenate([doc[new], d]))], ROW.names)
 
     return docs.mapInArrow(find, ROW)
 
@@ -175,9 +175,14 @@ def marks(docs: DataFrame, size: int = WINDOW, counters_per_byte: float = 0.35,
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = int(min(max(n_bytes * counters_per_byte, SLICE / 2), max_sketch_bytes * 8 / ROWS))
     bits = docs.sparkSession.sparkContext.broadcast(sketch(docs, size, width))
-    ranked = occurrences(docs, size, width, bits).withColumn("rank", F.rank().over(Window.partitionBy("h", "h2").orderBy("doc", "start")))
-    later = ranked.where((F.col("length") > 0) | (F.col("rank") > 1))
-    return later.groupBy("doc").agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 32) + F.greatest("length", F.lit(1))).alias("runs"))
+    rows = occurrences(docs, size, width, bits)
+    high, start = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit(0x7FFFFFFF).cast("long"))
+    known = F.col("h").bitwiseAND(F.lit(1).cast("long")) == 1
+    # One exchange by h serves the window by (h, high).
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranked = rows.repartition(parts, "h").withColumn("high", high).withColumn("rank", F.rank().over(Window.partitionBy("h", "high").orderBy("doc", "at")))
+    later = ranked.where(known | (F.col("rank") > 1))
+    return later.groupBy("doc").agg(F.collect_list(F.shiftleft(start, 32) + F.when(known, F.col("high")).otherwise(1)).alias("runs"))
 
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = WINDOW, with_text: bool = True, **options) -> DataFrame:

@@ -5,15 +5,19 @@ from .fingerprint import op7_fingerprint
 from .jaccard_join import OP3_SQL, op3_jaccard_join
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .packing import op6_pack
+from .quality import op10_quality
+from .secret_scan import op4_secret_scan
 from .substring_dedup import OP2_SQL, op2_substring_dedup
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_secret_scan": op4_secret_scan,
     "op5_line_dedup": op5_line_dedup,
     "op6_pack": op6_pack,
     "op7_fingerprint": op7_fingerprint,
+    "op10_quality": op10_quality,
 }
 ORACLE_SQL = {
     "op1_decontaminate": OP1_SQL,

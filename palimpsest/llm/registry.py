@@ -8,6 +8,7 @@ from .packing import op6_pack
 from .quality import op10_quality
 from .secret_scan import op4_secret_scan
 from .substring_dedup import OP2_SQL, op2_substring_dedup
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_pack": op6_pack,
     "op7_fingerprint": op7_fingerprint,
+    "op8_toxicity": op8_toxicity,
     "op10_quality": op10_quality,
 }
 ORACLE_SQL = {

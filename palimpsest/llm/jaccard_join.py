@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import components, saved
+from .components import components, rows_of, saved
 from .kernel import SPACED_FOLDED, U, Words, mix, row_blocks, with_columns
 
 SHINGLE = 3
@@ -242,7 +242,7 @@ def verified_edges(members: DataFrame, percent: int, size: int, block: int) -> D
     return members.repartition(parts, "comp", "a", "b").sortWithinPartitions("comp", "a", "b").mapInArrow(check, "u long, v long").distinct()
 
 
-def join(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 90, size: int = SHINGLE, block: int = 512) -> DataFrame:
+def join(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 90, size: int = SHINGLE, block: int = 192) -> DataFrame:
     """id, n_shingles, class_id (least id of an equal set) and component_id (least id reachable by links)."""
     docs = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
 

@@ -3,6 +3,7 @@
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .fingerprint import op7_fingerprint
 from .jaccard_join import OP3_SQL, op3_jaccard_join
+from .language_id import op9_language_id
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .packing import op6_pack
 from .quality import op10_quality
@@ -19,8 +20,18 @@ QUERIES = {
     "op6_pack": op6_pack,
     "op7_fingerprint": op7_fingerprint,
     "op8_toxicity": op8_toxicity,
+    "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
 }
+
+
+def _pipeline(spark, sf_dir):
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = _pipeline
 ORACLE_SQL = {
     "op1_decontaminate": OP1_SQL,
     "op2_substring_dedup": OP2_SQL,

@@ -1 +1 @@
-
+"""Scalar building blocks: ids, paths, times, and predicates between file versions."""

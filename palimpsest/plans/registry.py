@@ -1,4 +1,9 @@
 """Names of queries -> DataFrame builders and DuckDB SQL."""
 
+from . import merging
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _part in (merging,):
+    QUERIES.update(_part.QUERIES)
+    ORACLE_SQL.update(_part.ORACLE_SQL)

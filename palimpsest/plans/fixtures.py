@@ -55,7 +55,7 @@ def snapshot_id(snap):
 def snapshots(spark: SparkSession) -> DataFrame:
     """snap, snapshot_id, created, memo, system: one row a snapshot."""
     s = spark.range(1, SNAPSHOTS + 1, 1, 1).select(F.col("id").cast("int").alias("snap"))
-    return s.select("snap", snapshot_id(F.col("snap")).alias("snapshot_id"), (START_MS + F.col("snap") * DAY_MS).cast("bigint").alias("created"), F.concat(F.lit("day "), F.col("snap").cast("string")).alias("memo"))
+    return s.select("snap", snapshot_id(F.col("snap")).alias("snapshot_id"), (START_MS + F.col("snap").cast("bigint") * DAY_MS).alias("created"), F.concat(F.lit("day "), F.col("snap").cast("string")).alias("memo"))
 
 
 def refs(spark: SparkSession) -> DataFrame:

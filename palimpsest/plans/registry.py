@@ -1,9 +1,9 @@
 """Names of queries -> DataFrame builders and DuckDB SQL."""
 
-from . import merging
+from . import browsing, merging, storage
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _part in (merging,):
+for _part in (merging, storage, browsing):
     QUERIES.update(_part.QUERIES)
     ORACLE_SQL.update(_part.ORACLE_SQL)

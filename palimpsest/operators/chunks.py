@@ -47,10 +47,8 @@ class Roller:
             return
         b = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
         rolled = np.zeros(n, np.uint64)
-        power = np.uint64(1)
         for j in range(w):  # the byte j before the end of the window counts base ** j
-            rolled[w - 1 :] += b[w - 1 - j : n - j] * power
-            power *= np.uint64(self.base)
+            rolled[w - 1 :] += b[w - 1 - j : n - j] * np.uint64(pow(self.base, j, 1 << 64))
         hit = np.flatnonzero((((rolled ^ (rolled >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)) & np.uint64(self.mask) == 0) + 1
         hit = hit[hit >= w]
         start = 0

@@ -95,14 +95,18 @@ class IdFilter:
         return out
 
 
-def rows_of(df: DataFrame, id: str, ids: DataFrame, n: int) -> DataFrame:
-    """The rows of `df` whose long `id` is among the `n` of `ids` (one column), and few others: for the map side of a join."""
+def rows_of(df: DataFrame, id: str, ids: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """`df` in two: rows whose long `id` is among the `n` of `ids` (one column) and a few others, for the map side of a join;
+    and the rest, surely not among them."""
     sieve = df.sparkSession.sparkContext.broadcast(IdFilter(ids, n))
 
-    def keep(batches):
-        for batch in batches:
-            column = batch.column(id)
-            passed = sieve.value.passes(column.fill_null(0).to_numpy()) & column.is_valid().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(passed))
+    def part(wanted: bool):
+        def keep(batches):
+            for batch in batches:
+                column = batch.column(id)
+                passed = sieve.value.passes(column.fill_null(0).to_numpy()) & column.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(passed == wanted))
+
+        return df.mapInArrow(keep, df.schema)
 
-    return df.mapInArrow(keep, df.schema)
+    return part(True), part(False)

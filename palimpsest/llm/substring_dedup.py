@@ -9,7 +9,7 @@ removed when a window that covers it starts earlier as well (smaller doc_id, or
 2. Exact pass. Only windows estimated repeated go on. Within a chunk all but the earliest occurrence are marked at once,
    so a window contributes one row a chunk to the shuffle however often it occurs. Those rows are ranked by 95-bit window hash;
    all but the first are marked. Nothing is lost to the sketch: it only spares windows that occur once.
-3. Marks are gathered by document and applied to its words.
+3. Marks are gathered by document, saved, and applied to its words; documents without marks stay where they lie.
 
 The sketch has `counters_per_byte` counters a row and byte of text, `max_sketch_bytes` of bits at most: that bounds the
 broadcast. Beyond it the prefilter spares fewer windows and the results stay the same.
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .components import rows_of, saved
 from .kernel import SPACED, U, Words, mix, row_blocks, windows, with_columns
 
 WINDOW = 20
@@ -188,7 +189,10 @@ def marks(docs: DataFrame, size: int = WINDOW, counters_per_byte: float = 0.35,
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = WINDOW, with_text: bool = True, **options) -> DataFrame:
     """id, n_words, n_removed, kept_sha256 and, on request, kept_text: the kept words joined by one space."""
     docs = docs.select(F.col(id).alias("id"), F.coalesce(F.col(id), F.lit(KEY)).cast("long").alias("doc"), F.col(text).alias("text"))
-    found = docs.join(marks(docs.select("doc", "text"), size, **options), "doc", "left")
+    marked = saved(marks(docs.select("doc", "text"), size, **options), "marks")
+    # Only texts that marks may touch are shuffled; a bounded filter of their ids tells.
+    touched, rest = rows_of(docs, "doc", marked.select("doc"), marked.count())
+    found = touched.join(marked, "doc", "left").unionByName(rest.withColumn("runs", F.lit(None).cast("array<bigint>")))
 
     def make():
         def block(batch, data, offsets):

@@ -5,10 +5,15 @@ A document's set is its distinct 3-word shingles (lower-cased ASCII, words split
 
 Signatures. Set sizes fall into bands such that linked sets are in the same or neighbouring bands; an instance serves two
 neighbouring bands, and its equal-size-band sets differ in at most k elements if linked. An instance divides the shingle
-domain by hash into k + 1 + z parts. Two linked sets then agree on z + 1 whole parts at least, so the enumeration of
-single parts is complete even if each set leaves out up to z of its parts with few elements; a set with more thin parts
-than z leaves out none. (Agreed parts are equal in both sets: either one of them isn't thin, or all z + 1 are, and then
-both sets emit them.) Every signature is a hash of one part's elements.
+domain by hash into 2 (k + 1) parts, so two linked sets agree on k + 2 whole parts at least. A signature is a hash of one
+part's elements. The enumeration of single parts is complete even though
+
+* a part with an element that no other set has emits none, as it agrees with nothing: a count-min sketch of all shingles
+  tells which may be repeated (never too few);
+* of the other parts, the last k + 1 in an order that content alone decides (fullest first) emit none: of k + 2 agreed
+  parts, the first in that order is not among the last k + 1 of either set.
+
+So a set that shares less than about the linking part of its shingles with the rest of the corpus emits nothing at all.
 
 Candidates. Sets that share a signature are chained, not paired: each task keeps one row a signature, the shuffle brings
 together at most one row a task, and neighbours in a signature's list make an edge. Components of these edges hold all
@@ -32,9 +37,10 @@ from pyspark.sql import types as T
 
 from .components import components, rows_of, saved
 from .kernel import SPACED_FOLDED, U, Words, mix, row_blocks, with_columns
+from .sketch import maybe_repeated, repeated_bits, width_for
 
 SHINGLE = 3
-CHUNK = 1 << 20
+CHUNK = 1 << 21
 _ROLL = U(0xFF51AFD7ED558CCD)
 
 
@@ -78,31 +84,38 @@ def bands(percent: int, most: int = 1 << 40) -> np.ndarray:
     return np.array(ends, np.int64)
 
 
-def signatures(rows: np.ndarray, value: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, row) of n sets, by PartEnum."""
+def signatures(rows: np.ndarray, value: np.ndarray, n: int, percent: int, repeated: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, row) of n sets, by PartEnum. `repeated`: which elements other sets may have as well (all, by default)."""
     ends = bands(percent)
     size = np.bincount(rows, minlength=n)
     band = np.searchsorted(ends, size)
     spread, weight = mix(value ^ U(0x2545F4914F6CDD1D)) >> U(32), mix(value ^ U(0x9FB21C651E98DF25))
-    out_s, out_r = [], []
+    single = np.zeros(len(value), bool) if repeated is None else ~repeated
+    out_s, out_r = [np.zeros(0, U)], [np.zeros(0, np.int64)]
     for step in (0, 1):
         instance = band + step
         k = 2 * ends[instance] * (100 - percent) // (100 + percent)
-        z = np.maximum(1, (k + 1) // 12)
-        parts = np.where((size > 0) & (k > 0), k + 1 + z, 0)
+        # Every single element is a difference to any other set: with more than k of them a set links with none.
+        alive = (size > 0) & (k > 0) & (np.bincount(rows[single], minlength=n) <= k)
+        parts = np.where(alive, 2 * (k + 1), 0)
         base = np.concatenate([[0], np.cumsum(parts)])
-        use = parts[rows] > 0
+        use = alive[rows]
         r = rows[use]
         code = base[r] + ((spread[use] * parts[r].astype(U)) >> U(32)).astype(np.int64)
-        total, inside = sums(code, weight[use], int(base[-1])), np.bincount(code, minlength=int(base[-1]))
+        m = int(base[-1])
+        total, inside = sums(code, weight[use], m), np.bincount(code, minlength=m)
+        shared = np.bincount(code[single[use]], minlength=m) == 0
         row = np.repeat(np.arange(n), parts)
-        part = np.arange(len(row)) - base[row]
-        thin = inside <= np.maximum(1, size // np.maximum(parts, 1) // 3)[row]
-        emits_all = np.bincount(row[thin], minlength=n) > z
-        keep = ~thin | emits_all[row]
-        row, part = row[keep], part[keep]
-        out_s.append(mix(total[keep] ^ mix((instance[row].astype(U) << U(40)) ^ part.astype(U) ^ U(0xA0761D6478BD642F))))
-        out_r.append(row)
+        part = np.arange(m) - base[row]
+        # Parts that can agree, fullest first; the last k + 1 of them are left out.
+        row, part, total, inside = row[shared], part[shared], total[shared], inside[shared]
+        s = mix(total ^ mix((instance[row].astype(U) << U(40)) ^ part.astype(U) ^ U(0xA0761D6478BD642F)))
+        order = np.lexsort((s, -inside, row))
+        row, s = row[order], s[order]
+        first = np.searchsorted(row, np.arange(n + 1))
+        keep = np.arange(len(row)) - first[row] < (np.diff(first) - (k + 1))[row]
+        out_s.append(s[keep])
+        out_r.append(row[keep])
     return np.concatenate(out_s), np.concatenate(out_r)
 
 
@@ -121,9 +134,25 @@ def _chain(s: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _distinct(u, v)
 
 
+def _values(batches, size: int):
+    """Shingles of a partition in chunks, each once a document."""
+    held, n = [], 0
+    for _, data, offsets in row_blocks(batches, "text"):
+        held.append(shingles(data, offsets, size)[1])
+        n += len(held[-1])
+        if n >= CHUNK:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if n:
+        yield np.concatenate(held)
+
+
 def candidate_edges(docs: DataFrame, percent: int, size: int = SHINGLE) -> DataFrame:
     """u, v: digests of sets that may link, as chains. A chunk's own edges pass through the shuffle under a null signature."""
 
+    width = width_for(docs)
+    bits = docs.sparkSession.sparkContext.broadcast(repeated_bits(docs.select("text"), lambda batches: _values(batches, size), width))
+
     def local(batches):
         held, n = [], 0
 
@@ -138,13 +167,13 @@ def candidate_edges(docs: DataFrame, percent: int, size: int = SHINGLE) -> DataF
         for block, data, offsets in row_blocks(batches, "text"):
             rows, value = shingles(data, offsets, size)
             first, _ = digests(rows, value, block.num_rows)
-            s, row = signatures(rows, value, block.num_rows, percent)
+            s, row = signatures(rows, value, block.num_rows, percent, maybe_repeated(bits.value, value, width))
             held.append((s, first[row]))
             n += len(s)
             if n >= CHUNK:
                 yield flush()
                 held, n = [], 0
-        if n:
+        if held:
             yield flush()
 
     def meet(batches):

@@ -31,11 +31,10 @@ from pyspark.sql import types as T
 
 from .components import rows_of, saved
 from .kernel import SPACED, U, Words, mix, row_blocks, windows, with_columns
+from .sketch import COUNTERS_PER_BYTE, MAX_BYTES, maybe_repeated, repeated_bits, width_for
 
 WINDOW = 20
 CHUNK = 1 << 21
-SLICE = 1 << 22
-ROWS = 2
 _ROLL, _CHECK = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 KEY = -(1 << 63)
 #: A row of the exact pass, packed: the last bit of h is 0 for an occurrence (high half of `at`: 32 more hash bits) and 1
@@ -43,23 +42,6 @@ KEY = -(1 << 63)
 ROW = T.StructType([T.StructField(n, T.LongType()) for n in ("h", "at", "doc")])
 
 
-def gaps(index: np.ndarray) -> bytes:
-    """Sorted distinct numbers as bytes: each gap is 255 as often as it fits, then the rest below 255."""
-    if not len(index):
-        return b""
-    gap = np.diff(index, prepend=np.int64(-1)).astype(np.int64) - 1
-    at = np.cumsum(gap // 255 + 1) - 1
-    out = np.full(int(at[-1]) + 1, 255, np.uint8)
-    out[at] = gap % 255
-    return out.tobytes()
-
-
-def ungaps(data: bytes) -> np.ndarray:
-    code = np.frombuffer(data, np.uint8)
-    ends = np.flatnonzero(code != 255)
-    return np.cumsum(code, dtype=np.int64)[ends] + np.arange(len(ends))
-
-
 class Chunks:
     """Windows of a partition in chunks of about CHUNK: key of the document, start, and hashes."""
 
@@ -91,48 +73,9 @@ class Chunks:
         return [np.concatenate(x) if x[0] is not None else None for x in zip(*held, strict=True)]
 
 
-def counters(h: np.ndarray, width: int):
-    """The counter of each hash in each row of the sketch."""
-    low, high = h & U(0xFFFFFFFF), h >> U(32)
-    yield (low * U(width)) >> U(32)
-    yield ((high * U(width)) >> U(32)) + U(width)
-
-
 def sketch(docs: DataFrame, size: int, width: int) -> np.ndarray:
     """The bits of counters that are two or more, over all windows of `docs` (doc, text)."""
-
-    def local(batches):
-        for (h, *_) in Chunks(batches, size, False):
-            touched = np.sort(np.concatenate(list(counters(h, width))).astype(np.int64))
-            first = np.ones(len(touched), bool)
-            first[1:] = touched[1:] != touched[:-1]
-            once = touched[first]
-            twice = np.diff(np.append(np.flatnonzero(first), len(touched))) > 1
-            bounds = np.arange(0, 2 * width + SLICE, SLICE)
-            cut = np.searchsorted(once, bounds)
-            parts = [(k, gaps(once[a:b] - bounds[k]), gaps(once[a:b][twice[a:b]] - bounds[k])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-            k, x, y = zip(*parts, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["slice", "once", "twice"])
-
-    def merge(batches):
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, once, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                count = held.setdefault(k, np.zeros(SLICE, np.uint8))
-                for part in (once, twice):
-                    at = ungaps(part)
-                    count[at] = np.minimum(count[at] + 1, 2)
-        for k, count in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(count > 1).tobytes()], pa.binary())], ["slice", "bits"])
-
-    spark = docs.sparkSession
-    n = -(-2 * width // SLICE)
-    parts = min(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    merged = docs.mapInArrow(local, "slice int, once binary, twice binary").repartition(parts, "slice").mapInArrow(merge, "slice int, bits binary")
-    bits = np.zeros(n * SLICE // 8, np.uint8)
-    for r in merged.toLocalIterator():
-        bits[r.slice * (SLICE // 8) : (r.slice + 1) * (SLICE // 8)] = np.frombuffer(r.bits, np.uint8)
-    return bits
+    return repeated_bits(docs, lambda batches: (h for h, *_ in Chunks(batches, size, False)), width)
 
 
 def occurrences(docs: DataFrame, size: int, width: int, bits) -> DataFrame:
@@ -142,11 +85,7 @@ def occurrences(docs: DataFrame, size: int, width: int, bits) -> DataFrame:
     def find(batches):
         sieve = bits.value
         for h, h2, doc, start in Chunks(batches, size, True):
-            keep = np.ones(len(h), bool)
-            for at in counters(h, width):
-                at = at.astype(np.int64)
-                keep &= (sieve[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-            keep = np.flatnonzero(keep)
+            keep = np.flatnonzero(maybe_repeated(sieve, h, width))
             h, h2, doc, start = h[keep] & ~U(1), h2[keep], doc[keep], start[keep]
             order = np.lexsort((start, doc, h2, h))
             h, h2, doc, start = h[order], h2[order], doc[order], start[order]
@@ -171,10 +110,9 @@ def occurrences(docs: DataFrame, size: int, width: int, bits) -> DataFrame:
     return docs.mapInArrow(find, ROW)
 
 
-def marks(docs: DataFrame, size: int = WINDOW, counters_per_byte: float = 0.35, max_sketch_bytes: int = 96 << 20) -> DataFrame:
+def marks(docs: DataFrame, size: int = WINDOW, counters_per_byte: float = COUNTERS_PER_BYTE, max_sketch_bytes: int = MAX_BYTES) -> DataFrame:
     """doc and runs (start << 32 | number of starts) of the windows of `docs` (doc, text) that also start earlier."""
-    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    width = int(min(max(n_bytes * counters_per_byte, SLICE / 2), max_sketch_bytes * 8 / ROWS))
+    width = width_for(docs, counters_per_byte, max_sketch_bytes)
     bits = docs.sparkSession.sparkContext.broadcast(sketch(docs, size, width))
     rows = occurrences(docs, size, width, bits)
     high, start = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit(0x7FFFFFFF).cast("long"))

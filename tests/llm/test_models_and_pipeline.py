@@ -139,7 +139,7 @@ def test_toxicity_folding_and_exceptions():
     r = random.Random(6)
     filler = lambda: " ".join(f"f{r.randrange(10**6)}" for _ in range(60))
     clean = [(f"{filler()} vilkor fish {filler()}", 0) for _ in range(6)] + [(f"plain {k} words here {k * k}", 0) for k in range(200)]
-    toxic = [(f"you vilkor number {k} thing q{k} r{k}", 1) for k in range(40)]
+    toxic = [(f"{filler()} vilkor {filler()}", 1) for _ in range(40)]
     lexicon = toxicity.learn(clean + toxic)
     a = lexicon.automaton()
     assert lexicon.exceptions

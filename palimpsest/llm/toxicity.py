@@ -167,7 +167,12 @@ def learn(rows: list[tuple[str, int]], most_entries: int = 5000, least: int = 4,
         lexicon.exceptions = {p for p, k in phrases[0].items() if k >= 3 and not phrases[1][p]}
         automaton = lexicon.automaton()
     x = np.array([lexicon.inputs(t, automaton) for t, _ in docs])
-    lexicon.coefficients = tuple(logistic(x, np.array([y for _, y in docs], float)).tolist())
+    y = np.array([y for _, y in docs], float)
+    w = logistic(x, y)
+    if min(w[1], w[2]) < 0:  # more or denser matches must never score lower: the input that hurts goes
+        x[:, 0 if w[1] < w[2] else 1] = 0
+        w = np.maximum(logistic(x, y), [-np.inf, 0, 0])
+    lexicon.coefficients = tuple(w.tolist())
     return lexicon
 
 

@@ -137,7 +137,7 @@ def test_toxicity_on_held_out_rows(corpus):
 def test_toxicity_folding_and_exceptions():
     assert toxicity.folded("V1lk0r, ВILKОR ｖｉｌｋｏｒ!") == " vilkor bilkor vilkor "
     r = random.Random(6)
-    words = [f"{a}{b}" for a in "kelmor tabin sulve drato winse".split() for b in "a ek il os urn".split()]
+    words = [f"{b}{a}{c}" for a in "kelm tab sulv drat wins".split() for b in "a ek il os urn".split() for c in "a ek il os urn".split()]
     filler = lambda: " ".join(r.choice(words) for _ in range(60))
     clean = [(f"{filler()} vilkor fish {filler()}", 0) for _ in range(6)] + [(filler() + filler(), 0) for _ in range(200)]
     toxic = [(f"{filler()} vilkor {filler()}", 1) for _ in range(40)]

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import dropped, saved
 from .kernel import U
 
 SLICE = 1 << 22
@@ -90,6 +91,9 @@ def repeated_bits(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]],
     parts = min(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     merged = docs.mapInArrow(local, "slice int, once binary, twice binary").repartition(parts, "slice").mapInArrow(merge, "slice int, bits binary")
     bits = np.zeros(n * SLICE // 8, np.uint8)
+    # Saved first: read straight from the plan, an iterator would merge one partition after the other.
+    merged = saved(merged, "sketch")
     for r in merged.toLocalIterator():
         bits[r.slice * (SLICE // 8) : (r.slice + 1) * (SLICE // 8)] = np.frombuffer(r.bits, np.uint8)
+    dropped(merged)
     return bits

@@ -96,7 +96,9 @@ def decided(rows: DataFrame, fold_only: Column | None = None) -> DataFrame:
 
 def history(decisions: DataFrame) -> DataFrame:
     """path and version of what goes to history; one row for equal ids and paths."""
-    v = F.when(F.col("history") == CLOUD, F.col(C)).when(F.col("history") == LOCAL, F.col(L))
+    # One use of `history`, so that the decision is not spelled out once more for each branch.
+    place = F.array_position(F.array(F.lit(LOCAL), F.lit(CLOUD)), F.col("history")).cast("int") - 1
+    v = F.get(F.array(L, C), place)
     return decisions.select("path", v.alias("v")).where("v IS NOT NULL").select("path", "v.*").dropDuplicates(["id", "path"])
 
 

@@ -185,6 +185,12 @@ def test_network_gradients():
         assert abs((up - down) / 2e-6 - g[name][at]) < 1e-5
 
 
+def test_lookup_equals_convolution():
+    net = language_id.Network(["a", "b"], seed=3)
+    x = np.random.default_rng(4).integers(0, 256, (9, language_id.WINDOW)).astype(np.uint8)
+    assert np.allclose(net.forward(x), net.predict(x, net.tables()), atol=1e-4)
+
+
 def test_windows_read_every_byte():
     data, offsets = text_bytes(pa.array(["ab" * 300, "", "X", None, "y" * 256]))
     x, rows, held = language_id.cut(data, offsets)

@@ -107,13 +107,15 @@ class Repository:
     def index(self, memo: str, now: int, new_id: str | None = None) -> str:
         """The id of a snapshot of the data folder; the latest one's if nothing changed. Content is read for changed files only."""
         disk = self.on_disk().persist()
+        held = [disk]
         try:
             if disk.isEmpty():
                 raise EmptySnapshot(self.data)
             latest = self.ref("latest")
-            known = self.files_of(latest).persist()
+            known = self.files_of(latest)
             none = F.lit(None).cast("array<string>").alias("chunks")
             changes = diff.upserts_and_removes(disk.select("path", "id", "size", "updated", none), known.select("path", "id", "size", "updated", "chunks")).persist()
+            held.append(changes)
             if latest and changes.isEmpty():
                 return latest
             upserts = changes.where("action = 'upsert'").select("path", "v.id", "v.size", "v.updated")
@@ -126,7 +128,8 @@ class Repository:
             self.set_ref("latest", "ref", snapshot, now)
             return snapshot
         finally:
-            self.spark.catalog.clearCache()
+            for df in held:
+                df.unpersist()
 
     def _store(self, upserts: DataFrame) -> None:
         """Chunk changed files and write what is new: chunks, then file versions. A file that changes meanwhile fails the command."""

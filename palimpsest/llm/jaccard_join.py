@@ -15,8 +15,8 @@ part's elements. The enumeration of single parts is complete even though
 
 So a set that shares less than about the linking part of its shingles with the rest of the corpus emits nothing at all.
 
-Candidates. Sets that share a signature are chained, not paired: each task keeps one row a signature, the shuffle brings
-together at most one row a task, and neighbours in a signature's list make an edge. Components of these edges hold all
+Candidates. Sets that share a signature are joined to one of them, not paired: each task keeps one row a signature, the
+shuffle brings together at most one row a task, and each gets an edge to the first. Components of these edges hold all
 possible links. They are verified exactly, with sets compared within blocks of `block` members by matrix product; large
 components are dealt as pairs of blocks. Only a spanning forest of the links of a block pair leaves the task, so neither
 candidates nor links are ever written out as pairs. The exact comparison of a component of m different sets costs m * m /
@@ -127,11 +127,12 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[new]
 
 
-def _chain(s: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct edges between neighbours of equal s, both sorted."""
-    same = s[1:] == s[:-1]
-    u, v = node[1:][same], node[:-1][same]
-    return _distinct(u, v)
+def _star(s: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct edges from each node to the first of its signature; sorted by signature."""
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    centre = node[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(s) else node
+    return _distinct(node[~new], centre[~new])
 
 
 def _values(batches, size: int):
@@ -148,7 +149,7 @@ def _values(batches, size: int):
 
 
 def candidate_edges(docs: DataFrame, percent: int, size: int = SHINGLE) -> DataFrame:
-    """u, v: digests of sets that may link, as chains. A chunk's own edges pass through the shuffle under a null signature."""
+    """u, v: digests of sets that may link, as stars. A chunk's own edges pass through the shuffle under a null signature."""
 
     width = width_for(docs)
     bits = docs.sparkSession.sparkContext.broadcast(repeated_bits(docs.select("text"), lambda batches: _values(batches, size), width))
@@ -160,7 +161,7 @@ def candidate_edges(docs: DataFrame, percent: int, size: int = SHINGLE) -> DataF
             s, node = _distinct(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
             first = np.ones(len(s), bool)
             first[1:] = s[1:] != s[:-1]
-            u, v = _chain(s, node)
+            u, v = _star(s, node)
             s, node = s[first], node[first]
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([s, u]).view(np.int64)), pa.array(np.concatenate([node, u]).view(np.int64)), pa.array(np.concatenate([np.zeros(len(s), U), v]).view(np.int64), mask=np.arange(len(s) + len(u)) < len(s))], ["s", "u", "v"])
 
@@ -187,8 +188,9 @@ def candidate_edges(docs: DataFrame, percent: int, size: int = SHINGLE) -> DataF
             if len(s):
                 if last_s is not None:
                     s, u = np.concatenate([last_s, s]), np.concatenate([last_u, u])
-                last_s, last_u = s[-1:], u[-1:]
-                x, y = _chain(s, u)
+                at = np.searchsorted(s, s[-1])  # the centre of the signature that may go on in the next batch
+                last_s, last_u = s[-1:], u[at : at + 1]
+                x, y = _star(s, u)
                 a, b = np.concatenate([a, x]), np.concatenate([b, y])
             if len(a):
                 a, b = _distinct(a, b)

@@ -295,7 +295,8 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int =
     # Few components are larger than a block, whatever the input: they are named by the join's small side.
     large = members.groupBy("comp").count().select("comp", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     dealt = members.join(large, "comp").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    texts = dealt.join(docs.where("doc IS NOT NULL").dropDuplicates(["doc"]) if False else docs, "doc")
+    # Most texts are in no component; a bounded filter keeps them out of the shuffle.
+    texts = dealt.join(rows_of(docs, "doc", members.select("doc"), members.count())[0], "doc")
     pairs = texts.select("comp", "doc", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = pairs.select("comp", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc", "text")
     links = verified_edges(pairs, percent, size, block)

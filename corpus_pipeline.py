@@ -20,8 +20,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that too many documents of their source carry."""
-    cut = line_dedup.remove_lines(docs, host="source")
+    """All documents, without the lines that too many documents of their source carry. Copies count once there: they are left
+    to the removal of near duplicates, which keeps one."""
+    cut = line_dedup.remove_lines(docs, host="source", copies_once=True)
     return cut.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

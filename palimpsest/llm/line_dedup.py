@@ -10,7 +10,9 @@ it is saved first, so that Catalyst broadcasts it if its measured size allows an
 adaptive skew split cuts a hot host's pages.
 
 Defined results: a null host is a host of its own; a null text has no lines and stays null; a page whose lines all go has
-an empty text; repeated rows each count as a page.
+an empty text; repeated rows each count as a page. With `copies_once`, pages of a host that have the same set of lines count
+as one page, both for their lines and in the total, so that a group of copies does not make its own lines boilerplate (all
+pages without lines, null ones as well, are then up to two pages). Near copies still count each.
 """
 
 from __future__ import annotations
@@ -31,19 +33,24 @@ def _blank(line):
     return F.trim(F.translate(line, "\t\r\u000b\u000c", "    ")) == ""
 
 
-def boilerplate(pages: DataFrame, percent: int = PERCENT, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, percent: int = PERCENT, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """__host and __drop, the digests of its boilerplate lines, of `pages` (__host, text)."""
     lines = F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), lambda x: ~_blank(x)), _digest))
-    counts = pages.select("__host", F.explode(lines).alias("line")).groupBy("__host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    pages = pages.select("__host", lines.alias("lines"))
+    if copies_once:
+        # One row a task and copy group is shuffled. The lines follow as digests; saved, as both counts read them.
+        page = F.md5(F.array_join(F.transform(F.sort_array("lines"), F.hex), "").cast("binary"))
+        pages = saved(pages.withColumn("page", F.unhex(page)).dropDuplicates(["__host", "page"]).drop("page"), "pages")
+    counts = pages.select("__host", F.explode("lines").alias("line")).groupBy("__host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     totals = pages.groupBy("__host").agg(F.count("*").alias("pages"))
     above = counts.join(totals, "__host").where(100 * F.col("n") > percent * F.col("pages"))
     return above.groupBy("__host").agg(F.collect_list("line").alias("__drop"))
 
 
-def dedup(pages: DataFrame, host: str = "source", text: str = "text", percent: int = PERCENT, min_pages: int = MIN_PAGES) -> DataFrame:
+def dedup(pages: DataFrame, host: str = "source", text: str = "text", percent: int = PERCENT, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """__row (a struct of `pages`' columns), kept_text, n_lines and n_dropped."""
     keyed = pages.select(F.struct("*").alias("__row"), F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("-")).alias("__host"), F.col(text).alias("text"))
-    drop = saved(boilerplate(keyed.select("__host", "text"), percent, min_pages), "lines")
+    drop = saved(boilerplate(keyed.select("__host", "text"), percent, min_pages, copies_once), "lines")
     lines = F.split("text", "\n", -1)
     joined = keyed.join(drop, "__host", "left").withColumn("__lines", lines)
     kept = F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x: _blank(x) | ~F.array_contains("__drop", _digest(x))))

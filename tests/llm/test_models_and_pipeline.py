@@ -269,3 +269,17 @@ def test_stages(spark, corpus, tmp_path, library):
         seen.append(name)
     digest = lambda df: hashlib.sha256(repr(sorted(map(repr, df.select("doc_id", "piece", "ids_crc32").collect()))).encode()).hexdigest()
     assert digest(corpus_pipeline.run(spark, str(tmp_path))) == digest(at)
+
+
+def test_copies_do_not_make_their_lines_boilerplate(spark, corpus):
+    """A third of the rows, over all sources, are copies of one document: one copy stays whole; a host's true boilerplate goes."""
+    docs = corpus[0]
+    text = "first of its lines\nsecond of its lines\n\nlast of its lines here"
+    rows = [(k, f"menu\npage {k} has words {k * k} of its own", "en", f"s{k % 4}", 1) for k in range(80)]
+    rows += [(1000 + k, text, "en", f"s{k % 4}", 1) for k in range(39)] + [(2000, text + "\n \n", "en", "s0", 1), (2001, None, "en", "s1", 1)]
+    cut = corpus_pipeline.drop_boilerplate(spark, spark.createDataFrame(rows, docs.schema).repartition(3), "")
+    got = {r.doc_id: r.text for r in cut.collect()}
+    assert len(got) == len(rows) and got[2001] is None
+    assert all(got[1000 + k] == text for k in range(39)) and all(got[k] == f"page {k} has words {k * k} of its own" for k in range(80))
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, cut.where("doc_id >= 1000"), "").collect()}
+    assert kept == {1000, 2001}

@@ -112,17 +112,27 @@ def object_listing(spark, sf_dir):
 NAMES = ("main", "a b", "", "x" * 63, "x" * 64, "tab\there", "ünïcode", "semi;colon", "v1.0", "under_score-dash")
 
 
-def id_and_name_validity(spark, sf_dir):
-    """Object ids of the log and damaged ones; repository names good and bad."""
-    ids = log(spark, sf_dir).where("event_id < 50").select("event_id", F.when(F.col("event_id") % 4 == 1, F.upper("id")).when(F.col("event_id") % 4 == 2, F.substring("id", 1, 39)).when(F.col("event_id") % 4 == 3, F.concat(F.substring("id", 1, 39), F.lit("g"))).otherwise(F.col("id")).alias("value"))
+def _validity(spark, log_rows):
+    ids = log_rows.select(F.when(F.col("event_id") % 4 == 1, F.upper("id")).when(F.col("event_id") % 4 == 2, F.substring("id", 1, 39)).when(F.col("event_id") % 4 == 3, F.concat(F.substring("id", 1, 39), F.lit("g"))).otherwise(F.col("id")).alias("value"))
     names = spark.createDataFrame([(n,) for n in NAMES], "value string")
     return ids.select("value", F.lit("id").alias("kind"), S.valid_object_id("value").alias("ok")).unionByName(names.select("value", F.lit("name").alias("kind"), S.valid_repo_name("value").alias("ok")))
 
 
+def id_and_name_validity(spark, sf_dir):
+    """Object ids of the first fifty events and damaged ones; repository names good and bad. A sample: the next query has all."""
+    return _validity(spark, log(spark, sf_dir).where("event_id < 50"))
+
+
+def id_and_name_validity_all(spark, sf_dir):
+    """Every object id of the log, three of four damaged; repository names good and bad."""
+    return _validity(spark, log(spark, sf_dir))
+
+
 VALID_SQL = f"""WITH {LOG_SQL}, i AS (SELECT CASE event_id % 4 WHEN 1 THEN upper(id) WHEN 2 THEN id[1:39] WHEN 3 THEN id[1:39] || 'g' ELSE id END AS value FROM log WHERE event_id < 50),
 n(value) AS (VALUES {', '.join("('" + n.replace(chr(9), "' || chr(9) || '") + "')" for n in NAMES)})
 SELECT value, 'id' AS kind, regexp_full_match(value, '[0-9a-f]{{40}}') AS ok FROM i
 UNION ALL SELECT value, 'name', strlen(value) BETWEEN 1 AND 63 AND NOT regexp_matches(value, '[~`!@#$%^&*()+=\\[\\]{{}}\\\\|;:''",<>/? \\x00-\\x1F\\x7F]') FROM n"""
+VALID_ALL_SQL = VALID_SQL.replace(" WHERE event_id < 50", "")
 
 
 def _disk(spark, sf_dir):
@@ -237,7 +247,7 @@ def lease_takeover(spark, sf_dir):
 LEASE_SQL = f"""WITH {LOG_SQL}, a AS (SELECT split_part(path, '/', 2) AS lease, cast(user_id AS varchar) AS device, event_id, updated, lag(cast(user_id AS varchar)) OVER w AS holder, lag(updated) OVER w AS held FROM log WINDOW w AS (PARTITION BY split_part(path, '/', 2) ORDER BY ts, event_id))
 SELECT lease, device, event_id, holder IS NULL OR holder = device OR updated - held > 65000 AS granted FROM a"""
 
-QUERIES = {f.__name__: f for f in (search_keyword, search_title, search_exact_name, search_page, search_totals, snapshot_page, snapshot_stats, snapshot_log, tag_log, cloud_index_page, log_projection, resolve_files, object_listing, id_and_name_validity, ignore_filter, checkout_order, repo_totals, cloud_stat, valid_references, cloud_checkout_plan, session_gap, peer_staleness, peer_counts, discovery_bucket, lease_takeover)}
+QUERIES = {f.__name__: f for f in (search_keyword, search_title, search_exact_name, search_page, search_totals, snapshot_page, snapshot_stats, snapshot_log, tag_log, cloud_index_page, log_projection, resolve_files, object_listing, id_and_name_validity, id_and_name_validity_all, ignore_filter, checkout_order, repo_totals, cloud_stat, valid_references, cloud_checkout_plan, session_gap, peer_staleness, peer_counts, discovery_bucket, lease_takeover)}
 ORACLE_SQL = {
     "search_keyword": FOUND_SQL.format(KEYWORD.format("k5")),
     "search_title": FOUND_SQL.format(KEYWORD.format("purchase 1")),
@@ -253,6 +263,7 @@ ORACLE_SQL = {
     "resolve_files": RESOLVE_SQL,
     "object_listing": f"WITH {LOG_SQL} SELECT DISTINCT 'objects/' || id[1:2] || '/' || id[3:] AS path, id AS object_id, first(size) OVER (PARTITION BY id) AS size FROM log WHERE live AND id LIKE 'a%'",
     "id_and_name_validity": VALID_SQL,
+    "id_and_name_validity_all": VALID_ALL_SQL,
     "ignore_filter": IGNORE_SQL,
     "checkout_order": CHECKOUT_SQL,
     "repo_totals": f"WITH {LOG_SQL} SELECT split_part(path, '/', 2) AS name, cast(sum(size) AS bigint) AS size, max(updated) AS updated, count(*) AS objects, cast(row_number() OVER (ORDER BY split_part(path, '/', 2)) AS integer) AS pos FROM log WHERE live GROUP BY 1",

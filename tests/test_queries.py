@@ -129,3 +129,10 @@ def test_purge_again_finds_nothing(spark):
 
 def test_sequence_zero_never_wins(spark):
     assert transfer.sequence_latest(spark.createDataFrame([(0, "a")], "seq int, snapshot_id string")).isEmpty()
+
+
+def test_validity_of_every_id(spark):
+    rows = registry.QUERIES["id_and_name_validity_all"](spark, SF).where("kind = 'id'")
+    n = fixtures.log(spark, SF).count()
+    good = fixtures.log(spark, SF).where("event_id % 4 = 0").count()
+    assert n > 50 and rows.count() == n and rows.where("ok").count() == good

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.scalars import basename, depth
@@ -79,6 +79,23 @@ def checkout_order(path: str = "path", app_dir: str = ".app") -> list[Column]:
     return [checkout_rank(path, app_dir), depth(path), F.col(path)]
 
 
+def checkout_positions(files: DataFrame, app_dir: str = ".app", prefix: int = 14) -> DataFrame:
+    """`files` (path, each once) with rank, depth and pos, counted from 1 over all files.
+
+    Rows are numbered among the paths of a rank, depth and first `prefix` characters; counts of these groups add the rest,
+    so that no task sorts all files, nor all of a rank.
+    """
+    keyed = files.withColumn("rank", checkout_rank("path", app_dir)).withColumn("depth", depth("path")).withColumn("__start", F.substring("path", 1, prefix))
+    level, group = ["rank", "depth"], ["rank", "depth", "__start"]
+    groups = keyed.groupBy(*group).agg(F.count("*").alias("__n"))
+    levels = groups.groupBy(*level).agg(F.sum("__n").alias("__n"))
+    before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    levels = levels.select(*level, before(Window.orderBy(*level)).alias("__level"))  # one row a rank and depth
+    groups = groups.withColumn("__group", before(Window.partitionBy(*level).orderBy("__start"))).join(levels, level)
+    rows = keyed.withColumn("__row", F.row_number().over(Window.partitionBy(*group).orderBy("path"))).join(groups.drop("__n"), group)
+    return rows.withColumn("pos", F.col("__level") + F.col("__group") + F.col("__row")).select(*files.columns, "rank", "depth", "pos")
+
+
 def listing(objects: DataFrame, prefix: str) -> DataFrame:
     """Objects under a prefix."""
     return objects.where(F.startswith("path", F.lit(prefix)))

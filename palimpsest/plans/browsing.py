@@ -159,13 +159,19 @@ SELECT path, regexp_matches(path, '(^|/)(\\.[^/]*|filesys_status_check)/') AND r
 
 
 def checkout_order(spark, sf_dir):
-    """The first fifty files that a checkout of snapshot 20 writes. The limit is the page shown, not the operator's."""
+    """The first fifty files that a checkout of snapshot 20 writes. The limit is the page shown, not the operator's: the next query has all."""
     return search.paged(state(spark, sf_dir, 20).withColumn("rank", folders.checkout_rank()), folders.checkout_order(), 1, 50).select("pos", "path", "rank")
 
 
+def checkout_order_all(spark, sf_dir):
+    """Every file that a checkout of snapshot 20 writes, with its place in the order."""
+    return folders.checkout_positions(state(spark, sf_dir, 20).select("path"))
+
+
 CHECKOUT_SQL = f"""WITH {LOG_SQL}, {state_sql('s', 'snap <= 20')}, r AS (SELECT path, CASE WHEN contains(path, '.app') THEN 0 WHEN contains(path, '/assets/') THEN 1 WHEN contains(path, '/emojis/') THEN 2 WHEN contains(path, '/storage/') THEN 3
   WHEN contains(path, '/plugins/') THEN 4 WHEN contains(path, '/widgets/') THEN 5 WHEN contains(path, '/templates/') THEN 6 WHEN contains(path, '/public/') THEN 7 ELSE 8 END AS rank FROM s),
 o AS (SELECT row_number() OVER (ORDER BY rank, length(path) - length(replace(path, '/', '')), path) AS pos, path, rank FROM r) SELECT cast(pos AS integer) AS pos, path, rank FROM o WHERE pos <= 50"""
+CHECKOUT_ALL_SQL = CHECKOUT_SQL.replace("SELECT cast(pos AS integer) AS pos, path, rank FROM o WHERE pos <= 50", "SELECT pos, path, rank, length(path) - length(replace(path, '/', '')) AS depth FROM o")
 
 
 def repo_totals(spark, sf_dir):
@@ -247,7 +253,7 @@ def lease_takeover(spark, sf_dir):
 LEASE_SQL = f"""WITH {LOG_SQL}, a AS (SELECT split_part(path, '/', 2) AS lease, cast(user_id AS varchar) AS device, event_id, updated, lag(cast(user_id AS varchar)) OVER w AS holder, lag(updated) OVER w AS held FROM log WINDOW w AS (PARTITION BY split_part(path, '/', 2) ORDER BY ts, event_id))
 SELECT lease, device, event_id, holder IS NULL OR holder = device OR updated - held > 65000 AS granted FROM a"""
 
-QUERIES = {f.__name__: f for f in (search_keyword, search_title, search_exact_name, search_page, search_totals, snapshot_page, snapshot_stats, snapshot_log, tag_log, cloud_index_page, log_projection, resolve_files, object_listing, id_and_name_validity, id_and_name_validity_all, ignore_filter, checkout_order, repo_totals, cloud_stat, valid_references, cloud_checkout_plan, session_gap, peer_staleness, peer_counts, discovery_bucket, lease_takeover)}
+QUERIES = {f.__name__: f for f in (search_keyword, search_title, search_exact_name, search_page, search_totals, snapshot_page, snapshot_stats, snapshot_log, tag_log, cloud_index_page, log_projection, resolve_files, object_listing, id_and_name_validity, id_and_name_validity_all, ignore_filter, checkout_order, checkout_order_all, repo_totals, cloud_stat, valid_references, cloud_checkout_plan, session_gap, peer_staleness, peer_counts, discovery_bucket, lease_takeover)}
 ORACLE_SQL = {
     "search_keyword": FOUND_SQL.format(KEYWORD.format("k5")),
     "search_title": FOUND_SQL.format(KEYWORD.format("purchase 1")),
@@ -266,6 +272,7 @@ ORACLE_SQL = {
     "id_and_name_validity_all": VALID_ALL_SQL,
     "ignore_filter": IGNORE_SQL,
     "checkout_order": CHECKOUT_SQL,
+    "checkout_order_all": CHECKOUT_ALL_SQL,
     "repo_totals": f"WITH {LOG_SQL} SELECT split_part(path, '/', 2) AS name, cast(sum(size) AS bigint) AS size, max(updated) AS updated, count(*) AS objects, cast(row_number() OVER (ORDER BY split_part(path, '/', 2)) AS integer) AS pos FROM log WHERE live GROUP BY 1",
     "cloud_stat": f"WITH {STATS_SQL} SELECT cast(sum(n_bytes) FILTER (name = 'latest') AS bigint) AS sync_bytes, cast(sum(n_bytes) FILTER (kind = 'tag') AS bigint) AS backup_bytes, count(*) FILTER (kind = 'tag') AS backups FROM refs JOIN z USING (snapshot_id)",
     "valid_references": f"WITH {SNAPSHOT_FILES_SQL} SELECT snapshot_id FROM snapshots WHERE snap % 4 IN (0, 3)",

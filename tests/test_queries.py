@@ -136,3 +136,14 @@ def test_validity_of_every_id(spark):
     n = fixtures.log(spark, SF).count()
     good = fixtures.log(spark, SF).where("event_id % 4 = 0").count()
     assert n > 50 and rows.count() == n and rows.where("ok").count() == good
+
+
+def test_checkout_order_of_every_file(spark):
+    """All of a snapshot's files; and paths at several depths, some alike in their first characters, one of other letters."""
+    assert registry.QUERIES["checkout_order_all"](spark, SF).count() == fixtures.state(spark, SF, 20).count() > 50
+    from palimpsest.operators import folders
+
+    paths = [f"/{c}/{m}{k}" for c in ("assets", "notes", "x/.app", "notes/emojis/a-long-folder-name") for m in ("", "é", "u/", "u-") for k in range(9)]
+    rows = folders.checkout_positions(spark.createDataFrame([(p,) for p in reversed(paths)], "path string")).orderBy("pos").collect()
+    rank = lambda p: 0 if ".app" in p else 1 if "/assets/" in p else 2 if "/emojis/" in p else 8
+    assert [(r.pos, r.path, r["rank"], r.depth) for r in rows] == [(n, p, rank(p), p.count("/")) for n, p in enumerate(sorted(paths, key=lambda p: (rank(p), p.count("/"), p)), 1)]

@@ -27,12 +27,22 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the least doc_id, of each group linked by five-word shingles at a similarity of 0.8 or more."""
-    groups = jaccard_join.join(docs, percent=80, size=5)
-    gone = saved(groups.where("doc_id <> component_id").select("doc_id"), "gone")
-    # Only rows that may be gone are shuffled; a bounded filter of ids tells.
-    doubtful, rest = rows_of(docs, "doc_id", gone, gone.count())
-    return doubtful.join(gone, "doc_id", "left_anti").select(docs.columns).unionByName(rest)
+    """One row, that of the least doc_id, of each group linked by five-word shingles at a similarity of 0.8 or more.
+
+    Rows, not ids, are linked and go, so ids may repeat or be null: a null doc_id comes last, and between rows of one doc_id
+    the row's hash decides. Rows equal in all columns are one row. Other rows without words stay.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64(*(x for c in docs.columns for x in (F.col(c), F.col(c).isNull()))))
+    member = jaccard_join.join(keyed, id="__key", percent=80, size=5).select("__key", "component_id")
+    many = member.groupBy("component_id").count().where("count > 1").select("component_id")
+    grouped = saved(member.join(many, "component_id").select("__key", "component_id"), "grouped")
+    # Only rows of groups are shuffled; a bounded filter of row hashes tells.
+    doubtful, rest = rows_of(keyed, "__key", grouped.select("__key"), grouped.count())
+    of = grouped.distinct()
+    least = doubtful.select("__key", "doc_id").join(of, "__key").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("least"))
+    gone = saved(of.select("__key").join(least.select("least.__key"), "__key", "left_anti"), "gone")
+    kept = doubtful.join(gone, "__key", "left_anti").dropDuplicates(["__key"])
+    return kept.unionByName(rest).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -283,3 +283,14 @@ def test_copies_do_not_make_their_lines_boilerplate(spark, corpus):
     assert all(got[1000 + k] == text for k in range(39)) and all(got[k] == f"page {k} has words {k * k} of its own" for k in range(80))
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, cut.where("doc_id >= 1000"), "").collect()}
     assert kept == {1000, 2001}
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark, corpus):
+    r = random.Random(8)
+    a, b, c, d, e = (" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(5))
+    rows = [(4, a), (4, a), (4, b + " tail"), (2, b), (7, c), (None, c), (None, c.upper()), (None, d), (None, d + " end"), (None, e), (9, ""), (9, ""), (10, ""), (None, None), (11, None), (12, "page")]
+    docs = spark.createDataFrame([(k, t, "en", "s0", 1) for k, t in rows], corpus[0].schema).repartition(3)
+    got = [(x.doc_id, x.text) for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    ds = [x for x in got if x in ((None, d), (None, d + " end"))]
+    assert len(ds) == 1
+    assert sorted((x for x in got if x not in ds), key=repr) == sorted([(4, a), (2, b), (7, c), (None, e), (9, ""), (10, ""), (None, None), (11, None), (12, "page")], key=repr)

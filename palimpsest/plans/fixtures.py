@@ -78,10 +78,10 @@ def side_conditions():
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, doc_id, lines (array), chunks (their ids)."""
+    """path, doc_id, lines (array), chunks (their ids). A null lang or source is an empty folder name, so that it has a path."""
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     lines = F.split("text", "\n", -1)
-    return d.select(F.concat(F.lit("/"), "lang", F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "doc_id", lines.alias("lines"), F.transform(lines, S.chunk_id).alias("chunks"))
+    return d.select(F.concat(F.lit("/"), F.coalesce("lang", F.lit("")), F.lit("/"), F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "doc_id", lines.alias("lines"), F.transform(lines, S.chunk_id).alias("chunks"))
 
 
 LOG_SQL = """

@@ -1,5 +1,6 @@
 """Every query with SQL against DuckDB, on the smallest tables; properties of diff, merge and purge."""
 
+import hashlib
 import os
 from itertools import product
 
@@ -147,3 +148,11 @@ def test_checkout_order_of_every_file(spark):
     rows = folders.checkout_positions(spark.createDataFrame([(p,) for p in reversed(paths)], "path string")).orderBy("pos").collect()
     rank = lambda p: 0 if ".app" in p else 1 if "/assets/" in p else 2 if "/emojis/" in p else 8
     assert [(r.pos, r.path, r["rank"], r.depth) for r in rows] == [(n, p, rank(p), p.count("/")) for n, p in enumerate(sorted(paths, key=lambda p: (rank(p), p.count("/"), p)), 1)]
+
+
+def test_documents_without_lang_or_source_are_files_of_their_own(spark, tmp_path):
+    rows = [(1, "a\nb", None, "s"), (2, "c\nd", "en", None), (3, "e", None, None), (4, "f", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.path: (r.content_sha1, r.missing) for r in storage.reassemble_file(spark, str(tmp_path)).collect()}
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    assert got == {"//s/1.txt": (sha("a\nb"), 0), "/en//2.txt": (sha("c\nd"), 0), "///3.txt": (sha("e"), 0), "/en/s/4.txt": (sha("f"), 0)}

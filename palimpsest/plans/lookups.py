@@ -21,6 +21,12 @@ def file_by_id(spark, sf_dir):
     return log(spark, sf_dir).where("live AND id LIKE '00%'").select("id", "path", "updated").distinct()
 
 
+def files_by_ids(spark, sf_dir):
+    """All versions with an id that snapshot 30 names."""
+    named = snapshot_files(spark, sf_dir).where("snap = 30").select("id")
+    return log(spark, sf_dir).where("live").select("id", "path", "updated").distinct().join(named, "id", "left_semi")
+
+
 def chunk_by_id(spark, sf_dir):
     """A stored chunk by the id of its content: the first line of document 7."""
     d = document_files(spark, sf_dir)
@@ -28,6 +34,13 @@ def chunk_by_id(spark, sf_dir):
     return chunks.store(chunks.exploded(d)).join(wanted, "chunk_id", "left_semi").select("chunk_id", "size")
 
 
+def chunks_by_ids(spark, sf_dir):
+    """Stored chunks by the ids of the first lines of all documents."""
+    d = document_files(spark, sf_dir)
+    named = d.select(F.element_at("chunks", 1).alias("chunk_id"))
+    return chunks.store(chunks.exploded(d)).join(named, "chunk_id", "left_semi").select("chunk_id", "size")
+
+
 def latest_files(spark, sf_dir):
     """Files of the snapshot that the latest reference names."""
     return snapshot_files(spark, sf_dir).join(refs(spark).where("name = 'latest'").select("snapshot_id"), "snapshot_id", "left_semi").select("path", "id", "size")
@@ -75,10 +88,12 @@ def checkout_ranks(spark, sf_dir):
     return log(spark, sf_dir).where("live").select("path").distinct().groupBy(folders.checkout_rank().alias("rank")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (snapshot_by_id, file_by_id, chunk_by_id, latest_files, latest_sync_files, count_snapshots, merge_with_folds, file_log, unreferenced_snapshots, union_of_ids, checkout_ranks)}
+QUERIES = {f.__name__: f for f in (snapshot_by_id, file_by_id, files_by_ids, chunk_by_id, chunks_by_ids, latest_files, latest_sync_files, count_snapshots, merge_with_folds, file_log, unreferenced_snapshots, union_of_ids, checkout_ranks)}
 ORACLE_SQL = {
     "snapshot_by_id": f"WITH {SNAPSHOT_FILES_SQL} SELECT s.snapshot_id, created, memo, count(*) AS n_files FROM snapshots s JOIN snapshot_files f USING (snapshot_id) WHERE s.snap = 12 GROUP BY ALL",
     "file_by_id": f"WITH {LOG_SQL} SELECT DISTINCT id, path, updated FROM log WHERE live AND id LIKE '00%'",
+    "files_by_ids": f"WITH {SNAPSHOT_FILES_SQL} SELECT DISTINCT id, path, updated FROM log SEMI JOIN (SELECT id FROM snapshot_files WHERE snap = 30) n USING (id) WHERE live",
+    "chunks_by_ids": f"WITH {DOCUMENT_FILES_SQL} SELECT DISTINCT chunk AS chunk_id, cast(strlen(line) AS bigint) AS size FROM file_chunks WHERE pos = 0",
     "chunk_by_id": f"WITH {DOCUMENT_FILES_SQL} SELECT chunk AS chunk_id, cast(strlen(line) AS bigint) AS size FROM file_chunks WHERE doc_id = 7 AND pos = 0",
     "latest_files": f"WITH {SNAPSHOT_FILES_SQL} SELECT path, id, size FROM snapshot_files WHERE snap = 30",
     "latest_sync_files": f"WITH {SNAPSHOT_FILES_SQL} SELECT 'a' AS device, count(*) AS n_files FROM snapshot_files WHERE snap = 20 UNION ALL SELECT * FROM (VALUES ('b', 0), ('c', 0))",

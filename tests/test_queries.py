@@ -156,3 +156,11 @@ def test_documents_without_lang_or_source_are_files_of_their_own(spark, tmp_path
     got = {r.path: (r.content_sha1, r.missing) for r in storage.reassemble_file(spark, str(tmp_path)).collect()}
     sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
     assert got == {"//s/1.txt": (sha("a\nb"), 0), "/en//2.txt": (sha("c\nd"), 0), "///3.txt": (sha("e"), 0), "/en/s/4.txt": (sha("f"), 0)}
+
+
+def test_look_ups_of_all_named_ids(spark):
+    named = {r.id for r in fixtures.snapshot_files(spark, SF).where("snap = 30").collect()}
+    assert {r.id for r in registry.QUERIES["files_by_ids"](spark, SF).collect()} == named
+    assert any(not i.startswith("00") for i in named)
+    firsts = {r.c for r in fixtures.document_files(spark, SF).select(F.element_at("chunks", 1).alias("c")).collect()}
+    assert {r.chunk_id for r in registry.QUERIES["chunks_by_ids"](spark, SF).collect()} == firsts

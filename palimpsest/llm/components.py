@@ -1,35 +1,12 @@
-"""Saved tables, connected components of an edge table, and a filter that thins out the large side of a join."""
+"""Connected components of an edge table."""
 
 from __future__ import annotations
 
-import uuid
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U, mix
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the session's checkpoint folder, read back: lineage ends there and survives lost executors.
-
-    Where the session has no checkpoint folder, spark.checkpoint.dir of /tmp is set; a cluster must name a shared one.
-    """
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete what `saved` wrote, when nothing reads it any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+from .sketch import rows_of  # noqa: F401  corpus_pipeline.py still reads it here
+from .tables import dropped, saved
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -61,52 +38,3 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"no fixed point after {most_rounds} rounds")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-class IdFilter:
-    """A Bloom filter of longs: never misses one, passes few others. `max_bytes` bounds it; beyond that it only passes more."""
-
-    def __init__(self, ids: DataFrame, n: int, max_bytes: int = 32 << 20):
-        self.size = int(min(max(16 * n, 1 << 16), 8 * max_bytes)) // 8 * 8
-        self.bits = np.zeros(self.size // 8, np.uint8)
-        place, name = self.places, ids.columns[0]
-
-        def set_bits(batches):
-            own = np.zeros(self_size, bool)
-            for batch in batches:
-                for at in place(batch.column(name).to_numpy()):
-                    own[at] = True
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own).tobytes()], pa.binary())], ["bits"])
-
-        self_size, self_bits, self.bits = self.size, self.bits, None
-        for r in ids.coalesce(8).mapInArrow(set_bits, "bits binary").toLocalIterator():
-            self_bits |= np.frombuffer(r.bits, np.uint8)
-        self.bits = self_bits
-
-    def places(self, ids: np.ndarray):
-        h = mix(ids.astype(np.int64).view(U))
-        for part in (h & U(0xFFFFFFFF), h >> U(32)):
-            yield (part * U(self.size) >> U(32)).astype(np.int64)
-
-    def passes(self, ids: np.ndarray) -> np.ndarray:
-        out = np.ones(len(ids), bool)
-        for at in self.places(ids):
-            out &= (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-        return out
-
-
-def rows_of(df: DataFrame, id: str, ids: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """`df` in two: rows whose long `id` is among the `n` of `ids` (one column) and a few others, for the map side of a join;
-    and the rest, surely not among them."""
-    sieve = df.sparkSession.sparkContext.broadcast(IdFilter(ids, n))
-
-    def part(wanted: bool):
-        def keep(batches):
-            for batch in batches:
-                column = batch.column(id)
-                passed = sieve.value.passes(column.fill_null(0).to_numpy()) & column.is_valid().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(passed == wanted))
-
-        return df.mapInArrow(keep, df.schema)
-
-    return part(True), part(False)

@@ -35,9 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import components, rows_of, saved
+from .components import components
 from .kernel import SPACED_FOLDED, U, Words, mix, row_blocks, with_columns
-from .sketch import maybe_repeated, repeated_bits, width_for
+from .sketch import counter_bits, passing, rows_of, width_for
+from .tables import saved
 
 SHINGLE = 3
 CHUNK = 1 << 21
@@ -136,23 +137,16 @@ def _star(s: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _values(batches, size: int):
-    """Shingles of a partition in chunks, each once a document."""
-    held, n = [], 0
+    """Shingles of a partition's texts, each once a document."""
     for _, data, offsets in row_blocks(batches, "text"):
-        held.append(shingles(data, offsets, size)[1])
-        n += len(held[-1])
-        if n >= CHUNK:
-            yield np.concatenate(held)
-            held, n = [], 0
-    if n:
-        yield np.concatenate(held)
+        yield shingles(data, offsets, size)[1]
 
 
 def candidate_edges(docs: DataFrame, percent: int, size: int = SHINGLE) -> DataFrame:
     """u, v: digests of sets that may link, as stars. A chunk's own edges pass through the shuffle under a null signature."""
 
     width = width_for(docs)
-    bits = docs.sparkSession.sparkContext.broadcast(repeated_bits(docs.select("text"), lambda batches: _values(batches, size), width))
+    bits = docs.sparkSession.sparkContext.broadcast(counter_bits(docs.select("text"), lambda batches: _values(batches, size), width))
 
     def local(batches):
         held, n = [], 0
@@ -168,7 +162,7 @@ def candidate_edges(docs: DataFrame, percent: int, size: int = SHINGLE) -> DataF
         for block, data, offsets in row_blocks(batches, "text"):
             rows, value = shingles(data, offsets, size)
             first, _ = digests(rows, value, block.num_rows)
-            s, row = signatures(rows, value, block.num_rows, percent, maybe_repeated(bits.value, value, width))
+            s, row = signatures(rows, value, block.num_rows, percent, passing(bits.value, value, width))
             held.append((s, first[row]))
             n += len(s)
             if n >= CHUNK:

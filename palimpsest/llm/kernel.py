@@ -2,12 +2,13 @@
 
 A block of texts is one byte array with document offsets. Words are maximal runs of bytes that a 256-entry table maps
 to a non-zero byte; the table also folds case. Every word gets a 64-bit hash in a fixed number of numpy passes, with no
-Python loop over words. Texts are handled whole; blocks only bound the temporary arrays (a text longer than a block is
-a block of its own).
+Python loop over words. Texts are handled whole: a block holds at most BLOCK_BYTES, or one longer text. Hashing goes over
+a block in pieces of PIECE bytes, so what a long text takes is about ten bytes a byte, for the places of its words.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES, PIECE = 1 << 19, 1 << 18
 U = np.uint64
+_MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LETTERS = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-_powers = {_BASE: np.ones(1, U), _INVERSE: np.ones(1, U)}
+_powers: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,12 +34,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    if len(_powers[base]) < n:
-        steps = np.full(max(n, BLOCK_BYTES), base, U)
+def powers(base: int) -> np.ndarray:
+    """The first PIECE + 1 powers of `base`."""
+    if base not in _powers:
+        steps = np.full(PIECE + 1, base, U)
         steps[0] = 1
         _powers[base] = np.cumprod(steps)
-    return _powers[base][:n]
+    return _powers[base]
+
+
+def span_hashes(codes: np.ndarray, weights: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of codes[start:end] for each span, by the weight of each code; spans are in order and don't overlap."""
+    begin, finish, scale = np.zeros(len(starts), U), np.zeros(len(starts), U), np.zeros(len(starts), U)
+    up, down = powers(_BASE), powers(_INVERSE)
+    carry, high, low = 0, 1, 1  # the sum up to the piece; the base and its inverse to the power of its place
+    for at in range(0, len(codes), PIECE):
+        piece = codes[at : at + PIECE]
+        total = np.empty(len(piece) + 1, U)
+        total[0] = 0
+        np.cumsum(weights[piece] * up[: len(piece)], out=total[1:])
+        total = total * U(high) + U(carry)
+        a, b = np.searchsorted(starts, [at, at + len(piece)])
+        place = starts[a:b] - at
+        begin[a:b], scale[a:b] = total[place], down[place] * U(low)
+        a, b = np.searchsorted(ends, [at, at + len(piece)], "right")
+        finish[a:b] = total[ends[a:b] - at]
+        carry = int(total[-1])
+        high, low = high * pow(_BASE, len(piece), 1 << 64) & _MASK, low * pow(_INVERSE, len(piece), 1 << 64) & _MASK
+    return mix((finish - begin) * scale ^ (ends - starts).astype(U))
+
+
+def trim() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks, and what they keep counts for the executor."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+_libc = ctypes.CDLL(None)
 
 
 def word_table(separators: bytes, fold: bool) -> np.ndarray:
@@ -93,13 +127,7 @@ class Words:
         self.rows = np.repeat(np.arange(len(self.counts)), self.counts)
 
     def hashes(self) -> np.ndarray:
-        n = len(self.folded)
-        if not len(self.starts):
-            return np.zeros(0, U)
-        total = np.zeros(n + 1, U)
-        np.cumsum(_LETTERS[self.folded] * powers(_BASE, n), out=total[1:])
-        value = (total[self.ends] - total[self.starts]) * powers(_INVERSE, n)[self.starts]
-        return mix(value ^ (self.ends - self.starts).astype(U))
+        return span_hashes(self.folded, _LETTERS, self.starts, self.ends)
 
     def word(self, i: int) -> bytes:
         return self.folded[self.starts[i] : self.ends[i]].tobytes()
@@ -118,11 +146,13 @@ def windows(h: np.ndarray, words: int, multiplier: int) -> np.ndarray:
 
 
 def row_blocks(batches: Iterator[pa.RecordBatch], text: str, size: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches with their text bytes and offsets."""
+    """Slices of the batches with their text bytes and offsets; memory is given back after the last one."""
     for batch in batches:
         data, offsets = text_bytes(batch.column(text))
         for a, b in blocks(offsets, size):
             yield batch.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        batch = data = offsets = None
+    trim()
 
 
 def with_columns(df: DataFrame, text: str, fields: list[StructField], make: Callable[[], Callable], needed: list[str] | None = None, size: int = BLOCK_BYTES) -> DataFrame:

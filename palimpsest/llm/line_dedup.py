@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import saved
+from .tables import saved
 
 PERCENT, MIN_PAGES = 8, 5
 

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import saved
-from .kernel import _BASE, _INVERSE, U, mix, powers, row_blocks
+from .tables import saved
+from .kernel import U, row_blocks, span_hashes
 
 CAPACITY = 4096
 END = 1
@@ -110,9 +110,7 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         low = np.where(codes < 256, _LOWER[np.minimum(codes, 255)], 0).astype(np.uint8)
-        total = np.zeros(n + 1, U)
-        np.cumsum(_CODES[low] * powers(_BASE, n), out=total[1:])
-        h = mix((total[ends] - total[starts]) * powers(_INVERSE, n)[starts] ^ (ends - starts).astype(U))
+        h = span_hashes(low, _CODES, starts, ends)
         is_slow = kind[starts] == 5
         h[is_slow] = np.arange(int(is_slow.sum())).astype(U)  # given below, one by one
         unique, at, inverse = np.unique(h, return_index=True, return_inverse=True)

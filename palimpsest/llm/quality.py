@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import saved
+from .tables import saved
 from .kernel import SPACED, U, Words, mix, row_blocks, with_columns
 
 BUCKETS, TEMPERATURE, SEED, MAX_LABELLED = 8192, 0.05, 20240611, 20_000

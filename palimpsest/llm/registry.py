@@ -6,6 +6,7 @@ from .jaccard_join import OP3_SQL, op3_jaccard_join
 from .language_id import op9_language_id
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .packing import op6_pack
+from .pipeline import run
 from .quality import op10_quality
 from .secret_scan import op4_secret_scan
 from .substring_dedup import OP2_SQL, op2_substring_dedup
@@ -22,16 +23,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
+    "pipeline": run,
 }
-
-
-def _pipeline(spark, sf_dir):
-    from corpus_pipeline import run
-
-    return run(spark, sf_dir)
-
-
-QUERIES["pipeline"] = _pipeline
 ORACLE_SQL = {
     "op1_decontaminate": OP1_SQL,
     "op2_substring_dedup": OP2_SQL,

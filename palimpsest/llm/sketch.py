@@ -1,7 +1,8 @@
-"""Count-min sketches of 64-bit hashes that saturate at two: which hashes may occur more than once.
+"""Count-min sketches of 64-bit hashes that saturate: which hashes may occur more than once, or at all.
 
-Each task counts its hashes in chunks and emits the counters it touched as byte-coded gaps, cut into slices; slices are
-merged by addition where they meet, and kept as one bit a counter: two or more. Estimates are never too low.
+Each task counts its hashes in chunks, one row of counters after the other, and emits the counters it touched as byte-coded
+gaps, cut into slices; slices are merged by addition where they meet, and kept as one bit a counter: `least` or more.
+Estimates are never too low. A task holds a chunk of hashes and one row's counters of it; a merging task a few slices.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import dropped, saved
-from .kernel import U
+from .kernel import U, mix, trim
+from .tables import dropped, saved
 
-SLICE = 1 << 22
+SLICE, CHUNK = 1 << 22, 1 << 20
 ROWS = 2
 COUNTERS_PER_BYTE, MAX_BYTES = 0.35, 96 << 20
 
@@ -41,7 +42,11 @@ def ungaps(data: bytes) -> np.ndarray:
 def width_for(docs: DataFrame, counters_per_byte: float = COUNTERS_PER_BYTE, max_bytes: int = MAX_BYTES) -> int:
     """Counters a row for the texts of `docs`; `max_bytes` of bits bound the broadcast."""
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return int(min(max(n_bytes * counters_per_byte, SLICE / 2), max_bytes * 8 / ROWS))
+    return bounded_width(n_bytes * counters_per_byte, max_bytes)
+
+
+def bounded_width(wanted: float, max_bytes: int) -> int:
+    return int(min(max(wanted, SLICE / 2), max_bytes * 8 / ROWS))
 
 
 def counters(h: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -51,43 +56,67 @@ def counters(h: np.ndarray, width: int) -> Iterator[np.ndarray]:
     yield ((high * U(width)) >> U(32)) + U(width)
 
 
-def maybe_repeated(bits: np.ndarray, h: np.ndarray, width: int) -> np.ndarray:
+def passing(bits: np.ndarray | bytes, h: np.ndarray, width: int) -> np.ndarray:
+    """Whether the bits of every counter of each hash are set."""
+    bits = np.frombuffer(bits, np.uint8)
     out = np.ones(len(h), bool)
     for at in counters(h, width):
-        at = at.astype(np.int64)
-        out &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+        out &= (bits[at >> U(3)] >> (U(7) - (at & U(7))).astype(np.uint8)) & 1 == 1
     return out
 
 
-def repeated_bits(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], width: int) -> np.ndarray:
-    """The bits of counters that are two or more, over all hashes, which come in chunks of bounded size."""
+def chunked(hashes: Iterator[np.ndarray], chunk: int | None = None) -> Iterator[np.ndarray]:
+    """The same hashes in arrays of about `chunk`."""
+    held, n, chunk = [], 0, chunk or CHUNK
+    for h in hashes:
+        held.append(h)
+        n += len(h)
+        if n >= chunk:
+            joined = np.concatenate(held)
+            held, n = [], 0
+            yield joined
+    if n:
+        yield np.concatenate(held)
+
+
+def counter_bits(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], width: int, least: int = 2) -> bytes:
+    """The bits of counters that are `least` (1 or 2) or more, over all hashes of `docs`."""
 
     def local(batches):
-        for h in hashes(batches):
-            touched = np.sort(np.concatenate(list(counters(h, width))).astype(np.int64))
-            first = np.ones(len(touched), bool)
-            first[1:] = touched[1:] != touched[:-1]
-            once = touched[first]
-            twice = np.diff(np.append(np.flatnonzero(first), len(touched))) > 1
-            bounds = np.arange(0, 2 * width + SLICE, SLICE)
-            cut = np.searchsorted(once, bounds)
-            parts = [(k, gaps(once[a:b] - bounds[k]), gaps(once[a:b][twice[a:b]] - bounds[k])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-            if parts:
-                k, x, y = zip(*parts, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["slice", "once", "twice"])
+        bounds = np.arange(0, ROWS * width + SLICE, SLICE)
+        for h in chunked(hashes(batches)):
+            for touched in counters(h, width):
+                touched = touched.astype(np.uint32 if ROWS * width < 1 << 32 else np.int64)
+                touched.sort()
+                first = np.ones(len(touched), bool)
+                first[1:] = touched[1:] != touched[:-1]
+                once = touched[first]
+                twice = np.diff(np.append(np.flatnonzero(first), len(touched))) > 1
+                del touched, first
+                cut, parts = np.searchsorted(once, bounds), []
+                for k in np.flatnonzero(np.diff(cut)).tolist():
+                    a, b = cut[k], cut[k + 1]
+                    at = once[a:b].astype(np.int64) - bounds[k]
+                    parts.append((k, gaps(at), gaps(at[twice[a:b]]) if least > 1 else b""))
+                if parts:
+                    k, x, y = zip(*parts, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["slice", "once", "twice"])
+        trim()
 
     def merge(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, once, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                count = held.setdefault(k, np.zeros(SLICE, np.uint8))
+            for k, once, twice in zip(*batch.columns, strict=True):
+                count = held.setdefault(k.as_py(), np.zeros(SLICE, np.uint8))
                 for part in (once, twice):
-                    at = ungaps(part)
+                    at = ungaps(part.as_buffer())
                     count[at] = np.minimum(count[at] + 1, 2)
         for k, count in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(count > 1).tobytes()], pa.binary())], ["slice", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(count >= least).tobytes()], pa.binary())], ["slice", "bits"])
+        held = None
+        trim()
 
-    n = -(-2 * width // SLICE)
+    n = -(-ROWS * width // SLICE)
     parts = min(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     merged = docs.mapInArrow(local, "slice int, once binary, twice binary").repartition(parts, "slice").mapInArrow(merge, "slice int, bits binary")
     bits = np.zeros(n * SLICE // 8, np.uint8)
@@ -96,4 +125,37 @@ def repeated_bits(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]],
     for r in merged.toLocalIterator():
         bits[r.slice * (SLICE // 8) : (r.slice + 1) * (SLICE // 8)] = np.frombuffer(r.bits, np.uint8)
     dropped(merged)
-    return bits
+    return bits.tobytes()
+
+
+class IdFilter:
+    """A Bloom filter of long ids, as a sketch of counters of one or more: never misses one, passes few others. `max_bytes` bounds it."""
+
+    def __init__(self, ids: DataFrame, n: int, max_bytes: int):
+        name = ids.columns[0]
+        self.width = bounded_width(8 * n, max_bytes)
+        self.bits = counter_bits(ids, lambda batches: (mix(b.column(name).drop_null().to_numpy().view(U)) for b in batches), self.width, least=1)
+
+    def passes(self, ids: np.ndarray) -> np.ndarray:
+        return passing(self.bits, mix(ids.astype(np.int64).view(U)), self.width)
+
+
+def rows_of(df: DataFrame, id: str, ids: DataFrame, n: int, max_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame | None]:
+    """`df` in two: rows whose long `id` is among the `n` of `ids` (one column) and few others, for the map side of a join;
+    and the rest, surely not among them. Where a filter of `max_bytes` has less than two bits an id, it would spare little:
+    then all rows are in the first part and the rest is None."""
+    if 2 * n > 8 * max_bytes:
+        return df, None
+    sieve = df.sparkSession.sparkContext.broadcast(IdFilter(ids, n, max_bytes))
+
+    def part(wanted: bool):
+        def keep(batches):
+            for batch in batches:
+                column = batch.column(id)
+                passed = sieve.value.passes(column.fill_null(0).to_numpy()) & column.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(passed == wanted))
+            trim()
+
+        return df.mapInArrow(keep, df.schema)
+
+    return part(True), part(False)

@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import rows_of, saved
 from .kernel import SPACED, U, Words, mix, row_blocks, windows, with_columns
-from .sketch import COUNTERS_PER_BYTE, MAX_BYTES, maybe_repeated, repeated_bits, width_for
+from .sketch import COUNTERS_PER_BYTE, MAX_BYTES, counter_bits, passing, rows_of, width_for
+from .tables import released, saved
 
 WINDOW = 20
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _ROLL, _CHECK = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 KEY = -(1 << 63)
 #: A row of the exact pass, packed: the last bit of h is 0 for an occurrence (high half of `at`: 32 more hash bits) and 1
@@ -42,40 +42,41 @@ KEY = -(1 << 63)
 ROW = T.StructType([T.StructField(n, T.LongType()) for n in ("h", "at", "doc")])
 
 
-class Chunks:
-    """Windows of a partition in chunks of about CHUNK: key of the document, start, and hashes."""
-
-    def __init__(self, batches, size: int, check: bool, chunk: int = CHUNK):
-        self.batches, self.size, self.check, self.chunk = batches, size, check, chunk
-
-    def __iter__(self):
-        held, n = [], 0
-        for block, data, offsets in row_blocks(self.batches, "text"):
-            words = Words(data, offsets, SPACED)
-            h = words.hashes()
-            whole = windows(h, self.size, _ROLL)
-            if not len(whole):
-                continue
-            inside = np.flatnonzero(words.rows[self.size - 1 :] == words.rows[: len(whole)])
-            rows = words.rows[inside]
-            docs = block.column("doc").to_numpy(zero_copy_only=False)[rows] if self.check else None
-            starts = (inside - words.firsts[rows]).astype(np.int32) if self.check else None
-            other = (windows(h, self.size, _CHECK)[inside] >> U(32)).astype(np.uint32).view(np.int32) if self.check else None
-            held.append((whole[inside], other, docs, starts))
-            n += len(inside)
-            if n >= self.chunk:
-                yield self.joined(held)
-                held, n = [], 0
-        if n:
-            yield self.joined(held)
-
-    def joined(self, held):
-        return [np.concatenate(x) if x[0] is not None else None for x in zip(*held, strict=True)]
-
-
-def sketch(docs: DataFrame, size: int, width: int) -> np.ndarray:
+def window_blocks(batches, size: int):
+    """Per block: hashes of the windows of its texts, the numbers of their first words, the words, their hashes, and the block."""
+    for block, data, offsets in row_blocks(batches, "text"):
+        words = Words(data, offsets, SPACED)
+        h = words.hashes()
+        whole = windows(h, size, _ROLL)
+        if len(whole):
+            inside = np.flatnonzero(words.rows[size - 1 :] == words.rows[: len(whole)])
+            yield whole[inside], inside, words, h, block
+
+
+def sketch(docs: DataFrame, size: int, width: int) -> bytes:
     """The bits of counters that are two or more, over all windows of `docs` (doc, text)."""
-    return repeated_bits(docs, lambda batches: (h for h, *_ in Chunks(batches, size, False)), width)
+    return counter_bits(docs, lambda batches: (x[0] for x in window_blocks(batches, size)), width)
+
+
+def suspects(batches, size: int, width: int, bits: bytes, chunk: int):
+    """(h, 32 more bits, doc, start) of the windows estimated repeated, in chunks of about `chunk`; others are never held."""
+    held, n = [], 0
+    for whole, inside, words, h, block in window_blocks(batches, size):
+        keep = np.flatnonzero(passing(bits, whole, width))
+        if not len(keep):
+            continue
+        inside = inside[keep]
+        rows = words.rows[inside]
+        other = (windows(h, size, _CHECK)[inside] >> U(32)).astype(np.uint32).view(np.int32)
+        docs = block.column("doc").to_numpy(zero_copy_only=False)[rows]
+        held.append((whole[keep] & ~U(1), other, docs, (inside - words.firsts[rows]).astype(np.int32)))
+        n += len(keep)
+        if n >= chunk:
+            joined = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, n = [], 0
+            yield joined
+    if n:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
 def occurrences(docs: DataFrame, size: int, width: int, bits) -> DataFrame:
@@ -83,10 +84,7 @@ def occurrences(docs: DataFrame, size: int, width: int, bits) -> DataFrame:
     later ones."""
 
     def find(batches):
-        sieve = bits.value
-        for h, h2, doc, start in Chunks(batches, size, True):
-            keep = np.flatnonzero(maybe_repeated(sieve, h, width))
-            h, h2, doc, start = h[keep] & ~U(1), h2[keep], doc[keep], start[keep]
+        for h, h2, doc, start in suspects(batches, size, width, bits.value, CHUNK):
             order = np.lexsort((start, doc, h2, h))
             h, h2, doc, start = h[order], h2[order], doc[order], start[order]
             new = np.ones(len(h), bool)
@@ -111,7 +109,7 @@ def occurrences(docs: DataFrame, size: int, width: int, bits) -> DataFrame:
 
 
 def marks(docs: DataFrame, size: int = WINDOW, counters_per_byte: float = COUNTERS_PER_BYTE, max_sketch_bytes: int = MAX_BYTES) -> DataFrame:
-    """doc and runs (start << 32 | number of starts) of the windows of `docs` (doc, text) that also start earlier."""
+    """doc and runs (start << 32 | number of starts) of the windows of `docs` (doc, text) that also start earlier; saved."""
     width = width_for(docs, counters_per_byte, max_sketch_bytes)
     bits = docs.sparkSession.sparkContext.broadcast(sketch(docs, size, width))
     rows = occurrences(docs, size, width, bits)
@@ -121,16 +119,20 @@ def marks(docs: DataFrame, size: int = WINDOW, counters_per_byte: float = COUNTE
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranked = rows.repartition(parts, "h").withColumn("high", high).withColumn("rank", F.rank().over(Window.partitionBy("h", "high").orderBy("doc", "at")))
     later = ranked.where(known | (F.col("rank") > 1))
-    return later.groupBy("doc").agg(F.collect_list(F.shiftleft(start, 32) + F.when(known, F.col("high")).otherwise(1)).alias("runs"))
+    out = saved(later.groupBy("doc").agg(F.collect_list(F.shiftleft(start, 32) + F.when(known, F.col("high")).otherwise(1)).alias("runs")), "marks")
+    released(bits)
+    return out
 
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = WINDOW, with_text: bool = True, **options) -> DataFrame:
     """id, n_words, n_removed, kept_sha256 and, on request, kept_text: the kept words joined by one space."""
     docs = docs.select(F.col(id).alias("id"), F.coalesce(F.col(id), F.lit(KEY)).cast("long").alias("doc"), F.col(text).alias("text"))
-    marked = saved(marks(docs.select("doc", "text"), size, **options), "marks")
+    marked = marks(docs.select("doc", "text"), size, **options)
     # Only texts that marks may touch are shuffled; a bounded filter of their ids tells.
     touched, rest = rows_of(docs, "doc", marked.select("doc"), marked.count())
-    found = touched.join(marked, "doc", "left").unionByName(rest.withColumn("runs", F.lit(None).cast("array<bigint>")))
+    found = touched.join(marked, "doc", "left")
+    if rest is not None:
+        found = found.unionByName(rest.withColumn("runs", F.lit(None).cast("array<bigint>")))
 
     def make():
         def block(batch, data, offsets):

@@ -120,7 +120,7 @@ def test_gap_code():
 def test_sketch_never_underestimates(spark, docs):
     part = docs.select(F.col("doc_id").alias("doc"), "text")
     width = sketch.SLICE // 2
-    bits = substring_dedup.sketch(part, 20, width)
+    bits = np.frombuffer(substring_dedup.sketch(part, 20, width), np.uint8)
     h = []
     for _, data, offsets in substring_dedup.row_blocks(part.toArrow().to_batches(), "text"):
         w = substring_dedup.Words(data, offsets, substring_dedup.SPACED)

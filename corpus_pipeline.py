@@ -1,73 +1,8 @@
-"""A training corpus from `documents`: quality, boilerplate lines, near duplicates, contamination, packing.
+"""The corpus pipeline, as the stages of palimpsest.llm.pipeline: quality, boilerplate lines, near duplicates, contamination
+and packing. STAGES lists (name, function); run(spark, sf_dir) applies them to `documents`; ORACLE_SQL is None, as SQL can
+express neither the tokenizer nor the packing. What each stage makes of nulls, empty and repeated rows, empty tables and
+extra columns is told there."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes each stage's rows to the shared checkpoint
-folder and reads them again for the next one. All stages but the last return the columns of `documents`, with n_chars as
-the text is then.
-"""
+from palimpsest.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from palimpsest.llm import decontaminate, jaccard_join, line_dedup, packing, quality
-from palimpsest.llm.components import rows_of, saved
-
-
-def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that importance resampling takes; those it rejects go."""
-    return quality.keep_selected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-
-
-def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that too many documents of their source carry. Copies count once there: they are left
-    to the removal of near duplicates, which keeps one."""
-    cut = line_dedup.remove_lines(docs, host="source", copies_once=True)
-    return cut.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, that of the least doc_id, of each group linked by five-word shingles at a similarity of 0.8 or more.
-
-    Rows, not ids, are linked and go, so ids may repeat or be null: a null doc_id comes last, and between rows of one doc_id
-    the row's hash decides. Rows equal in all columns are one row. Other rows without words stay.
-    """
-    keyed = docs.withColumn("__key", F.xxhash64(*(x for c in docs.columns for x in (F.col(c), F.col(c).isNull()))))
-    member = jaccard_join.join(keyed, id="__key", percent=80, size=5).select("__key", "component_id")
-    many = member.groupBy("component_id").count().where("count > 1").select("component_id")
-    grouped = saved(member.join(many, "component_id").select("__key", "component_id"), "grouped")
-    # Only rows of groups are shuffled; a bounded filter of row hashes tells.
-    doubtful, rest = rows_of(keyed, "__key", grouped.select("__key"), grouped.count())
-    of = grouped.distinct()
-    least = doubtful.select("__key", "doc_id").join(of, "__key").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("least"))
-    gone = saved(of.select("__key").join(least.select("least.__key"), "__key", "left_anti"), "gone")
-    kept = doubtful.join(gone, "__key", "left_anti").dropDuplicates(["__key"])
-    return kept.unionByName(rest).select(docs.columns)
-
-
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of which less than a twentieth of the words lies in benchmark windows."""
-    return decontaminate.remove_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents left and their places in sequences of at most 4096 tokens."""
-    return packing.pack(docs)
-
-
-STAGES = [
-    ("quality", keep_good),
-    ("line_dedup", drop_boilerplate),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("packing", pack),
-]
-#: SQL can express neither the tokenizer nor the packing; tests hold each stage against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

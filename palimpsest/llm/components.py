@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sketch import rows_of  # noqa: F401  corpus_pipeline.py still reads it here
 from .tables import dropped, saved
 
 

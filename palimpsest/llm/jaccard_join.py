@@ -5,22 +5,25 @@ A document's set is its distinct 3-word shingles (lower-cased ASCII, words split
 
 Signatures. Set sizes fall into bands such that linked sets are in the same or neighbouring bands; an instance serves two
 neighbouring bands, and its equal-size-band sets differ in at most k elements if linked. An instance divides the shingle
-domain by hash into 2 (k + 1) parts, so two linked sets agree on k + 2 whole parts at least. A signature is a hash of one
-part's elements. The enumeration of single parts is complete even though
+domain by hash into n1 parts, and each part into 4 again. Every pair of a part's 4 is enumerated, and a signature is a hash of
+the elements in a pair. j differing elements in a part leave 3 - j of its 6 pairs untouched at least, so linked sets agree on
+3 n1 - k pairs at least. The same number less one are left out, the last in an order that content alone decides (fullest
+first): the first pair that both agree on is not among the last ones of either set. n1 is (k + 1) / 2.5, rounded up, so about
+a twelfth of the pairs is left out, those with few or no elements, which many sets would share.
 
-* a part with an element that no other set has emits none, as it agrees with nothing: a count-min sketch of all shingles
-  tells which may be repeated (never too few);
-* of the other parts, the last k + 1 in an order that content alone decides (fullest first) emit none: of k + 2 agreed
-  parts, the first in that order is not among the last k + 1 of either set.
+A signature covers 10 or more shingles of a long set at 90 %, and 5 at 80 %. No scheme that misses nothing can have many more:
+differences may lie anywhere, and the number of signatures grows exponentially with what each covers.
 
-So a set that shares less than about the linking part of its shingles with the rest of the corpus emits nothing at all.
+A count-min sketch of all shingles tells which may be repeated (never too few). An element that no other set has is a
+difference to each of them, so a set with more than k such elements, a part with more than 2 and a pair with any emit
+nothing: a set that shares less than about the linking part of its shingles with the rest of the corpus has no signatures.
 
 Candidates. Sets that share a signature are joined to one of them, not paired: each task keeps one row a signature, the
 shuffle brings together at most one row a task, and each gets an edge to the first. Components of these edges hold all
-possible links. They are verified exactly, with sets compared within blocks of `block` members by matrix product; large
-components are dealt as pairs of blocks. Only a spanning forest of the links of a block pair leaves the task, so neither
-candidates nor links are ever written out as pairs. The exact comparison of a component of m different sets costs m * m /
-block rows read; equal sets count once.
+possible links. They are verified exactly, with sets compared within blocks of about `block` members and at most
+`block_shingles` shingles (or one longer set) by matrix product; larger components are dealt as pairs of blocks. Only a
+spanning forest of the links of a block pair leaves the task, so neither candidates nor links are ever written out as pairs.
+The exact comparison of a component of m different sets costs m * m / block rows read; equal sets count once.
 
 Defined results: null, empty or blank text has an empty set, size 0, and is its own component. Fewer than 3 words are one
 shingle. A null doc_id stays null and its document links with nothing. Repeated doc_ids link like their texts and share
@@ -29,6 +32,8 @@ the id. Other columns are ignored.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,10 +43,10 @@ from pyspark.sql import types as T
 from .components import components
 from .kernel import SPACED_FOLDED, U, Words, mix, row_blocks, with_columns
 from .sketch import counter_bits, passing, rows_of, width_for
-from .tables import saved
+from .tables import dropped, released, saved
 
-SHINGLE = 3
-CHUNK = 1 << 21
+SHINGLE, CELLS = 3, 4
+CHUNK = 1 << 20
 _ROLL = U(0xFF51AFD7ED558CCD)
 
 
@@ -92,29 +97,32 @@ def signatures(rows: np.ndarray, value: np.ndarray, n: int, percent: int, repeat
     band = np.searchsorted(ends, size)
     spread, weight = mix(value ^ U(0x2545F4914F6CDD1D)) >> U(32), mix(value ^ U(0x9FB21C651E98DF25))
     single = np.zeros(len(value), bool) if repeated is None else ~repeated
+    singles = np.bincount(rows[single], minlength=n)
     out_s, out_r = [np.zeros(0, U)], [np.zeros(0, np.int64)]
     for step in (0, 1):
         instance = band + step
         k = 2 * ends[instance] * (100 - percent) // (100 + percent)
-        # Every single element is a difference to any other set: with more than k of them a set links with none.
-        alive = (size > 0) & (k > 0) & (np.bincount(rows[single], minlength=n) <= k)
-        parts = np.where(alive, 2 * (k + 1), 0)
-        base = np.concatenate([[0], np.cumsum(parts)])
+        alive = (size > 0) & (k > 0) & (singles <= k)
+        n1 = np.where(alive, (2 * (k + 1) + 4) // 5, 0)
+        base = np.concatenate([[0], np.cumsum(n1)])
         use = alive[rows]
         r = rows[use]
-        code = base[r] + ((spread[use] * parts[r].astype(U)) >> U(32)).astype(np.int64)
-        m = int(base[-1])
-        total, inside = sums(code, weight[use], m), np.bincount(code, minlength=m)
-        shared = np.bincount(code[single[use]], minlength=m) == 0
-        row = np.repeat(np.arange(n), parts)
-        part = np.arange(m) - base[row]
-        # Parts that can agree, fullest first; the last k + 1 of them are left out.
-        row, part, total, inside = row[shared], part[shared], total[shared], inside[shared]
-        s = mix(total ^ mix((instance[row].astype(U) << U(40)) ^ part.astype(U) ^ U(0xA0761D6478BD642F)))
-        order = np.lexsort((s, -inside, row))
+        cell = base[r] * CELLS + ((spread[use] * (n1[r] * CELLS).astype(U)) >> U(32)).astype(np.int64)
+        cells = int(base[-1]) * CELLS
+        total, inside, alone = (x.reshape(-1, CELLS) for x in (sums(cell, weight[use], cells), np.bincount(cell, minlength=cells), np.bincount(cell[single[use]], minlength=cells)))
+        part = np.flatnonzero(alone.sum(axis=1) <= CELLS - 2)
+        row = np.repeat(np.arange(n), n1)[part]
+        total, inside, alone = total[part], inside[part], alone[part]
+        salt = mix((instance[row].astype(U) << U(40)) ^ ((part - base[row]).astype(U) << U(8)) ^ U(0xA0761D6478BD642F))
+        found = []
+        for number, (x, y) in enumerate(combinations(range(CELLS), 2)):
+            keep = alone[:, x] + alone[:, y] == 0
+            found.append((row[keep], inside[keep, x] + inside[keep, y], mix(total[keep, x] + total[keep, y] ^ mix(salt[keep] + U(number)))))
+        row, held, s = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((s, -held, row))
         row, s = row[order], s[order]
         first = np.searchsorted(row, np.arange(n + 1))
-        keep = np.arange(len(row)) - first[row] < (np.diff(first) - (k + 1))[row]
+        keep = np.arange(len(row)) - first[row] < (np.diff(first) - (3 * n1 - k - 1))[row]
         out_s.append(s[keep])
         out_r.append(row[keep])
     return np.concatenate(out_s), np.concatenate(out_r)
@@ -136,17 +144,14 @@ def _star(s: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _distinct(node[~new], centre[~new])
 
 
-def _values(batches, size: int):
-    """Shingles of a partition's texts, each once a document."""
-    for _, data, offsets in row_blocks(batches, "text"):
-        yield shingles(data, offsets, size)[1]
-
+def repeated_shingles(docs: DataFrame, size: int, width: int) -> bytes:
+    """The bits of counters that are two or more, over each text's distinct shingles."""
+    return counter_bits(docs.select("text"), lambda batches: (shingles(data, offsets, size)[1] for _, data, offsets in row_blocks(batches, "text")), width)
 
-def candidate_edges(docs: DataFrame, percent: int, size: int = SHINGLE) -> DataFrame:
-    """u, v: digests of sets that may link, as stars. A chunk's own edges pass through the shuffle under a null signature."""
 
-    width = width_for(docs)
-    bits = docs.sparkSession.sparkContext.broadcast(counter_bits(docs.select("text"), lambda batches: _values(batches, size), width))
+def candidate_edges(docs: DataFrame, percent: int, size: int, width: int, bits) -> DataFrame:
+    """u, v: digests of sets that may link, as stars. A chunk's own edges pass through the shuffle under a null signature.
+    `bits`: a broadcast of repeated_shingles."""
 
     def local(batches):
         held, n = [], 0
@@ -163,11 +168,13 @@ def candidate_edges(docs: DataFrame, percent: int, size: int = SHINGLE) -> DataF
             rows, value = shingles(data, offsets, size)
             first, _ = digests(rows, value, block.num_rows)
             s, row = signatures(rows, value, block.num_rows, percent, passing(bits.value, value, width))
-            held.append((s, first[row]))
-            n += len(s)
+            if len(s):
+                held.append((s, first[row]))
+                n += len(s)
             if n >= CHUNK:
-                yield flush()
+                out = flush()
                 held, n = [], 0
+                yield out
         if held:
             yield flush()
 
@@ -230,7 +237,7 @@ def forest(sets: list[np.ndarray], percent: int, cut: int | None = None, columns
     return out
 
 
-def verified_edges(members: DataFrame, percent: int, size: int, block: int) -> DataFrame:
+def verified_edges(members: DataFrame, percent: int, size: int) -> DataFrame:
     """u, v of links in each group, of rows (comp, a, b, side, doc, text): those of block a and of block b of a component."""
 
     def check(batches):
@@ -267,8 +274,9 @@ def verified_edges(members: DataFrame, percent: int, size: int, block: int) -> D
     return members.repartition(parts, "comp", "a", "b").sortWithinPartitions("comp", "a", "b").mapInArrow(check, "u long, v long").distinct()
 
 
-def join(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 90, size: int = SHINGLE, block: int = 192) -> DataFrame:
+def join(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 90, size: int = SHINGLE, block: int = 128, block_shingles: int = 1 << 19) -> DataFrame:
     """id, n_shingles, class_id (least id of an equal set) and component_id (least id reachable by links)."""
+    spark = docs.sparkSession
     docs = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
 
     def make():
@@ -283,19 +291,22 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int =
     fields = [T.StructField(c, T.LongType()) for c in ("n_shingles", "d1", "d2")]
     sized = saved(with_columns(docs, "text", fields, make, needed=["doc"]), "sets")
     linkable = sized.where("doc IS NOT NULL AND n_shingles > 0")
-    classes = saved(linkable.groupBy("d1", "d2").agg(F.min("doc").alias("class_id"), F.count("*").alias("n")), "classes")
-    comps = components(candidate_edges(docs.where("doc IS NOT NULL"), percent, size)).withColumnRenamed("node", "d1").withColumnRenamed("component", "comp")
-    members = saved(classes.join(comps, "d1").select(F.col("class_id").alias("doc"), "comp"), "members")
-    # Few components are larger than a block, whatever the input: they are named by the join's small side.
-    large = members.groupBy("comp").count().select("comp", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    dealt = members.join(large, "comp").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    classes = saved(linkable.groupBy("d1", "d2").agg(F.min("doc").alias("class_id"), F.max("n_shingles").alias("n")), "classes")
+    width = width_for(docs)
+    bits = spark.sparkContext.broadcast(repeated_shingles(docs, size, width))
+    comps = saved(components(candidate_edges(docs.where("doc IS NOT NULL"), percent, size, width, bits)), "comps")
+    released(bits)
+    members = saved(classes.join(comps.select(F.col("node").alias("d1"), F.col("component").alias("comp")), "d1").select(F.col("class_id").alias("doc"), "comp", "n"), "members")
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).cast("int")
+    dealt = members.join(members.groupBy("comp").agg(blocks.alias("blocks")), "comp").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     # Most texts are in no component; a bounded filter keeps them out of the shuffle.
     texts = dealt.join(rows_of(docs, "doc", members.select("doc"), members.count())[0], "doc")
     pairs = texts.select("comp", "doc", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = pairs.select("comp", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc", "text")
-    links = verified_edges(pairs, percent, size, block)
-    groups = components(links).withColumnRenamed("node", "class_id")
-    of = classes.join(groups, "class_id", "left").select("d1", "d2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    groups = saved(components(verified_edges(pairs, percent, size)), "groups")
+    dropped(comps, members)
+    groups = groups.select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
+    of = classes.join(groups, "class_id", "left").select("d1", "d2", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
     out = sized.join(of, ["d1", "d2"], "left")
     none = F.col("n_shingles") == 0
     return out.select(F.col("doc").alias(id), "n_shingles", *(F.when(F.col("doc").isNull() | none, F.col("doc")).otherwise(F.col(c)).alias(c) for c in ("class_id", "component_id")))

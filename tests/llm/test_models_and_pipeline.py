@@ -11,8 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests.llm.test_text_operators import brute_components, brute_contamination
 
-import corpus_pipeline
-from palimpsest.llm import language_id, packing, quality, toxicity
+from palimpsest.llm import language_id, packing, pipeline, quality, toxicity
 from palimpsest.llm.kernel import text_bytes
 
 WORDS = {"en": "the of and thing other with from".split(), "fr": "les été garçon où très être".split(), "de": "der über groß nicht straße und".split()}
@@ -242,9 +241,9 @@ def test_stages(spark, corpus, tmp_path, library):
     labels.union(more).write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     at = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_duplicates", "decontamination", "packing"]
+    assert [n for n, _ in pipeline.STAGES] == ["quality", "line_dedup", "near_duplicates", "decontamination", "packing"]
     seen = []
-    for name, stage in corpus_pipeline.STAGES:
+    for name, stage in pipeline.STAGES:
         before = {x.doc_id: x for x in at.collect()}
         stage(spark, at, str(tmp_path)).write.parquet(str(tmp_path / name))
         after = spark.read.parquet(str(tmp_path / name))
@@ -268,7 +267,7 @@ def test_stages(spark, corpus, tmp_path, library):
         at = after
         seen.append(name)
     digest = lambda df: hashlib.sha256(repr(sorted(map(repr, df.select("doc_id", "piece", "ids_crc32").collect()))).encode()).hexdigest()
-    assert digest(corpus_pipeline.run(spark, str(tmp_path))) == digest(at)
+    assert digest(pipeline.run(spark, str(tmp_path))) == digest(at)
 
 
 def test_copies_do_not_make_their_lines_boilerplate(spark, corpus):
@@ -277,11 +276,11 @@ def test_copies_do_not_make_their_lines_boilerplate(spark, corpus):
     text = "first of its lines\nsecond of its lines\n\nlast of its lines here"
     rows = [(k, f"menu\npage {k} has words {k * k} of its own", "en", f"s{k % 4}", 1) for k in range(80)]
     rows += [(1000 + k, text, "en", f"s{k % 4}", 1) for k in range(39)] + [(2000, text + "\n \n", "en", "s0", 1), (2001, None, "en", "s1", 1)]
-    cut = corpus_pipeline.drop_boilerplate(spark, spark.createDataFrame(rows, docs.schema).repartition(3), "")
+    cut = pipeline.drop_boilerplate(spark, spark.createDataFrame(rows, docs.schema).repartition(3), "")
     got = {r.doc_id: r.text for r in cut.collect()}
     assert len(got) == len(rows) and got[2001] is None
     assert all(got[1000 + k] == text for k in range(39)) and all(got[k] == f"page {k} has words {k * k} of its own" for k in range(80))
-    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, cut.where("doc_id >= 1000"), "").collect()}
+    kept = {r.doc_id for r in pipeline.drop_near_duplicates(spark, cut.where("doc_id >= 1000"), "").collect()}
     assert kept == {1000, 2001}
 
 
@@ -290,7 +289,7 @@ def test_near_duplicates_of_repeated_and_null_ids(spark, corpus):
     a, b, c, d, e = (" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(5))
     rows = [(4, a), (4, a), (4, b + " tail"), (2, b), (7, c), (None, c), (None, c.upper()), (None, d), (None, d + " end"), (None, e), (9, ""), (9, ""), (10, ""), (None, None), (11, None), (12, "page")]
     docs = spark.createDataFrame([(k, t, "en", "s0", 1) for k, t in rows], corpus[0].schema).repartition(3)
-    got = [(x.doc_id, x.text) for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    got = [(x.doc_id, x.text) for x in pipeline.drop_near_duplicates(spark, docs, "").collect()]
     ds = [x for x in got if x in ((None, d), (None, d + " end"))]
     assert len(ds) == 1
     assert sorted((x for x in got if x not in ds), key=repr) == sorted([(4, a), (2, b), (7, c), (None, e), (9, ""), (10, ""), (None, None), (11, None), (12, "page")], key=repr)

@@ -207,6 +207,20 @@ def test_signatures_are_complete(percent):
             assert set(s[row == 0].tolist()) & set(s[row == 1].tolist())
 
 
+def test_signatures_are_selective():
+    """Sets that share 60 % of their elements rarely share a signature, and no signature is that of an empty pair of parts."""
+    r, met = np.random.default_rng(7), 0
+    for _ in range(100):
+        pool = r.integers(1, 1 << 63, 800).astype(np.uint64)
+        a, b = pool[:500], np.concatenate([pool[:300], pool[500:700]])
+        s, row = jaccard_join.signatures(np.repeat([0, 1], 500), np.concatenate([a, b]), 2, 90)
+        met += bool(set(s[row == 0].tolist()) & set(s[row == 1].tolist()))
+        other = r.integers(1, 1 << 63, 1000).astype(np.uint64)
+        s, row = jaccard_join.signatures(np.repeat([0, 1], 500), other, 2, 80)
+        assert not set(s[row == 0].tolist()) & set(s[row == 1].tolist())
+    assert met < 15
+
+
 def test_long_chain_of_components(spark):
     n = 300
     edges = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(1000, 1001)], "u long, v long")

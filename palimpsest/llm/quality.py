@@ -1,78 +1,103 @@
 """Quality classifier by importance resampling: the ratio of two hashed n-gram models, sampled by Gumbel top-k.
 
-Features are hashed n-grams (1 and 2) of word forms. A form is what a word looks like rather than what it says: its case,
-its last two marks, whether it repeats the word before it, and whether it has letters; vocabularies are open, so words
-themselves would say little. The raw model counts the n-grams of all documents, the target model those of documents
-labelled good; a document's log weight is the sum over its n-grams of the log ratio, as under an n-gram bag model.
-
-Selection: the k largest of log weight / temperature + Gumbel noise, a sample without replacement with odds given by the
-weights. The noise is a hash of (seed, id), so a recomputed task draws the same. k is the number of documents whose
-weight reaches the cut that best separates good from bad labelled rows. The k-th largest key is found exactly by
-refining a histogram of its 64 bits, 16 at a time; documents with equal keys at the cut are all kept.
-
-Scale: two narrow passes over the text; the models meet as at most 2 * `buckets` sums. The labels are fitted on a sample of
-at most `max_labelled` rows, the smallest by hash of the id; the raw model covers every document.
-
-Defined results: null or empty text has log weight 0; without labels of either kind every document has weight 0 and all
-are kept; repeated rows have equal keys.
+Features are hashed n-grams (1 and 2) of words, and of word forms: what a word looks like rather than what it says, its case,
+its last two marks, whether it repeats the word before it, and whether it has letters. For each of the two, the raw model
+counts the n-grams of all documents, the target model those of documents labelled good. A document's log weight is the sum
+over its n-grams of the log ratios, as under a bag-of-n-grams model.
+
+Such sums grow with length, far beyond any noise, so they are calibrated: a logistic model of the two mean log ratios an n-gram,
+fitted on labelled documents that the target model has not counted, gives the log odds that a document is good.
+
+Selection: the `k` largest of log odds / temperature + Gumbel noise, a sample without replacement with odds given by the
+weights: documents that are surely good or bad are hardly touched by the draw, doubtful ones are taken in proportion. The
+noise is a hash of (seed, id), so a recomputed task draws the same. By default k is the number of documents with even odds or
+better. The k-th largest key is found exactly by refining a histogram of its 64 bits, 16 at a time; documents with equal keys
+at the cut are all kept.
+
+Scale: two narrow passes over the text. The first counts, and gathers the n-grams of labelled rows; the models meet as at most
+`buckets` sums. The second writes each row with its key, and the result reads that table. The labels are a sample of at most
+`max_labelled` ids, the smallest by hash; the raw model covers every document.
+
+Defined results: a null or empty text has log weight 0 and is judged by the odds of that; repeated rows, equal texts of one id
+and all rows of null ids share a draw; ties at the cut are all kept; of several texts of one labelled id, calibration reads one.
+Without labels of both kinds, in either part, every document has log odds 0 and all are kept. An empty table gives an
+empty one. Columns may have any names: they are carried in one struct.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import saved
-from .kernel import SPACED, U, Words, mix, row_blocks, with_columns
+from .kernel import SPACED, SPACED_FOLDED, U, Words, mix, row_blocks, with_columns
+from .tables import dropped, released, saved
+from .toxicity import logistic
+
+FORMS, WORDS, TEMPERATURE, SEED, MAX_LABELLED = 8192, 16384, 1.0, 20240611, 20_000
+
 
-BUCKETS, TEMPERATURE, SEED, MAX_LABELLED = 8192, 0.05, 20240611, 20_000
+def _with_pairs(h: np.ndarray, rows: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of single hashes and of neighbouring pairs in a row."""
+    inside = rows[1:] == rows[:-1]
+    pair = mix(h[:-1] * U(0x9E3779B97F4A7C15) + h[1:])
+    return np.concatenate([rows, rows[1:][inside]]), (np.concatenate([h, pair[inside]]) % U(buckets)).astype(np.int64)
 
 
-def grams(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of the n-grams of word forms."""
-    words = Words(data, offsets, SPACED)
-    n = len(words.starts)
+def grams(data: np.ndarray, offsets: np.ndarray, forms: int = FORMS, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of the n-grams of word forms, in buckets from 0, and of words, in those from `forms` on."""
+    spaced = Words(data, offsets, SPACED)
+    n = len(spaced.starts)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    upper = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
-    lower = np.concatenate([[0], np.cumsum(((data >= 97) & (data <= 122)) | (data >= 128))])
-    up, low = upper[words.ends] - upper[words.starts], lower[words.ends] - lower[words.starts]
+    upper = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90), dtype=np.int32)])
+    lower = np.concatenate([[0], np.cumsum(((data >= 97) & (data <= 122)) | (data >= 128), dtype=np.int32)])
+    up, low = upper[spaced.ends] - upper[spaced.starts], lower[spaced.ends] - lower[spaced.starts]
     case = np.where(up + low == 0, 0, np.where(up == 0, 1, np.where((up > 1) & (up >= low), 2, 3)))
-    mark = np.where(((data >= 48) & (data <= 57)) | ((data >= 65) & (data <= 90)) | ((data >= 97) & (data <= 122)) | (data >= 128), 0, data)
-    last, prior = mark[words.ends - 1], np.where(words.ends - words.starts > 1, mark[np.maximum(words.ends - 2, 0)], 0)
-    h = words.hashes()
+    mark = np.where(((data >= 48) & (data <= 57)) | ((data >= 65) & (data <= 90)) | ((data >= 97) & (data <= 122)) | (data >= 128), np.uint8(0), data)
+    last, prior = mark[spaced.ends - 1], np.where(spaced.ends - spaced.starts > 1, mark[np.maximum(spaced.ends - 2, 0)], 0)
+    h = spaced.hashes()
     again = np.zeros(n, np.int64)
-    again[1:] = (h[1:] == h[:-1]) & (words.rows[1:] == words.rows[:-1])
+    again[1:] = (h[1:] == h[:-1]) & (spaced.rows[1:] == spaced.rows[:-1])
     form = mix((case | last.astype(np.int64) << 8 | prior.astype(np.int64) << 16 | again << 24).astype(U) + U(1))
-    pair = mix(form[:-1] * U(0x9E3779B97F4A7C15) + form[1:])
-    inside = words.rows[1:] == words.rows[:-1]
-    rows = np.concatenate([words.rows, words.rows[1:][inside]])
-    return rows, (np.concatenate([form, pair[inside]]) % U(buckets)).astype(np.int64)
+    row, bucket = _with_pairs(form, spaced.rows, forms)
+    _, other = _with_pairs(Words(data, offsets, SPACED_FOLDED).hashes(), spaced.rows, words)
+    return np.concatenate([row, row]), np.concatenate([bucket, other + forms])
 
 
-def _counts(docs: DataFrame, buckets: int) -> np.ndarray:
-    """[n-gram counts of all rows, of rows with good = 1] of `docs` (text, good)."""
+#: What the first pass gives: counts of a bucket, or, in bucket -1, the n-grams of a labelled row under the hash of its id.
+COUNTED = "bucket int, id long, n long, n_good long, good int, grams binary"
+
+
+def _counted(docs: DataFrame, forms: int, words: int) -> DataFrame:
+    """COUNTED of `docs` (id, text, good, part): parts 0 and 1 with good = 1 are the target, part 2 is gathered."""
 
     def count(batches):
-        total = np.zeros((2, buckets), np.int64)
+        total = np.zeros((2, forms + words), np.int64)
         for block, data, offsets in row_blocks(batches, "text"):
-            rows, bucket = grams(data, offsets, buckets)
-            good = np.equal(block.column("good").to_numpy(zero_copy_only=False), 1)
-            total[0] += np.bincount(bucket, minlength=buckets)
-            total[1] += np.bincount(bucket[good[rows]], minlength=buckets)
+            rows, bucket = grams(data, offsets, forms, words)
+            good = block.column("good").fill_null(-1).to_numpy()
+            part = block.column("part").to_numpy()
+            total[0] += np.bincount(bucket, minlength=forms + words)
+            total[1] += np.bincount(bucket[((good == 1) & (part < 2))[rows]], minlength=forms + words)
+            gathered = (good >= 0) & (part == 2)
+            if gathered.any():
+                own = gathered[rows]
+                order = np.argsort(rows[own], kind="stable")
+                sorted_bucket, cut = bucket[own][order].astype(np.int32), np.searchsorted(rows[own][order], np.arange(len(good) + 1))
+                held = [sorted_bucket[cut[i] : cut[i + 1]].tobytes() for i in np.flatnonzero(gathered)]
+                kept, m = block.filter(pa.array(gathered)), len(held)
+                yield pa.RecordBatch.from_arrays([pa.array([-1] * m, pa.int32()), kept.column("id"), pa.array([0] * m), pa.array([0] * m), kept.column("good"), pa.array(held, pa.binary())], names)
         used = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[0][used]), pa.array(total[1][used])], ["bucket", "n", "n_good"])
+        m = len(used)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.zeros(m, np.int64)), pa.array(total[0][used]), pa.array(total[1][used]), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
 
-    out = np.zeros((2, buckets))
-    sums = docs.select("text", "good").mapInArrow(count, "bucket int, n long, n_good long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("n_good").alias("n_good"))
-    for r in sums.collect():  # at most one row a bucket
-        out[:, r.bucket] = r.n, r.n_good
-    return out
+    names = [x.split()[0] for x in COUNTED.split(", ")]
+    rows = docs.select("id", "text", "good", "part").mapInArrow(count, COUNTED)
+    sums = [F.sum("n").alias("n"), F.sum("n_good").alias("n_good"), F.max("good").alias("good"), F.min("grams").alias("grams")]
+    return rows.groupBy("bucket", "id").agg(*sums).select(*names)
 
 
 def log_ratio(counts: np.ndarray) -> np.ndarray:
@@ -86,20 +111,61 @@ def log_ratio(counts: np.ndarray) -> np.ndarray:
     return np.where(seen, np.log(p / q), 0.0)
 
 
-def cut(weights: list[tuple[float, int]]) -> float:
-    """The log weight that separates labels best: most good at or above it plus bad below it, as shares; the middle of the gap."""
-    good, bad = sum(y for _, y in weights), sum(1 - y for _, y in weights)
-    if not good or not bad:
-        return -math.inf
-    best, at, below_good, below_bad = -1.0, -math.inf, 0, 0
-    ordered = sorted(weights)
-    for k, (w, y) in enumerate(ordered):
-        if k == 0 or w > ordered[k - 1][0]:
-            score = (good - below_good) / good + below_bad / bad
-            if score > best:
-                best, at = score, (w + ordered[k - 1][0]) / 2 if k else -math.inf
-        below_good, below_bad = below_good + y, below_bad + 1 - y
-    return at
+class Odds:
+    """Log ratios of buckets, and log odds as a line in the mean log ratios of forms and of words."""
+
+    def __init__(self, ratio: np.ndarray, forms: int):
+        self.ratio, self.forms, self.line = ratio, forms, np.zeros(3)
+
+    def sums(self, rows: np.ndarray, bucket: np.ndarray, n: int) -> np.ndarray:
+        """Per row: the sums of log ratios of forms and of words, and the number of n-grams of each."""
+        form = bucket < self.forms
+        value = self.ratio[bucket]
+        return np.stack([np.bincount(rows[form], value[form], n), np.bincount(rows[~form], value[~form], n), np.bincount(rows[form], minlength=n)])
+
+    def means(self, sums: np.ndarray) -> np.ndarray:
+        return (sums[:2] / np.maximum(sums[2], 1)).T
+
+    def fit(self, means: np.ndarray, good: np.ndarray) -> None:
+        """Logistic regression on standardised means; a mean that would count against good documents is left out."""
+        centre, spread = means.mean(axis=0), means.std(axis=0) + 1e-9
+        x = (means - centre) / spread
+        w = logistic(x, good, ridge=1.0)
+        if w[1:].min() < 0:
+            x[:, w[1:].argmin()] = 0
+            w = np.maximum(logistic(x, good, ridge=1.0), [-np.inf, 0, 0])
+        self.line = np.array([w[0] - (w[1:] * centre / spread).sum(), *(w[1:] / spread)])
+
+    def of(self, sums: np.ndarray) -> np.ndarray:
+        return self.line[0] + self.means(sums) @ self.line[1:]
+
+
+def fit(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, forms: int = FORMS, words: int = WORDS, max_labelled: int = MAX_LABELLED) -> Odds:
+    """The models of `docs` and of its labelled part, and their calibration."""
+    sample = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.xxhash64(id).alias("id")).agg(F.min(label).cast("int").alias("good"))
+    sample = saved(sample.orderBy("id").limit(max_labelled), "labels")
+    keyed = docs.select(F.when(F.col(id).isNotNull(), F.xxhash64(id)).alias("id"), F.col(text).alias("text"))
+    labelled = keyed.join(F.broadcast(sample), "id", "left").withColumn("part", F.coalesce(F.pmod("id", F.lit(3)), F.lit(0)).cast("int"))
+    counted = saved(_counted(labelled, forms, words), "counted")
+    counts = np.zeros((2, forms + words))
+    for r in counted.where("bucket >= 0").select("bucket", "n", "n_good").collect():  # a row a bucket at most
+        counts[:, r.bucket] = r.n, r.n_good
+    odds = Odds(np.concatenate([log_ratio(counts[:, :forms]), log_ratio(counts[:, forms:])]), forms)
+
+    def means(batches):
+        for batch in batches:
+            for grams, good in zip(batch.column("grams"), batch.column("good").to_numpy(), strict=True):
+                bucket = np.frombuffer(grams.as_buffer(), np.int32)
+                x, y = odds.means(odds.sums(np.zeros(len(bucket), np.int64), bucket, 1))[0].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([x]), pa.array([y]), pa.array([int(good)])], ["x", "y", "good"])
+
+    rows = counted.where("bucket < 0").select("grams", "good").mapInArrow(means, "x double, y double, good long").collect()  # max_labelled rows at most
+    rows.sort()
+    good = np.array([r.good for r in rows], float)
+    if 0 < good.sum() < len(good) and counts[1].any():
+        odds.fit(np.array([(r.x, r.y) for r in rows]), good)
+    dropped(sample, counted)
+    return odds
 
 
 def kth_largest(keys: DataFrame, k: int) -> int | None:
@@ -123,34 +189,39 @@ def _sortable(x):
     return F.round(F.greatest(F.lit(-4e9), F.least(F.lit(4e9), x)) * F.lit(float(1 << 30))).cast("long")
 
 
-def resample(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", buckets: int = BUCKETS, temperature: float = TEMPERATURE, seed: int = SEED, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """`docs` with log_weight, n_words and selected."""
-    sample = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("__id")).agg(F.min(label).cast("int").alias("good"))
-    sample = saved(sample.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled), "labels")
-    if not {"__row"} & set(docs.columns):
-        docs = docs.select(F.struct("*").alias("__row"), F.col(id).alias("__id"), F.col(text).alias("text"))
-    labelled = docs.join(F.broadcast(sample), "__id", "left")
-    ratio = docs.sparkSession.sparkContext.broadcast(log_ratio(_counts(labelled, buckets)))
+def noise(id, seed: int):
+    """Standard Gumbel noise, a function of the id alone."""
+    unit = (F.pmod(F.xxhash64(F.lit(seed), id), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    return -F.log(-F.log(unit))
+
+
+def resample(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", k: int | None = None, columns: list[str] | None = None, temperature: float = TEMPERATURE, seed: int = SEED, **options) -> DataFrame:
+    """__row (a struct of `docs`' columns, or of `columns`), log_weight, n_words, log_odds and selected."""
+    odds = fit(docs, labels, id, text, label, **options)
+    shared = docs.sparkSession.sparkContext.broadcast(odds)
 
     def make():
+        own = shared.value
+
         def block(batch, data, offsets):
-            rows, bucket = grams(data, offsets, buckets)
             n = batch.num_rows
-            return np.bincount(rows, ratio.value[bucket], n), Words(data, offsets, SPACED).counts
+            sums = own.sums(*grams(data, offsets, own.forms, len(own.ratio) - own.forms), n)
+            return sums[0] + sums[1], (sums[2].astype(np.int64) + 1) // 2, own.of(sums)
 
         return block
 
-    fields = [T.StructField("log_weight", T.DoubleType()), T.StructField("n_words", T.LongType())]
-    fitted = with_columns(labelled.where("good IS NOT NULL"), "text", fields, make, needed=["good"])
-    at = cut([(r.log_weight, r.good) for r in fitted.select("log_weight", "good").collect()])  # max_labelled rows and their repeats
-    scored = with_columns(docs, "text", fields, make, needed=["__row", "__id"])
-    unit = (F.pmod(F.xxhash64(F.lit(seed), F.col("__id")), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    keyed = scored.withColumn("key", _sortable(F.col("log_weight") / temperature - F.log(-F.log(unit))))
-    keys = saved(with_columns(docs, "text", fields, make, needed=["__id"]).select((F.col("log_weight") >= at).alias("above"), _sortable(F.col("log_weight") / temperature - F.log(-F.log(unit))).alias("key")), "keys")
-    k = keys.agg(F.count_if("above")).first()[0]
-    least = kth_largest(keys.select("key"), k) if k else None
-    chosen = F.lit(False) if least is None else F.col("key") >= least
-    return keyed.withColumn("selected", chosen).select("__row", "log_weight", "n_words", "selected")
+    fields = [T.StructField("log_weight", T.DoubleType()), T.StructField("n_words", T.LongType()), T.StructField("log_odds", T.DoubleType())]
+    carried = F.struct(*(F.col(f"`{c}`") for c in columns)) if columns else F.struct("*")
+    rows = docs.select(carried.alias("__row"), noise(F.col(id), seed).alias("__noise"), F.col(text).alias("text"))
+    keyed = with_columns(rows, "text", fields, make, needed=["__row", "__noise"]).withColumn("key", _sortable(F.col("log_odds") / temperature + F.col("__noise")))
+    keyed = saved(keyed.drop("__noise"), "keys")
+    released(shared)
+    if not odds.line.any():
+        return keyed.drop("key").withColumn("selected", F.lit(True))
+    k = keyed.agg(F.count_if(F.col("log_odds") >= 0)).first()[0] if k is None else k
+    least = kth_largest(keyed.select("key"), k) if k else None
+    chosen = F.lit(k > 0) if least is None else F.col("key") >= least
+    return keyed.withColumn("selected", chosen).drop("key")
 
 
 def keep_selected(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -160,4 +231,4 @@ def keep_selected(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def op10_quality(spark, sf_dir):
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return resample(docs.select("doc_id", "text"), labels).select("__row.doc_id", "n_words", "log_weight", "selected")
+    return resample(docs.select("doc_id", "text"), labels, columns=["doc_id"]).select("__row.doc_id", "n_words", "log_weight", "log_odds", "selected")

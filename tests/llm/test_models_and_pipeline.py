@@ -205,6 +205,66 @@ def test_quality_on_labels(corpus):
     assert kept.columns == docs.columns and kept.count() == sum(got.values())
 
 
+@pytest.fixture(scope="module")
+def doubtful(spark):
+    """Good documents have few loud words, bad ones many, and their shares overlap: labels leave many documents in doubt."""
+    r = random.Random(12)
+    rows = []
+    for k in range(900):
+        good = k % 2
+        share = min(1, max(0, r.gauss(0.35 if good else 0.65, 0.12)))
+        rows.append((k, " ".join("LOUD!!" if r.random() < share else r.choice(WORDS["en"]) for _ in range(60)), good))
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string").repartition(2).cache()
+    return docs, spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, quality int")
+
+
+def test_the_draw_takes_documents_in_proportion(doubtful):
+    """Over many seeds each document is taken about as often as a brute-force Gumbel top-k on the same odds takes it."""
+    docs, labels = doubtful
+    runs = [{r["__row"].doc_id: r for r in quality.resample(docs, labels, k=450, seed=seed).collect()} for seed in range(12)]
+    odds = np.array([runs[0][d].log_odds for d in range(900)])
+    taken = np.mean([[run[d].selected for d in range(900)] for run in runs], axis=0)
+    assert all(sum(x.selected for x in run.values()) == 450 for run in runs)
+    r = np.random.default_rng(1)
+    want = np.zeros(900)
+    for _ in range(400):
+        key = odds - np.log(-np.log(r.random(900)))
+        want[np.argsort(-key)[:450]] += 1 / 400
+    order = np.argsort(odds)
+    for part in np.array_split(order, 9):
+        assert abs(taken[part].mean() - want[part].mean()) < 0.06
+    top = set(order[-450:].tolist())
+    assert all(20 < len(top - {d for d in run if run[d].selected}) for run in runs)  # not the plain top k
+    assert 0.02 < taken[order[100:400]].mean() < taken[order[500:800]].mean() < 0.98
+
+
+def test_equal_seeds_draw_alike_and_a_cold_draw_is_the_top(doubtful):
+    docs, labels = doubtful
+    pick = lambda **o: {r["__row"].doc_id for r in quality.resample(docs, labels, k=300, **o).where("selected").collect()}
+    assert pick() == pick()
+    rows = quality.resample(docs, labels, k=300, temperature=1e-5).collect()
+    least = sorted((r.log_odds for r in rows), reverse=True)[299]
+    assert all(r.selected == (r.log_odds >= least) for r in rows if r.log_odds != least)
+
+
+def test_quality_of_odd_rows(corpus, spark):
+    docs, labels, _ = corpus
+    odd = docs.withColumn("__row", F.lit(1)).withColumn("__id", F.lit(2)).withColumn("a.b", F.lit(3)).withColumn("key", F.lit(4)).withColumn("log_odds", F.lit("x"))
+    odd = odd.union(odd.where("doc_id < 3")).union(odd.where("doc_id = 4").withColumn("text", F.lit("LOUD!! " * 200_000)))
+    kept = quality.keep_selected(odd, labels)
+    assert kept.columns == odd.columns
+    rows = quality.resample(odd, labels).collect()
+    assert len(rows) == odd.count()
+    by = collections.defaultdict(set)
+    for r in rows:
+        by[r["__row"].doc_id, r["__row"].text].add(r.selected)
+    assert all(len(v) == 1 for v in by.values())  # repeated rows share their draw
+    assert [(r.log_weight, r.n_words) for r in rows if r["__row"].doc_id in (9001, 9002)] == [(0.0, 0), (0.0, 0)]
+    assert max(r.n_words for r in rows) == 200_000
+    one_kind = labels.where("quality = 1")
+    assert quality.resample(docs, one_kind).where("NOT selected").count() == 0
+
+
 def test_kth_largest(spark):
     r = random.Random(1)
     keys = [r.choice((r.randrange(-(1 << 63), 1 << 63), r.randrange(5), -1)) for _ in range(500)]
@@ -214,16 +274,35 @@ def test_kth_largest(spark):
     assert quality.kth_largest(df, 501) is None
 
 
-def test_log_ratio_counts(spark, corpus):
+def test_counts_and_weights_against_brute_force(spark, corpus):
     docs, _, rows = corpus
-    counts = quality._counts(docs.withColumn("good", (F.col("doc_id") % 2).cast("int")), 512)
-    texts = {d: t for d, t, *_ in [(r.doc_id, r.text) for r in docs.collect()]}
-    want = np.zeros((2, 512))
-    for d, t in texts.items():
-        _, b = quality.grams(*text_bytes(pa.array([t])), 512)
-        want[0] += np.bincount(b, minlength=512)
-        want[1] += np.bincount(b, minlength=512) * (d is not None and d % 2 == 1)
-    assert (counts == want).all()
+    part = docs.select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 2).cast("int").alias("good"), F.coalesce(F.col("doc_id") % 3, F.lit(0)).cast("int").alias("part"))
+    counted = quality._counted(part, 64, 128).collect()
+    want, gathered, every = np.zeros((2, 192)), {}, docs.collect()
+    for r in every:
+        words = (r.text or "").split()
+        _, b = quality.grams(*text_bytes(pa.array([r.text])), 64, 128)
+        assert len(b) == 2 * max(0, 2 * len(words) - 1)
+        want[0] += np.bincount(b, minlength=192)
+        if r.doc_id is not None and r.doc_id % 2 == 1 and r.doc_id % 3 < 2:
+            want[1] += np.bincount(b, minlength=192)
+        if r.doc_id is not None and r.doc_id % 3 == 2:
+            gathered[r.doc_id] = (r.doc_id % 2, sorted(b.tolist()))
+    got = np.zeros((2, 192))
+    for r in counted:
+        if r.bucket >= 0:
+            got[:, r.bucket] = r.n, r.n_good
+    assert (got == want).all()
+    assert {r.id: (r.good, sorted(np.frombuffer(r.grams, np.int32).tolist())) for r in counted if r.bucket < 0} == gathered
+    odds = quality.Odds(np.concatenate([quality.log_ratio(got[:, :64]), quality.log_ratio(got[:, 64:])]), 64)
+    text = next(r.text for r in every if r.doc_id == 7)
+    _, b = quality.grams(*text_bytes(pa.array([text])), 64, 128)
+    sums = odds.sums(np.zeros(len(b), np.int64), b, 1)
+    for half, (lo, hi) in enumerate(((0, 64), (64, 192))):
+        seen = got[0, lo:hi] > 0
+        p = (got[1, lo:hi] + 1) / (got[1, lo:hi].sum() + seen.sum())
+        q = (got[0, lo:hi] + 1) / (got[0, lo:hi].sum() + seen.sum())
+        assert abs(sums[half, 0] - sum(float(np.log(p[x - lo] / q[x - lo])) for x in b if lo <= x < hi)) < 1e-9
 
 
 # The pipeline

@@ -2,14 +2,17 @@
 
 Words are runs of ASCII letters (folded to lower case), digits and any character outside ASCII. An item's windows are
 its 13 consecutive words, or the whole item when it is shorter. Each document block is hashed with numpy; runs of words
-that all occur in the benchmark are looked up by window hash, and every hit is verified on the words themselves.
+that all occur in the benchmark are looked up by window hash, and every hit is verified on the words themselves. Windows of
+items that agree in two 64-bit hashes are one.
 
-Scale: documents are scanned where they lie, without a shuffle. The benchmark is read in blocks of at most
-`max_block_bytes` of text, each one scan stage of the same narrow plan, so what is broadcast never exceeds that bound.
+Scale: documents are scanned where they lie, without a shuffle. The benchmark is read once, in blocks of `max_block_bytes` of
+text; a block's arrays (hashes, places, items, and the folded text to verify against) take about six bytes a byte. A pass
+over the documents looks each block of texts, hashed once, up in `blocks_a_pass` blocks; only a benchmark beyond
+their product, 32 MiB, costs another pass, which reads what the one before has saved.
 
 Defined results: a null or empty text has no words and no hits; a null item text has no windows; a null item id is the
-item "null"; repeated item ids count once; repeated document rows are judged row by row; an input column with the name
-of a result column gives way to the result.
+item "null"; repeated item ids count once; repeated document rows are judged row by row; an empty benchmark hits nothing; an
+input column with the name of a result column gives way to the result, and no other name matters.
 """
 
 from __future__ import annotations
@@ -23,33 +26,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernel import ALNUM_FOLDED, U, Words, mix, text_bytes, windows, with_columns
+from .tables import released, saved
 
 WINDOW = 13
-_ROLL = 0xD6E8FEB86659FD93
+_ROLL, _CHECK = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(SPAN)), T.StructField("item_ids", T.ArrayType(T.StringType()))]
 
 
 class Grams:
-    """The windows of some items: by length, sorted hashes with the words and the items of each."""
+    """The windows of some items in arrays: by length, the hash pairs that occur, in order, a place of each, and its items."""
 
-    def __init__(self, items: list[tuple[str, str | None]], size: int = WINDOW):
-        texts = pa.array([t or "" for _, t in items], pa.large_string())
-        data, offsets = text_bytes(texts)
+    def __init__(self, items: list[tuple[str | None, str | None]], size: int = WINDOW):
+        data, offsets = text_bytes(pa.array([t or "" for _, t in items], pa.large_string()))
         words = Words(data, offsets, ALNUM_FOLDED)
         h = words.hashes()
+        self.folded, self.starts, self.ends = words.folded, words.starts.astype(np.int32), words.ends.astype(np.int32)
+        self.names = ["null" if i is None else str(i) for i, _ in items]
         self.vocabulary = np.unique(h)
         self.flags = np.zeros(1 << 16, bool)
         self.flags[(self.vocabulary >> U(48)).astype(np.int64)] = True
-        found: dict[int, dict[int, dict[tuple, set]]] = {}
-        for row, n in enumerate(words.counts):
-            if n:
-                a, length = int(words.firsts[row]), int(min(size, n))
-                hashes = windows(h[a : a + n], length, _ROLL)
-                spelled = [words.word(a + i) for i in range(n)]
-                for i, x in enumerate(hashes.tolist()):
-                    found.setdefault(length, {}).setdefault(x, {}).setdefault(tuple(spelled[i : i + length]), set()).add(str(items[row][0]) if items[row][0] is not None else "null")
-        self.by_length = {k: (np.array(sorted(v), U), v) for k, v in found.items()}
+        length = np.minimum(words.counts, size)
+        self.by_length = {}
+        for n in np.unique(length[length > 0]).tolist():
+            place = np.flatnonzero((length[words.rows[: len(h) - n + 1]] == n) & (words.rows[n - 1 :] == words.rows[: len(h) - n + 1]))
+            first, second, item = windows(h, n, _ROLL)[place], windows(h, n, _CHECK)[place], words.rows[place]
+            order = np.lexsort((item, second, first))
+            first, second, item, place = first[order], second[order], item[order], place[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+            own = new.copy()
+            own[1:] |= item[1:] != item[:-1]
+            at = np.flatnonzero(new)
+            self.by_length[n] = (first[at], place[at].astype(np.int32), item[own].astype(np.int32), np.append(np.cumsum(own)[at] - 1, own.sum()))
 
     def known(self, h: np.ndarray) -> np.ndarray:
         out = self.flags[(h >> U(48)).astype(np.int64)]
@@ -58,30 +67,36 @@ class Grams:
         out[maybe] = self.vocabulary[at] == h[maybe]
         return out
 
-    def hits(self, words: Words):
+    def same(self, words: Words, a: int, b: int, n: int) -> bool:
+        """Whether n words from a on are the same as the items' from b on."""
+        if not np.array_equal(words.ends[a : a + n] - words.starts[a : a + n], self.ends[b : b + n] - self.starts[b : b + n]):
+            return False
+        x, y = words.folded[words.starts[a] : words.ends[a + n - 1]], self.folded[self.starts[b] : self.ends[b + n - 1]]
+        return np.array_equal(x[x != 0], y[y != 0])
+
+    def hits(self, words: Words, h: np.ndarray):
         """(first word, length, items) of each verified window, by position within the block."""
-        if not self.by_length or not len(words.starts):
+        if not self.by_length or not len(h):
             return
-        h = words.hashes()
-        total = np.concatenate([[0], np.cumsum(self.known(h))])
-        for length, (hashes, exact) in self.by_length.items():
-            n = len(h) - length + 1
-            if n <= 0:
+        total = np.concatenate([[0], np.cumsum(self.known(h), dtype=np.int32)])
+        for n, (hashes, place, item, cut) in self.by_length.items():
+            last = len(h) - n + 1
+            if last <= 0:
                 continue
-            starts = np.flatnonzero((total[length:] - total[:-length] == length) & (words.rows[length - 1 :] == words.rows[:n]))
+            starts = np.flatnonzero((total[n:] - total[:-n] == n) & (words.rows[n - 1 :] == words.rows[:last]))
             if not len(starts):
                 continue
             value = h[starts].copy()
-            for j in range(1, length):
+            for j in range(1, n):
                 value *= U(_ROLL)
                 value += h[starts + j]
             value = mix(value)
-            at = np.minimum(np.searchsorted(hashes, value), len(hashes) - 1)
-            for i in np.flatnonzero(hashes[at] == value):
-                start = int(starts[i])
-                items = exact[int(value[i])].get(tuple(words.word(start + j) for j in range(length)))
-                if items:
-                    yield start, length, items
+            lo, hi = np.searchsorted(hashes, value), np.searchsorted(hashes, value, "right")
+            for i in np.flatnonzero(hi > lo).tolist():
+                for at in range(lo[i], hi[i]):
+                    if self.same(words, int(starts[i]), int(place[at]), n):
+                        yield int(starts[i]), n, item[cut[at] : cut[at + 1]]
+                        break
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -94,54 +109,69 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scan(df: DataFrame, text: str, grams, first: bool) -> DataFrame:
+def _scan(df: DataFrame, text: str, shared: list) -> DataFrame:
+    """`df`, all of whose columns have names of their own, with FIELDS; earlier findings are in before_spans and before_items."""
+    first = "before_spans" not in df.columns
+
     def make():
-        g = grams.value
+        every = [g.value for g in shared]
 
         def block(batch, data, offsets):
             words = Words(data, offsets, ALNUM_FOLDED)
+            h = words.hashes()
             spans: list[list] = [[] for _ in range(batch.num_rows)]
             items: list[set] = [set() for _ in range(batch.num_rows)]
-            for start, length, names in g.hits(words):
-                row = int(words.rows[start])
-                a = start - int(words.firsts[row])
-                spans[row].append((a, a + length))
-                items[row] |= names
+            for g in every:
+                found: dict[int, list] = {}
+                for start, length, numbers in g.hits(words, h):
+                    row = int(words.rows[start])
+                    a = start - int(words.firsts[row])
+                    spans[row].append((a, a + length))
+                    found.setdefault(row, []).append(numbers)
+                for row, numbers in found.items():
+                    items[row].update(g.names[k] for k in np.unique(np.concatenate(numbers)).tolist())
             if not first:
-                for row, (s, i) in enumerate(zip(batch.column("hit_spans").to_pylist(), batch.column("item_ids").to_pylist(), strict=True)):
+                for row, (s, i) in enumerate(zip(batch.column("before_spans").to_pylist(), batch.column("before_items").to_pylist(), strict=True)):
                     spans[row] += [(x["start"], x["end"]) for x in s]
                     items[row].update(i)
             return words.counts, [[{"start": a, "end": b} for a, b in merged(s)] for s in spans], [sorted(i) for i in items]
 
         return block
 
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(SPAN)), T.StructField("item_ids", T.ArrayType(T.StringType()))]
-    if first:
-        return with_columns(df, text, fields, make)
-    # Later blocks read what the earlier ones found, under the same names.
-    renamed = df.withColumnsRenamed({f.name: f"__{f.name}" for f in fields})
+    return with_columns(df, text, FIELDS, make).drop("before_spans", "before_items")
 
-    def again():
-        f = make()
-        return lambda batch, data, offsets: f(batch.rename_columns([c.removeprefix("__") if c in {"__n_words", "__hit_spans", "__item_ids"} else c for c in batch.schema.names]), data, offsets)
 
-    return with_columns(renamed, text, fields, again).drop(*(f"__{f.name}" for f in fields))
+def _blocks_of(items: DataFrame, size: int, max_block_bytes: int):
+    """Grams of the items, read once, in blocks of about `max_block_bytes` of text or one longer item."""
+    held, n = [], 0
+    for r in items.toLocalIterator():
+        held.append((r.id, r.t))
+        n += len((r.t or "").encode())
+        if n >= max_block_bytes:
+            yield Grams(held, size)
+            held, n = [], 0
+    yield Grams(held, size)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, max_block_bytes: int = 8 << 20) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, max_block_bytes: int = 8 << 20, blocks_a_pass: int = 4) -> DataFrame:
     """`docs` with n_words, hit_spans (merged word intervals that windows cover) and item_ids (strings, sorted).
 
-    The driver holds one block of the benchmark at a time; the number of blocks follows the benchmark's size.
+    The driver builds one block of the benchmark at a time and holds those of one pass.
     """
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("t"))
-    n_bytes = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n_blocks = max(1, -(-n_bytes // max_block_bytes))
-    out = docs
-    for k in range(n_blocks):
-        rows = [(r.id, r.t) for r in items.where(F.pmod(F.xxhash64("t"), F.lit(n_blocks)) == k).toLocalIterator()]
-        out = _scan(out, text, spark.sparkContext.broadcast(Grams(rows, size)), k == 0)
-    return out
+    names = docs.columns
+    out, column = docs.toDF(*(f"c{k}" for k in range(len(names)))), f"c{names.index(text)}"
+    shared = []
+    for grams in _blocks_of(items, size, max_block_bytes):
+        if len(shared) == blocks_a_pass:
+            out = saved(_scan(out, column, shared), "scanned").withColumnsRenamed({"hit_spans": "before_spans", "item_ids": "before_items"}).drop("n_words")
+            released(*shared)
+            shared = []
+        shared.append(context.broadcast(grams))
+    out = _scan(out, column, shared)
+    new = [f.name for f in FIELDS]
+    return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names) if c not in new), *new)
 
 
 def n_hit() -> F.Column:
@@ -155,13 +185,13 @@ def contaminated() -> F.Column:
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The clean rows of `docs`, with its columns in its order."""
-    marked = scan(docs.select(F.struct("*").alias("__row"), F.col(options.pop("text", "text")).alias("text")), benchmark, **options)
-    return marked.where(~contaminated()).select("__row.*")
+    marked = scan(docs.select(F.struct("*").alias("row"), F.col(options.pop("text", "text")).alias("text")), benchmark, **options)
+    return marked.where(~contaminated()).select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """`docs` with the hit words cut out of the text, each cut leaving one space; other bytes stay as they are."""
-    marked = scan(docs.select(F.struct("*").alias("__row"), F.col(text).alias("text")), benchmark, **options)
+    marked = scan(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")), benchmark, **options)
 
     def make():
         def block(batch, data, offsets):
@@ -177,8 +207,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **op
 
         return block
 
-    cut = with_columns(marked, "text", [T.StructField("__cut", T.StringType())], make)
-    return cut.select(*(F.col("__cut").alias(c) if c == text else F.col(f"__row.`{c}`") for c in docs.columns))
+    cut = with_columns(marked, "text", [T.StructField("cut", T.StringType())], make)
+    return cut.select(*(F.col("cut").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op1_decontaminate(spark, sf_dir):

@@ -9,10 +9,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import components, decontaminate, fingerprint, jaccard_join, line_dedup, secret_scan, sketch, substring_dedup
+from palimpsest.llm import components, decontaminate, fingerprint, jaccard_join, kernel, line_dedup, secret_scan, sketch, substring_dedup
+from palimpsest.llm.kernel import text_bytes
 
 SPACES = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -53,9 +55,9 @@ def items(spark, texts):
     return spark.createDataFrame(rows, "item_id long, text string")
 
 
-@pytest.mark.parametrize("bound", [1 << 20, 200])
-def test_contamination(spark, docs, texts, items, bound):
-    got = {r.doc_id: (r.n_words, r.hit, list(r.item_ids)) for r in decontaminate.scan(docs, items, max_block_bytes=bound).withColumn("hit", decontaminate.n_hit()).collect()}
+@pytest.mark.parametrize(("bound", "blocks"), [(1 << 20, 4), (200, 4), (1, 2)])
+def test_contamination(spark, docs, texts, items, bound, blocks):
+    got = {r.doc_id: (r.n_words, r.hit, list(r.item_ids)) for r in decontaminate.scan(docs, items, max_block_bytes=bound, blocks_a_pass=blocks).withColumn("hit", decontaminate.n_hit()).collect()}
     want = brute_contamination(texts, [(r.item_id, r.text) for r in items.collect()])
     assert got == {10 * k + 3: w for k, w in enumerate(want)}
 
@@ -73,10 +75,34 @@ def test_contaminated_documents_and_spans_go(docs, texts, items, empty):
     assert decontaminate.remove_documents(docs, items.where("false")).count() == docs.count()
 
 
-def test_contamination_names_may_clash(docs, items):
-    odd = docs.withColumn("n_words", F.lit("mine")).withColumn("item_ids", F.lit(1))
-    assert dict(decontaminate.scan(odd, items).dtypes)["n_words"] == "bigint"
-    assert decontaminate.remove_documents(odd, items).columns == odd.columns
+@pytest.mark.parametrize("options", [{}, {"max_block_bytes": 1, "blocks_a_pass": 1}])
+def test_contamination_names_may_clash(docs, items, options):
+    odd = docs.withColumn("n_words", F.lit("mine")).withColumn("__n_words", F.lit(1)).withColumn("item_ids", F.lit(1)).withColumn("a.b", F.lit(2)).withColumn("before_spans", F.lit(3)).withColumn("__row", F.lit(4))
+    assert dict(decontaminate.scan(odd, items, **options).dtypes)["n_words"] == "bigint"
+    kept = decontaminate.remove_documents(odd, items, **options)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in decontaminate.remove_documents(docs, items).collect()}
+    assert decontaminate.remove_spans(odd, items, **options).columns == odd.columns
+
+
+def test_a_large_benchmark_takes_bounded_memory():
+    """16 MiB of items: the arrays and their building stay within a stated number of bytes a byte, and find what they hold."""
+    import pickle
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    words = np.array([f"w{k}" for k in range(200_000)])
+    items = [(str(k), " ".join(words[r.integers(0, len(words), 256)])) for k in range(9600)]
+    n = sum(len(t) for _, t in items)
+    assert n > 16 << 20
+    tracemalloc.start()
+    grams = decontaminate.Grams(items)
+    now, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert now < 8 * n and peak < 25 * n and len(pickle.dumps(grams, 5)) < 8 * n
+    text = "before " + " ".join(items[77][1].upper().split()[20:40]) + " after"
+    data, offsets = text_bytes(pa.array([text]))
+    block = kernel.Words(data, offsets, kernel.ALNUM_FOLDED)
+    assert [(a, m, [grams.names[k] for k in i]) for a, m, i in grams.hits(block, block.hashes())] == [(1 + j, 13, ["77"]) for j in range(8)]
 
 
 # Substring dedup

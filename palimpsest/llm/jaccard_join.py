@@ -274,7 +274,7 @@ def verified_edges(members: DataFrame, percent: int, size: int) -> DataFrame:
     return members.repartition(parts, "comp", "a", "b").sortWithinPartitions("comp", "a", "b").mapInArrow(check, "u long, v long").distinct()
 
 
-def join(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 90, size: int = SHINGLE, block: int = 128, block_shingles: int = 1 << 19) -> DataFrame:
+def join(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 90, size: int = SHINGLE, block: int = 96, block_shingles: int = 1 << 19) -> DataFrame:
     """id, n_shingles, class_id (least id of an equal set) and component_id (least id reachable by links)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))

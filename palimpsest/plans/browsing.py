@@ -233,27 +233,59 @@ def peer_staleness(spark, sf_dir):
 
 
 def peer_counts(spark, sf_dir):
-    """Devices seen within the last hour, and those connected either way."""
-    seen = _sightings(spark, sf_dir)
-    inbound = log(spark, sf_dir).where("event_type = 'click'").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), "updated")
-    outbound = log(spark, sf_dir).where("event_type = 'view'").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), "updated")
-    return rules.peer_counts(seen, inbound.unionByName(outbound), F.lit(NOW_MS), 3_600_000)
+    """Devices seen within the last hour, and those connected either way: a click is an inbound session, a view an outbound
+    connection; their end is twenty minutes after the event for even users and two hours after it for odd ones."""
+    rows = log(spark, sf_dir).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), "updated", "event_type", (F.col("updated") + F.when(F.col("user_id") % 2 == 0, 1_200_000).otherwise(7_200_000)).alias("expires"))
+    return rules.peer_counts(rows, rows.where("event_type = 'view'"), rows.where("event_type = 'click'"), F.lit(NOW_MS), 3_600_000)
 
 
 def discovery_bucket(spark, sf_dir):
     return rules.discovery_buckets(_sightings(spark, sf_dir), 300_000)
 
 
-def lease_takeover(spark, sf_dir):
-    """Each event tries to take its path's folder lease for its user; the holder is whoever tried last before."""
-    rows = log(spark, sf_dir).select(F.split_part("path", F.lit("/"), F.lit(2)).alias("lease"), F.col("user_id").cast("string").alias("device"), "ts", "event_id", "updated")
-    return rules.lease_attempts(rows)
+def discovery_tags(spark, sf_dir):
+    """Each device's discovery tags, and whether a peer would still accept them at NOW_MS."""
+    tags = rules.discovery_buckets(_sightings(spark, sf_dir), 300_000)
+    return tags.select("key", "bucket", rules.tag_accepted(F.col("bucket"), F.lit(NOW_MS)).alias("accepted"))
+
 
+def _tries(spark, sf_dir):
+    return log(spark, sf_dir).select(F.split_part("path", F.lit("/"), F.lit(2)).alias("lease"), F.col("user_id").cast("string").alias("device"), "ts", "event_id", "updated")
 
-LEASE_SQL = f"""WITH {LOG_SQL}, a AS (SELECT split_part(path, '/', 2) AS lease, cast(user_id AS varchar) AS device, event_id, updated, lag(cast(user_id AS varchar)) OVER w AS holder, lag(updated) OVER w AS held FROM log WINDOW w AS (PARTITION BY split_part(path, '/', 2) ORDER BY ts, event_id))
-SELECT lease, device, event_id, holder IS NULL OR holder = device OR updated - held > 65000 AS granted FROM a"""
 
-QUERIES = {f.__name__: f for f in (search_keyword, search_title, search_exact_name, search_page, search_totals, snapshot_page, snapshot_stats, snapshot_log, tag_log, cloud_index_page, log_projection, resolve_files, object_listing, id_and_name_validity, id_and_name_validity_all, ignore_filter, checkout_order, checkout_order_all, repo_totals, cloud_stat, valid_references, cloud_checkout_plan, session_gap, peer_staleness, peer_counts, discovery_bucket, lease_takeover)}
+def lease_takeover(spark, sf_dir):
+    """Each event tries to take its path's folder lease for its user."""
+    return rules.lease_attempts(_tries(spark, sf_dir))
+
+
+LEASE_SQL = f"""WITH RECURSIVE {LOG_SQL}, a AS (SELECT split_part(path, '/', 2) AS lease, cast(user_id AS varchar) AS device, event_id, updated, row_number() OVER (PARTITION BY split_part(path, '/', 2) ORDER BY ts, event_id) AS n FROM log),
+r AS (
+  SELECT lease, n, device, event_id, true AS granted, device AS holder, updated AS since FROM a WHERE n = 1
+  UNION ALL
+  SELECT a.lease, a.n, a.device, a.event_id, g.ok, CASE WHEN g.ok THEN a.device ELSE r.holder END, CASE WHEN g.ok THEN a.updated ELSE r.since END
+  FROM r JOIN a ON a.lease = r.lease AND a.n = r.n + 1, LATERAL (SELECT r.holder = a.device OR a.updated > r.since + 65000 AS ok) g)
+SELECT lease, device, event_id, granted FROM r"""
+HOLD_MS = 100_000
+
+
+def lease_lifecycle(spark, sf_dir):
+    """Each event is a sync of its folder by its user that wants the lease for up to 100 seconds; some stop without a release."""
+    hold, released = F.col("event_id") * 7919 % (HOLD_MS + 1), F.col("event_id") % 5 != 0
+    return rules.lease_requests(_tries(spark, sf_dir).withColumn("hold_ms", hold).withColumn("released", released), HOLD_MS)
+
+
+# Tries in order; the state is the holder, when the lease is free, and the requests that need no further try.
+LIFECYCLE_SQL = f"""WITH RECURSIVE {LOG_SQL}, q AS (SELECT split_part(path, '/', 2) AS lease, cast(user_id AS varchar) AS device, event_id, updated + 5000 * i AS moment, i, event_id * 7919 % 100001 AS hold, event_id % 5 <> 0 AS released FROM log, range(3) t(i)),
+a AS (SELECT *, moment + CASE WHEN released THEN hold ELSE hold // 30000 * 30000 + 65001 END AS until, row_number() OVER (PARTITION BY lease ORDER BY moment, event_id, i) AS n FROM q),
+r AS (
+  SELECT lease, n, device, event_id, moment, true AS granted, true AS tried, device AS holder, until AS free, [event_id] AS done FROM a WHERE n = 1
+  UNION ALL
+  SELECT a.lease, a.n, a.device, a.event_id, a.moment, g.ok, g.needed, CASE WHEN g.ok THEN a.device ELSE r.holder END, CASE WHEN g.ok THEN a.until ELSE r.free END,
+    CASE WHEN g.ok THEN list_append(r.done[-40:], a.event_id) ELSE r.done END
+  FROM r JOIN a ON a.lease = r.lease AND a.n = r.n + 1, LATERAL (SELECT NOT list_contains(r.done, a.event_id) AS needed, needed AND (r.holder = a.device OR a.moment >= r.free) AS ok) g)
+SELECT lease, device, event_id, count(*) AS tries, max(moment) FILTER (granted) AS granted_ms FROM r WHERE tried GROUP BY 1, 2, 3"""
+
+QUERIES = {f.__name__: f for f in (search_keyword, search_title, search_exact_name, search_page, search_totals, snapshot_page, snapshot_stats, snapshot_log, tag_log, cloud_index_page, log_projection, resolve_files, object_listing, id_and_name_validity, id_and_name_validity_all, ignore_filter, checkout_order, checkout_order_all, repo_totals, cloud_stat, valid_references, cloud_checkout_plan, session_gap, peer_staleness, peer_counts, discovery_bucket, discovery_tags, lease_takeover, lease_lifecycle)}
 ORACLE_SQL = {
     "search_keyword": FOUND_SQL.format(KEYWORD.format("k5")),
     "search_title": FOUND_SQL.format(KEYWORD.format("purchase 1")),
@@ -279,7 +311,10 @@ ORACLE_SQL = {
     "cloud_checkout_plan": CLOUD_CHECKOUT_SQL,
     "session_gap": SESSION_SQL,
     "peer_staleness": f"WITH {LOG_SQL} SELECT 'u' || user_id AS key, max(updated) AS last_seen, {NOW_MS} - max(updated) > 3600000 AS stale FROM log GROUP BY 1",
-    "peer_counts": f"WITH {LOG_SQL} SELECT (SELECT count(DISTINCT user_id) FROM log WHERE {NOW_MS} - updated < 3600000) AS seen, count(DISTINCT user_id) AS connected FROM log WHERE event_type IN ('click', 'view')",
+    "peer_counts": f"""WITH {LOG_SQL}, c AS (SELECT user_id, event_type, updated, updated + CASE user_id % 2 WHEN 0 THEN 1200000 ELSE 7200000 END AS expires FROM log WHERE updated > {NOW_MS} - 3600000)
+      SELECT count(DISTINCT user_id) AS seen, count(DISTINCT user_id) FILTER (event_type = 'view' AND {NOW_MS} < expires OR event_type = 'click' AND {NOW_MS} <= expires) AS connected FROM c""",
     "discovery_bucket": f"WITH {LOG_SQL} SELECT 'u' || user_id AS key, updated // 300000 AS bucket, count(*) AS sightings FROM log GROUP BY 1, 2",
+    "discovery_tags": f"WITH {LOG_SQL} SELECT DISTINCT 'u' || user_id AS key, updated // 300000 AS bucket, updated // 300000 BETWEEN {NOW_MS} // 300000 - 1 AND {NOW_MS} // 300000 + 1 AS accepted FROM log",
     "lease_takeover": LEASE_SQL,
+    "lease_lifecycle": LIFECYCLE_SQL,
 }

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The polynomial, and the window and bounds of its chunker.
+POLYNOMIAL = 0x3DA3358B4DC173
+LEAST, MOST, BITS, WINDOW = 512 << 10, 8 << 20, 20, 64
+
 
 def exploded(files: DataFrame) -> DataFrame:
     """path, pos, line, chunk_id."""
@@ -31,51 +35,92 @@ def reassembled(files: DataFrame, stored: DataFrame, separator: str = "") -> Dat
     return rows.groupBy("path").agg(F.array_join(F.transform(ordered, lambda x: x["data"]), separator).alias("content"), F.count_if(F.col("data").isNull()).alias("missing"))
 
 
+def remainders(polynomial: int, window: int) -> list:
+    """Per place from the end of a window, what each byte there adds to the remainder by `polynomial` over GF(2)."""
+    import numpy as np
+
+    degree = polynomial.bit_length() - 1
+    rest, out = np.arange(256, dtype=np.uint64), []
+    for _ in range(window):
+        out.append(rest)
+        for _ in range(8):  # times x
+            rest = rest << np.uint64(1)
+            rest = np.where(rest >> np.uint64(degree) & np.uint64(1) == 1, rest ^ np.uint64(polynomial), rest)
+    return out
+
+
 class Roller:
-    """Content-defined cuts by a polynomial rolling hash: a cut where the hash of the last `window` bytes has `bits` zero
-    bits, between `least` and `most` bytes from the one before."""
+    """Content-defined cuts by a Rabin fingerprint: a cut where the remainder of the last `window` bytes has `bits` zero bits,
+    between `least` and `most` bytes from the one before. What is held of a file is `most` bytes and one block."""
 
-    def __init__(self, least: int, most: int, bits: int, window: int = 48, base: int = 0x2545F4914F6CDD1D):
-        self.least, self.most, self.mask, self.window, self.base = least, most, (1 << bits) - 1, window, base
+    STEP, BLOCK = 1 << 18, 1 << 20
 
-    def cuts(self, data: bytes) -> Iterator[int]:
+    def __init__(self, least: int = LEAST, most: int = MOST, bits: int = BITS, polynomial: int = POLYNOMIAL, window: int = WINDOW):
+        if not window <= least <= most:
+            raise ValueError("bounds must be at least the window, and in order")
+        self.least, self.most, self.bits, self.polynomial, self.window = least, most, bits, polynomial, window
+        self.table = None
+
+    def _cut(self, held: bytes, n: int) -> int:
+        """Where the first chunk of the n bytes held ends."""
         import numpy as np
 
-        n, w = len(data), self.window
-        if n < self.least:
-            yield n
-            return
-        b = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
-        rolled = np.zeros(n, np.uint64)
-        for j in range(w):  # the byte j before the end of the window counts base ** j
-            rolled[w - 1 :] += b[w - 1 - j : n - j] * np.uint64(pow(self.base, j, 1 << 64))
-        hit = np.flatnonzero((((rolled ^ (rolled >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)) & np.uint64(self.mask) == 0) + 1
-        hit = hit[hit >= w]
-        start = 0
-        while start < n:
-            k = np.searchsorted(hit, start + self.least)
-            end = int(hit[k]) if k < len(hit) else n
-            start = min(end, start + self.most, n)
-            yield start
-
-
-def content_defined(files: DataFrame, least: int, most: int, bits: int, content: str = "content") -> DataFrame:
-    """path, pos, start, size, chunk_id of byte contents. A file shorter than `least` is one chunk, also when empty."""
-    roller = Roller(least, most, bits)
+        n = min(n, self.most)
+        if n <= self.least:
+            return n
+        self.table = self.table or remainders(self.polynomial, self.window)
+        data, w = np.frombuffer(held, np.uint8, n), self.window
+        for first in range(self.least, n, self.STEP):
+            ends = min(self.STEP, n - first)  # cuts after first to first + ends - 1 bytes
+            rest = np.zeros(ends, np.uint64)
+            for j, t in enumerate(self.table):
+                rest ^= t[data[first - 1 - j : first - 1 - j + ends]]
+            hit = np.flatnonzero(rest & np.uint64((1 << self.bits) - 1) == 0)
+            if len(hit):
+                return first + int(hit[0])
+        return n
+
+    def pieces(self, read: Callable[[int], bytes]) -> Iterator[bytes]:
+        """The chunks of what read(n) gives until it gives nothing; an empty file is one empty chunk."""
+        held, ended, first = bytearray(), False, True
+        while first or held or not ended:
+            while not ended and len(held) < self.most:
+                block = read(self.BLOCK)
+                ended = not block
+                held += block
+            if held or first:
+                end = self._cut(bytes(held), len(held))
+                yield bytes(held[:end])
+                del held[:end]
+                first = False
+
+    def cuts(self, data: bytes) -> Iterator[int]:
+        from io import BytesIO
+
+        end = 0
+        for piece in self.pieces(BytesIO(data).read):
+            end += len(piece)
+            yield end
+
+
+def content_defined(files: DataFrame, least: int = LEAST, most: int = MOST, bits: int = BITS, content: str = "content", polynomial: int = POLYNOMIAL) -> DataFrame:
+    """path, pos, start, size, chunk_id of byte contents. A file up to `least` is one chunk, also when empty; null counts as empty."""
+    roller = Roller(least, most, bits, polynomial)
 
     def run(batches):
         import hashlib
+        from io import BytesIO
 
         import pyarrow as pa
 
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("path", "pos", "start", "size", "chunk_id")}
-            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 start = 0
-                for pos, end in enumerate(roller.cuts(data or b"")):
-                    for k, v in zip(out, (path, pos, start, end - start, hashlib.sha1((data or b"")[start:end]).hexdigest()), strict=True):
+                for pos, piece in enumerate(roller.pieces(BytesIO(data.as_py() or b"").read)):
+                    for k, v in zip(out, (path, pos, start, len(piece), hashlib.sha1(piece).hexdigest()), strict=True):
                         out[k].append(v)
-                    start = end
+                    start += len(piece)
             yield pa.RecordBatch.from_arrays([pa.array(out["path"], pa.string()), pa.array(out["pos"], pa.int32()), pa.array(out["start"], pa.int64()), pa.array(out["size"], pa.int64()), pa.array(out["chunk_id"], pa.string())], list(out))
 
     return files.select("path", F.col(content).cast("binary").alias("content")).mapInArrow(run, "path string, pos int, start bigint, size bigint, chunk_id string")

@@ -68,10 +68,10 @@ def user_ignored(lines: list[str], path: str = "path") -> Column:
 
 
 def checkout_rank(path: str = "path", app_dir: str = ".app") -> Column:
-    """The application's own folder first, then by category; others last."""
+    """The application's own folder first, wherever it lies, then by top folder; others last."""
     out = F.when(F.contains(F.col(path), F.lit(app_dir)), 0)
     for k, category in enumerate(CHECKOUT_ORDER, 1):
-        out = out.when(F.contains(F.col(path), F.lit(f"/{category}/")), k)
+        out = out.when(F.startswith(F.col(path), F.lit(f"/{category}/")), k)
     return out.otherwise(len(CHECKOUT_ORDER) + 1)
 
 

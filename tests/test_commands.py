@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import chunks, folders
 from palimpsest.sources.folder import walk
-from palimpsest.sources.repository import EmptySnapshot, NoSuchSnapshot, Repository
+from palimpsest.sources.repository import EmptySnapshot, NoSuchSnapshot, Repository, renamed
 from palimpsest.streaming.jobs import index_on_change, session_stream
 
 T0 = 1_700_000_000
@@ -95,6 +95,152 @@ def test_index_checkout_tags_purge(spark, tmp_path):
     assert repo.ref("latest") is None
 
 
+class Died(Exception):
+    pass
+
+
+@pytest.fixture
+def small(spark, tmp_path):
+    """A repository with three snapshots, the first two without references."""
+    data = tmp_path / "data"
+    put(data, "a.txt", os.urandom(2000))
+    repo = Repository(spark, str(tmp_path / "tables"), str(data), least=64, most=512, bits=6)
+    ids = [repo.index("one", 1000)]
+    for k in (1, 2):
+        put(data, "a.txt", os.urandom(2000), k)
+        ids.append(repo.index(f"snapshot {k}", 1000 * k))
+    return repo, data, ids
+
+
+def test_a_purge_that_dies_loses_nothing(small, monkeypatch):
+    """Stop after each table and before the switch: all snapshots are still there, and the next purge does the whole work."""
+    repo, data, ids = small
+    before = {n: repo.table(n).count() for n in ("snapshots", "snapshot_files", "files", "chunks")}
+    whole = contents(data)
+    path = Repository._path
+    for stop in ("snapshot_files", "files", "chunks", None):
+        def dies(self, name, version=None, stop=stop):
+            if version and name == stop:
+                raise Died
+            return path(self, name, version)
+
+        with monkeypatch.context() as m:
+            m.setattr(Repository, "_path", dies)
+            if stop is None:
+                m.setattr(Repository, "_switch", lambda *a: (_ for _ in ()).throw(Died()))
+            with pytest.raises(Died):
+                repo.purge()
+        assert {n: repo.table(n).count() for n in before} == before
+    # Dead after the switch, before the old version is deleted.
+    delete = Repository._delete
+    with monkeypatch.context() as m:
+        m.setattr(Repository, "_delete", lambda *a: (_ for _ in ()).throw(Died()))
+        with pytest.raises(Died):
+            repo.purge()
+    assert delete is Repository._delete
+    assert [r.snapshot_id for r in repo.table("snapshots").collect()] == [ids[2]]
+    assert repo.purge().snapshots == 0
+    assert len(os.listdir(f"{repo.tables}/versions")) == 1
+    put(data, "a.txt", b"other", 9)
+    repo.checkout(ids[2])
+    assert contents(data) == whole
+
+
+def test_a_reference_that_dies_is_old_or_new(small, monkeypatch):
+    repo, _, ids = small
+    repo.add_tag("v", ids[0], 1)
+    with monkeypatch.context() as m:
+        m.setattr(Repository, "_delete", lambda *a: (_ for _ in ()).throw(Died()))
+        with pytest.raises(Died):
+            repo.add_tag("v", ids[1], 2)
+    assert repo.ref("v") == ids[1]  # the new row is there and outnumbers the old one, which was not deleted
+    repo.add_tag("v", ids[0], 0)
+    assert repo.ref("v") == ids[0]
+    repo.remove_tag("v")
+    assert repo.ref("v") is None and repo.ref("latest") == ids[2]
+    repo.add_tag("v", ids[2], 5)
+    assert repo.ref("v") == ids[2]
+
+
+def test_an_index_that_dies_leaves_the_latest(small, monkeypatch):
+    repo, data, ids = small
+    put(data, "b.txt", b"new", 7)
+    for step in ("set_ref", "append"):
+        with monkeypatch.context() as m:
+            m.setattr(Repository, step, lambda *a, **b: (_ for _ in ()).throw(Died()))
+            with pytest.raises(Died):
+                repo.index("dies", 9000)
+        assert repo.latest() == ids[2] and {r.path for r in repo.latest_files().collect()} == {"/a.txt"}
+    assert repo.index("lives", 9001) == repo.latest() != ids[2]
+    assert {r.path for r in repo.latest_files().collect()} == {"/a.txt", "/b.txt"}
+    assert [n for n in os.listdir(f"{repo.tables}/full-latest")] == [repo.latest()]
+    assert not [n for n in os.listdir(repo.tables) if n.startswith("staging")]
+
+
+def test_index_starts_again_when_a_file_changes(small, monkeypatch):
+    """A file that changes between the walk and the read: a new walk sees it; seven tries at most."""
+    repo, data, ids = small
+    put(data, "a.txt", b"first", 20)
+    store, tries = Repository._store, []
+
+    def late(self, upserts):
+        tries.append(1)
+        if len(tries) < 3:
+            put(data, "a.txt", b"grows" * len(tries), 20 + len(tries))
+        store(self, upserts)
+
+    monkeypatch.setattr(Repository, "_store", late)
+    snapshot = repo.index("late", 1)
+    assert len(tries) == 3 and repo.files_of(snapshot).first().size == 10
+    tries.clear()
+
+    def never(self, upserts):
+        tries.append(1)
+        put(data, "a.txt", b"x" * (20 + len(tries)), 30 + len(tries))
+        store(self, upserts)
+
+    monkeypatch.setattr(Repository, "_store", never)
+    put(data, "a.txt", b"x", 29)
+    with pytest.raises(Exception, match="changed while it was read"):
+        repo.index("never", 2)
+    assert len(tries) == 7 and repo.latest() == snapshot
+
+
+def test_renames_are_tried_three_times():
+    done = []
+
+    def rename(old, new, fails):
+        done.append((old, new))
+        if len(done) <= fails:
+            raise PermissionError
+
+    for fails, n in ((0, 1), (2, 3)):
+        done.clear()
+        renamed("a", "b", pause=0, rename=lambda o, w, fails=fails: rename(o, w, fails))
+        assert len(done) == n
+    done.clear()
+    with pytest.raises(PermissionError):
+        renamed("a", "b", pause=0, rename=lambda o, w: rename(o, w, 9))
+    assert len(done) == 3
+
+
+def test_checkout_writes_one_kind_of_folder_after_the_other(spark, tmp_path):
+    """Modification order on disk follows the checkout order, between kinds and, in one task, by depth."""
+    data = tmp_path / "data"
+    paths = ["z/deep/er/x.txt", "assets/b/c.txt", "assets/a.txt", ".app/conf.json", "public/p.txt", "top.txt", "notes/assets/n.txt"]
+    for p in paths:
+        put(data, p, p.encode())
+    repo = Repository(spark, str(tmp_path / "tables"), str(data))
+    snapshot = repo.index("all", 1)
+    for p in paths:
+        os.unlink(data / p)
+    assert repo.checkout(snapshot) == (len(paths), 0)
+    made = {p: os.stat(data / p).st_ctime_ns for p in paths}
+    kinds = [[".app/conf.json"], ["assets/a.txt", "assets/b/c.txt"], ["public/p.txt"], ["top.txt", "notes/assets/n.txt", "z/deep/er/x.txt"]]
+    for earlier, later in zip(kinds, kinds[1:], strict=False):
+        assert max(made[p] for p in earlier) < min(made[p] for p in later)
+
+
 def test_feed_indexes_and_sessions_close(spark, tmp_path):
     data, tables, feed = tmp_path / "data", tmp_path / "tables", tmp_path / "feed"
     put(data, "a.txt", b"x")
@@ -108,6 +254,48 @@ def test_feed_indexes_and_sessions_close(spark, tmp_path):
     assert [r.uses for r in spark.table("closed").collect()] == [2]
 
 
+def remainder(data, polynomial):
+    """Of a byte string as a polynomial over GF(2), bit by bit."""
+    rest, degree = 0, polynomial.bit_length() - 1
+    for byte in data:
+        for k in range(7, -1, -1):
+            rest = rest << 1 | (byte >> k & 1)
+            if rest >> degree:
+                rest ^= polynomial
+    return rest
+
+
+def test_cuts_against_the_rule():
+    """Cuts are where the remainder of the last 64 bytes ends in zero bits, at least and at most so far from the last one."""
+    data = os.urandom(6000) + b"\0" * 700 + os.urandom(3000)
+    for least, most, bits in ((64, 512, 6), (100, 1000, 5), (64, 64, 3)):
+        want, start = [], 0
+        while start < len(data):
+            end = next((e for e in range(start + least, min(start + most, len(data))) if remainder(data[e - 64 : e], chunks.POLYNOMIAL) % (1 << bits) == 0), min(start + most, len(data)))
+            want.append(end)
+            start = end
+        assert list(chunks.Roller(least, most, bits).cuts(data)) == want
+    with pytest.raises(ValueError):
+        chunks.Roller(63, 512, 6)
+
+
+def test_a_large_file_is_cut_in_bounded_memory():
+    import tracemalloc
+
+    roller, block = chunks.Roller(), os.urandom(1 << 20)
+    left = [64]
+
+    def read(n):
+        left[0] -= 1
+        return block if left[0] >= 0 else b""
+
+    tracemalloc.start()
+    total = sum(len(p) for p in roller.pieces(read))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert total == 64 << 20 and peak < 48 << 20
+
+
 def test_rolling_cuts():
     data = os.urandom(60_000)
     roller = chunks.Roller(512, 4096, 10)

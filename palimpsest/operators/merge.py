@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.versions import prefers_cloud, same_content, same_second, same_version, stale
@@ -121,6 +121,31 @@ def merged(decisions: DataFrame) -> DataFrame:
     return decisions.select("path", v.alias("v")).where("v IS NOT NULL").select("path", "v.*")
 
 
+def cloud_ignore(decisions: DataFrame, path: str) -> DataFrame:
+    """The cloud's version of the ignore file at `path`, if it has one and the local one differs or is missing: one row or none.
+    Only then do its lines hold back removals."""
+    return decisions.where((F.col("path") == path) & ignore_counts()).select("path", F.col(C).alias("v"))
+
+
+def ignore_counts() -> Column:
+    """Whether the cloud's version of a path, an ignore file, holds back removals: it is there, and the local one is not the same."""
+    return F.col(C).isNotNull() & ~same_version(F.col(L), F.col(C))
+
+
+def in_path_order(decisions: DataFrame, prefix: int = 14) -> DataFrame:
+    """`decisions` with pos, counted from 1 by path in byte order.
+
+    Rows are numbered among the paths with the same first `prefix` characters; counts of these add the rest, so that no task
+    sorts all rows.
+    """
+    keyed = decisions.withColumn("__start", F.substring("path", 1, prefix))
+    groups = keyed.groupBy("__start").agg(F.count("*").alias("__n"))
+    w = Window.orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("__start", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))  # one row a start
+    rows = keyed.withColumn("__row", F.row_number().over(Window.partitionBy("__start").orderBy("path"))).join(groups, "__start")
+    return rows.withColumn("pos", F.col("__before") + F.col("__row")).select(*decisions.columns, "pos")
+
+
 def spared_removes(actions: DataFrame, ignored: Column) -> DataFrame:
     """`actions` without removals of paths that the cloud's ignore rules name; upserts are not held back."""
     return actions.where((F.col("action") != REMOVE) | ~ignored)

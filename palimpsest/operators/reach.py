@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.scalars import valid_object_id
@@ -23,9 +23,28 @@ def unreferenced_snapshots(snapshots: DataFrame, kept: DataFrame) -> DataFrame:
     return snapshots.join(kept, "snapshot_id", "left_anti")
 
 
+def in_kept(intervals: DataFrame, snapshots: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of `intervals` (first, next, ...) with a kept snapshot from `first` to before `next`; `snapshots` (snap, snapshot_id)
+    are numbered from 1 without gaps.
+
+    The kept ones up to each number are counted over the snapshots alone; an interval holds one if the counts at its two ends
+    differ. So a version is one row, whatever the number of snapshots that it is in, and both joins are by equality.
+    """
+    flagged = snapshots.select("snap", "snapshot_id").join(kept.select("snapshot_id", F.lit(1).alias("one")).distinct(), "snapshot_id", "left")
+    upto = flagged.select((F.col("snap") + 1).alias("at"), F.sum(F.coalesce("one", F.lit(0))).over(Window.orderBy("snap")).alias("n"))  # one row a snapshot
+    ends = lambda c: upto.select(F.col("at").alias(c), F.col("n").alias(f"__{c}"))
+    both = intervals.join(ends("first"), "first", "left").join(ends("next"), "next", "left")
+    return both.where(F.coalesce("__next", F.lit(0)) > F.coalesce("__first", F.lit(0))).select(*intervals.columns)
+
+
 def reachable(snapshot_files: DataFrame, kept: DataFrame) -> DataFrame:
     """object_id, kind: files and chunks that kept snapshots reach. Missing snapshots reach nothing."""
-    files = snapshot_files.join(kept, "snapshot_id", "left_semi").select("id", "chunks").dropDuplicates(["id"])
+    return objects_of(snapshot_files.join(kept, "snapshot_id", "left_semi"))
+
+
+def objects_of(files: DataFrame) -> DataFrame:
+    """object_id, kind: files (id, chunks) and their chunks, each once."""
+    files = files.select("id", "chunks").dropDuplicates(["id"])
     both = F.explode(F.array_union(F.array(F.struct(F.col("id").alias("object_id"), F.lit("file").alias("kind"))), F.transform("chunks", lambda c: F.struct(c.alias("object_id"), F.lit("chunk").alias("kind")))))
     return files.select(both.alias("o")).select("o.*").distinct()
 

@@ -16,16 +16,44 @@ def newest_holder(snapshot_files: DataFrame, snapshots: DataFrame) -> DataFrame:
     return snapshot_files.select("id", "snapshot_id").join(s, "snapshot_id").groupBy("id").agg(F.max_by("snapshot_id", F.struct("created", "snapshot_id")).alias("snapshot_id"))
 
 
+def newest_holder_of(intervals: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """The same, of versions as intervals of numbered snapshots (snap, snapshot_id): their last one, without a row a snapshot."""
+    last = intervals.groupBy("id").agg((F.max("next") - 1).alias("snap"))
+    return last.join(snapshots.select("snap", "snapshot_id"), "snap").select("id", "snapshot_id")
+
+
+def interval_stats(intervals: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """snapshot_id, count, size of snapshots that hold files, from the differences at the ends of intervals."""
+    ends = F.explode(F.array(F.struct(F.col("first").alias("snap"), F.lit(1).alias("one")), F.struct(F.col("next").alias("snap"), F.lit(-1).alias("one"))))
+    change = intervals.select("size", ends.alias("e")).groupBy("e.snap").agg(F.sum("e.one").alias("n"), F.sum(F.col("e.one") * F.col("size")).alias("bytes"))
+    w = Window.orderBy("snap")  # one row a snapshot
+    running = snapshots.select("snap", "snapshot_id").join(change, "snap", "left").select("snapshot_id", F.sum("n").over(w).alias("count"), F.sum("bytes").over(w).alias("size"))
+    return running.where("count > 0")
+
+
+#: How titles are stored inside attributes; the ampersand is undone last.
+ESCAPES = (("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#34;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+
+
+def unescaped(attribute: Column | str) -> Column:
+    """An attribute's value as it was before it was escaped."""
+    out = F.col(attribute) if isinstance(attribute, str) else attribute
+    for written, meant in ESCAPES:
+        out = F.replace(out, F.lit(written), F.lit(meant))
+    return out
+
+
 def keyword_match(keyword: str, document_suffix: str = ".sy", node_id: str = r"^\d{14}-[0-9a-z]{7}$") -> Column:
-    """Case-insensitive part of the name; for documents, of their title, unless the keyword is a node id. Empty matches all."""
+    """Case-insensitive part of the name; for documents, of their unescaped title, unless the keyword is a node id or the title
+    is empty. Empty matches all."""
     import re
 
     needle = F.lower(F.lit(keyword))
     name = F.contains(F.lower(basename("path")), needle)
     if re.match(node_id, keyword):
         return name
-    title = F.coalesce(F.contains(F.lower("title"), needle), F.lit(False))
-    return F.when(F.endswith("path", F.lit(document_suffix)), title | F.lit(keyword == "")).otherwise(name)
+    title = F.when(F.endswith("path", F.lit(document_suffix)) & (F.coalesce(F.length("title"), F.lit(0)) > 0), F.contains(F.lower(unescaped("title")), needle))
+    return F.coalesce(title, name)
 
 
 def exact_name(name: str) -> Column:
@@ -71,9 +99,14 @@ def log_rows(snapshots: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.select("snapshot_id", "memo", "created", shown_time("created").alias("created_text"), "count", "size", human_size("size").alias("size_text"))
 
 
-def tag_log(refs: DataFrame, logs: DataFrame) -> DataFrame:
-    """Log rows of tags; references that aren't 40 characters are skipped."""
-    return refs.where("kind = 'tag' AND length(snapshot_id) = 40").select(F.col("name").alias("tag"), "snapshot_id").join(logs, "snapshot_id")
+def tag_log(refs: DataFrame, logs: DataFrame, cloud_logs: DataFrame | None = None) -> DataFrame:
+    """Log rows of tags; references that aren't 40 characters are skipped. Where a tag's snapshot is not here, the cloud's row
+    stands, if `cloud_logs` (with the columns of `logs`) are given."""
+    tags = refs.where("kind = 'tag' AND length(snapshot_id) = 40").select(F.col("name").alias("tag"), "snapshot_id")
+    here = tags.join(logs, "snapshot_id")
+    if cloud_logs is None:
+        return here
+    return here.unionByName(tags.join(logs, "snapshot_id", "left_anti").join(cloud_logs, "snapshot_id"))
 
 
 def listed_page(listed: DataFrame, snapshots: DataFrame, page: int) -> DataFrame:

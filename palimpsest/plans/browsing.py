@@ -9,24 +9,24 @@ from palimpsest.functions import scalars as S
 from palimpsest.operators import folders, search
 from palimpsest.streaming import rules
 
-from .fixtures import LOG_SQL, SNAPSHOT_FILES_SQL, before, log, refs, snapshot_files, snapshots, state, state_sql, table
+from .fixtures import LOG_SQL, SNAPSHOT_FILES_SQL, log, refs, snapshots, state, state_sql, version_intervals
 
 
 def _versions(spark, sf_dir):
     """File versions that some snapshot holds, with titles read from the documents' JSON."""
-    body = F.to_json(F.struct(F.struct(F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("title")).alias("Properties")))
+    body = F.to_json(F.struct(F.struct(F.when(F.col("user_id") % 7 > 0, F.concat_ws("&amp;", "event_type", F.col("user_id").cast("string"))).otherwise("").alias("title")).alias("Properties")))
     files = log(spark, sf_dir).where("live").select("id", "path", "updated", "size", F.get_json_object(body, "$.Properties.title").alias("title"), "ts", "event_id")
     first = files.groupBy("id").agg(F.min_by(F.struct("path", "updated", "size", "title"), F.struct("ts", "event_id")).alias("f"))
     return first.select("id", "f.*")
 
 
 VERSIONS_SQL = SNAPSHOT_FILES_SQL + """,
-versions AS (SELECT id, path, updated, size, title FROM (SELECT *, event_type || ' ' || user_id AS title, row_number() OVER (PARTITION BY id ORDER BY ts, event_id) AS rn FROM log WHERE live) WHERE rn = 1),
+versions AS (SELECT id, path, updated, size, title FROM (SELECT *, CASE WHEN user_id % 7 > 0 THEN event_type || '&' || user_id ELSE '' END AS title, row_number() OVER (PARTITION BY id ORDER BY ts, event_id) AS rn FROM log WHERE live) WHERE rn = 1),
 holders AS (SELECT id, snapshot_id FROM (SELECT f.id, s.snapshot_id, row_number() OVER (PARTITION BY f.id ORDER BY s.created DESC, s.snapshot_id DESC) AS rn FROM snapshot_files f JOIN snapshots s USING (snapshot_id)) WHERE rn = 1)"""
 
 
 def _found(spark, sf_dir, match):
-    holders = search.newest_holder(snapshot_files(spark, sf_dir), snapshots(spark))
+    holders = search.newest_holder_of(version_intervals(spark, sf_dir), snapshots(spark))
     return search.search(_versions(spark, sf_dir), holders, match)
 
 
@@ -35,14 +35,14 @@ def search_keyword(spark, sf_dir):
 
 
 def search_title(spark, sf_dir):
-    return _found(spark, sf_dir, search.keyword_match("PURCHASE 1")).select("id", "path", "updated", "snapshot_id")
+    return _found(spark, sf_dir, search.keyword_match("PURCHASE&1")).select("id", "path", "updated", "snapshot_id")
 
 
 def search_exact_name(spark, sf_dir):
     return _found(spark, sf_dir, search.exact_name("K3.TXT")).select("id", "path", "updated", "snapshot_id")
 
 
-KEYWORD = "CASE WHEN path LIKE '%.sy' THEN contains(lower(title), '{0}') ELSE contains(lower(regexp_extract(path, '[^/]*$')), '{0}') END"
+KEYWORD = "CASE WHEN path LIKE '%.sy' AND title <> '' THEN contains(lower(title), '{0}') ELSE contains(lower(regexp_extract(path, '[^/]*$')), '{0}') END"
 FOUND_SQL = f"WITH {VERSIONS_SQL} SELECT id, path, updated, snapshot_id FROM versions JOIN holders USING (id) WHERE {{}}"
 
 
@@ -60,11 +60,11 @@ def snapshot_page(spark, sf_dir):
 
 
 def snapshot_stats(spark, sf_dir):
-    return search.stats(snapshot_files(spark, sf_dir)).select("snapshot_id", F.col("count").alias("n_files"), F.col("size").alias("n_bytes"))
+    return search.interval_stats(version_intervals(spark, sf_dir), snapshots(spark)).select("snapshot_id", F.col("count").alias("n_files"), F.col("size").alias("n_bytes"))
 
 
 def _logs(spark, sf_dir):
-    return search.log_rows(snapshots(spark), search.stats(snapshot_files(spark, sf_dir))).withColumnRenamed("count", "n_files").withColumnRenamed("size", "n_bytes")
+    return search.log_rows(snapshots(spark), search.interval_stats(version_intervals(spark, sf_dir), snapshots(spark))).withColumnRenamed("count", "n_files").withColumnRenamed("size", "n_bytes")
 
 
 def snapshot_log(spark, sf_dir):
@@ -82,6 +82,15 @@ def tag_log(spark, sf_dir):
     return rows.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("created"), "tag")))  # tags are few: bounded by the quota of backups
 
 
+def tag_log_with_cloud(spark, sf_dir):
+    """Tags of every other snapshot; every third snapshot is not here, and the cloud's row stands for it."""
+    logs = _logs(spark, sf_dir)
+    tags = snapshots(spark).where("snap % 2 = 0").select(F.concat(F.lit("v"), F.col("snap").cast("string")).alias("name"), F.lit("tag").alias("kind"), "snapshot_id")
+    away = snapshots(spark).where("snap % 3 = 0").select("snapshot_id")
+    here = logs.join(away, "snapshot_id", "left_anti").withColumn("source", F.lit("here"))
+    return search.tag_log(tags, here, logs.withColumn("source", F.lit("cloud"))).select("tag", "snapshot_id", "created", "n_files", "source")
+
+
 def cloud_index_page(spark, sf_dir):
     """Page 1 of the list, of which every seventh entry can't be read."""
     listed = snapshots(spark).select("snapshot_id", (30 - F.col("snap")).alias("ordinal"))
@@ -118,21 +127,15 @@ def _validity(spark, log_rows):
     return ids.select("value", F.lit("id").alias("kind"), S.valid_object_id("value").alias("ok")).unionByName(names.select("value", F.lit("name").alias("kind"), S.valid_repo_name("value").alias("ok")))
 
 
-def id_and_name_validity(spark, sf_dir):
-    """Object ids of the first fifty events and damaged ones; repository names good and bad. A sample: the next query has all."""
-    return _validity(spark, log(spark, sf_dir).where("event_id < 50"))
-
-
 def id_and_name_validity_all(spark, sf_dir):
     """Every object id of the log, three of four damaged; repository names good and bad."""
     return _validity(spark, log(spark, sf_dir))
 
 
-VALID_SQL = f"""WITH {LOG_SQL}, i AS (SELECT CASE event_id % 4 WHEN 1 THEN upper(id) WHEN 2 THEN id[1:39] WHEN 3 THEN id[1:39] || 'g' ELSE id END AS value FROM log WHERE event_id < 50),
+VALID_SQL = f"""WITH {LOG_SQL}, i AS (SELECT CASE event_id % 4 WHEN 1 THEN upper(id) WHEN 2 THEN id[1:39] WHEN 3 THEN id[1:39] || 'g' ELSE id END AS value FROM log),
 n(value) AS (VALUES {', '.join("('" + n.replace(chr(9), "' || chr(9) || '") + "')" for n in NAMES)})
 SELECT value, 'id' AS kind, regexp_full_match(value, '[0-9a-f]{{40}}') AS ok FROM i
 UNION ALL SELECT value, 'name', strlen(value) BETWEEN 1 AND 63 AND NOT regexp_matches(value, '[~`!@#$%^&*()+=\\[\\]{{}}\\\\|;:''",<>/? \\x00-\\x1F\\x7F]') FROM n"""
-VALID_ALL_SQL = VALID_SQL.replace(" WHERE event_id < 50", "")
 
 
 def _disk(spark, sf_dir):
@@ -158,20 +161,14 @@ SELECT path, regexp_matches(path, '(^|/)(\\.[^/]*|filesys_status_check)/') AND r
     WHEN regexp_matches(path, '^/plugins/u3/') THEN false WHEN regexp_matches(path, '^/plugins/[^/]+(/|$)') THEN true ELSE false END END AS by_user FROM d"""
 
 
-def checkout_order(spark, sf_dir):
-    """The first fifty files that a checkout of snapshot 20 writes. The limit is the page shown, not the operator's: the next query has all."""
-    return search.paged(state(spark, sf_dir, 20).withColumn("rank", folders.checkout_rank()), folders.checkout_order(), 1, 50).select("pos", "path", "rank")
-
-
 def checkout_order_all(spark, sf_dir):
     """Every file that a checkout of snapshot 20 writes, with its place in the order."""
     return folders.checkout_positions(state(spark, sf_dir, 20).select("path"))
 
 
-CHECKOUT_SQL = f"""WITH {LOG_SQL}, {state_sql('s', 'snap <= 20')}, r AS (SELECT path, CASE WHEN contains(path, '.app') THEN 0 WHEN contains(path, '/assets/') THEN 1 WHEN contains(path, '/emojis/') THEN 2 WHEN contains(path, '/storage/') THEN 3
-  WHEN contains(path, '/plugins/') THEN 4 WHEN contains(path, '/widgets/') THEN 5 WHEN contains(path, '/templates/') THEN 6 WHEN contains(path, '/public/') THEN 7 ELSE 8 END AS rank FROM s),
-o AS (SELECT row_number() OVER (ORDER BY rank, length(path) - length(replace(path, '/', '')), path) AS pos, path, rank FROM r) SELECT cast(pos AS integer) AS pos, path, rank FROM o WHERE pos <= 50"""
-CHECKOUT_ALL_SQL = CHECKOUT_SQL.replace("SELECT cast(pos AS integer) AS pos, path, rank FROM o WHERE pos <= 50", "SELECT pos, path, rank, length(path) - length(replace(path, '/', '')) AS depth FROM o")
+CHECKOUT_SQL = f"""WITH {LOG_SQL}, {state_sql('s', 'snap <= 20')}, r AS (SELECT path, CASE WHEN contains(path, '.app') THEN 0 WHEN starts_with(path, '/assets/') THEN 1 WHEN starts_with(path, '/emojis/') THEN 2 WHEN starts_with(path, '/storage/') THEN 3
+  WHEN starts_with(path, '/plugins/') THEN 4 WHEN starts_with(path, '/widgets/') THEN 5 WHEN starts_with(path, '/templates/') THEN 6 WHEN starts_with(path, '/public/') THEN 7 ELSE 8 END AS rank FROM s),
+o AS (SELECT row_number() OVER (ORDER BY rank, length(path) - length(replace(path, '/', '')), path) AS pos, path, rank FROM r) SELECT pos, path, rank, length(path) - length(replace(path, '/', '')) AS depth FROM o"""
 
 
 def repo_totals(spark, sf_dir):
@@ -183,7 +180,7 @@ def repo_totals(spark, sf_dir):
 
 def cloud_stat(spark, sf_dir):
     """One row: bytes of the sync snapshot and of all backups, and how many there are."""
-    sizes = search.stats(snapshot_files(spark, sf_dir)).join(refs(spark), "snapshot_id")
+    sizes = search.interval_stats(version_intervals(spark, sf_dir), snapshots(spark)).join(refs(spark), "snapshot_id")
     return sizes.agg(F.sum(F.when(F.col("name") == "latest", F.col("size"))).alias("sync_bytes"), F.coalesce(F.sum(F.when(F.col("kind") == "tag", F.col("size"))), F.lit(0)).alias("backup_bytes"), F.count_if(F.col("kind") == "tag").alias("backups"))
 
 
@@ -285,10 +282,10 @@ r AS (
   FROM r JOIN a ON a.lease = r.lease AND a.n = r.n + 1, LATERAL (SELECT NOT list_contains(r.done, a.event_id) AS needed, needed AND (r.holder = a.device OR a.moment >= r.free) AS ok) g)
 SELECT lease, device, event_id, count(*) AS tries, max(moment) FILTER (granted) AS granted_ms FROM r WHERE tried GROUP BY 1, 2, 3"""
 
-QUERIES = {f.__name__: f for f in (search_keyword, search_title, search_exact_name, search_page, search_totals, snapshot_page, snapshot_stats, snapshot_log, tag_log, cloud_index_page, log_projection, resolve_files, object_listing, id_and_name_validity, id_and_name_validity_all, ignore_filter, checkout_order, checkout_order_all, repo_totals, cloud_stat, valid_references, cloud_checkout_plan, session_gap, peer_staleness, peer_counts, discovery_bucket, discovery_tags, lease_takeover, lease_lifecycle)}
+QUERIES = {f.__name__: f for f in (search_keyword, search_title, search_exact_name, search_page, search_totals, snapshot_page, snapshot_stats, snapshot_log, tag_log, cloud_index_page, tag_log_with_cloud, log_projection, resolve_files, object_listing, id_and_name_validity_all, ignore_filter, checkout_order_all, repo_totals, cloud_stat, valid_references, cloud_checkout_plan, session_gap, peer_staleness, peer_counts, discovery_bucket, discovery_tags, lease_takeover, lease_lifecycle)}
 ORACLE_SQL = {
     "search_keyword": FOUND_SQL.format(KEYWORD.format("k5")),
-    "search_title": FOUND_SQL.format(KEYWORD.format("purchase 1")),
+    "search_title": FOUND_SQL.format(KEYWORD.format("purchase&1")),
     "search_exact_name": FOUND_SQL.format("lower(regexp_extract(path, '[^/]*$')) = 'k3.txt'"),
     "search_page": f"WITH {VERSIONS_SQL}, o AS (SELECT row_number() OVER (ORDER BY updated DESC, id DESC) AS pos, id, path, snapshot_id FROM versions JOIN holders USING (id)) SELECT cast(pos AS integer) AS pos, id, path, snapshot_id FROM o WHERE pos BETWEEN 41 AND 60",
     "search_totals": f"WITH {VERSIONS_SQL}, t AS (SELECT count(*) AS total FROM versions JOIN holders USING (id)) SELECT total, cast(ceil(total / 20) AS bigint) AS pages FROM t",
@@ -296,15 +293,14 @@ ORACLE_SQL = {
     "snapshot_stats": f"WITH {STATS_SQL} SELECT * FROM z",
     "snapshot_log": f"WITH {STATS_SQL}, o AS (SELECT row_number() OVER (ORDER BY created DESC, snapshot_id DESC) AS pos, * FROM logs) SELECT * REPLACE (cast(pos AS integer) AS pos) FROM o WHERE pos BETWEEN 11 AND 20",
     "tag_log": f"WITH {STATS_SQL} SELECT name AS tag, logs.*, cast(row_number() OVER (ORDER BY created DESC, name) AS integer) AS pos FROM refs JOIN logs USING (snapshot_id) WHERE kind = 'tag'",
+    "tag_log_with_cloud": f"WITH {STATS_SQL} SELECT 'v' || snap AS tag, snapshot_id, l.created, n_files, CASE WHEN snap % 3 = 0 THEN 'cloud' ELSE 'here' END AS source FROM snapshots s JOIN logs l USING (snapshot_id) WHERE snap % 2 = 0",
     "cloud_index_page": f"WITH {SNAPSHOT_FILES_SQL} SELECT snapshot_id, 30 - snap AS ordinal, created, memo FROM snapshots WHERE snap % 7 <> 0 AND 30 - snap < 32",
     "log_projection": f"WITH {SNAPSHOT_FILES_SQL} SELECT snapshot_id, strftime(make_timestamp(created * 1000), '%Y-%m-%d %H:%M:%S') AS created_text, created // 1000 AS seconds FROM snapshots",
     "resolve_files": RESOLVE_SQL,
     "object_listing": f"WITH {LOG_SQL} SELECT DISTINCT 'objects/' || id[1:2] || '/' || id[3:] AS path, id AS object_id, first(size) OVER (PARTITION BY id) AS size FROM log WHERE live AND id LIKE 'a%'",
-    "id_and_name_validity": VALID_SQL,
-    "id_and_name_validity_all": VALID_ALL_SQL,
+    "id_and_name_validity_all": VALID_SQL,
     "ignore_filter": IGNORE_SQL,
-    "checkout_order": CHECKOUT_SQL,
-    "checkout_order_all": CHECKOUT_ALL_SQL,
+    "checkout_order_all": CHECKOUT_SQL,
     "repo_totals": f"WITH {LOG_SQL} SELECT split_part(path, '/', 2) AS name, cast(sum(size) AS bigint) AS size, max(updated) AS updated, count(*) AS objects, cast(row_number() OVER (ORDER BY split_part(path, '/', 2)) AS integer) AS pos FROM log WHERE live GROUP BY 1",
     "cloud_stat": f"WITH {STATS_SQL} SELECT cast(sum(n_bytes) FILTER (name = 'latest') AS bigint) AS sync_bytes, cast(sum(n_bytes) FILTER (kind = 'tag') AS bigint) AS backup_bytes, count(*) FILTER (kind = 'tag') AS backups FROM refs JOIN z USING (snapshot_id)",
     "valid_references": f"WITH {SNAPSHOT_FILES_SQL} SELECT snapshot_id FROM snapshots WHERE snap % 4 IN (0, 3)",

@@ -39,12 +39,18 @@ def before(day: int):
     return F.col("snap") <= day
 
 
-def snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """snap, snapshot_id, path, id, size, updated, chunks. A version is in the snapshots from its own first one to the day
-    before its successor's: one window over the log, no join per snapshot."""
+def version_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, id, size, updated, chunks, first, next: a version is in the snapshots from `first` to the one before `next`, its
+    successor's. One window over the log, and a row a version, however many snapshots hold it."""
     w = Window.partitionBy("path").orderBy("ts", "event_id")
-    rows = log(spark, sf_dir).withColumn("next", F.coalesce(F.lead("snap").over(w), F.lit(SNAPSHOTS + 1)))
-    rows = rows.where("live AND next > snap").withColumn("snap", F.explode(F.expr(f"sequence(snap, least(next, {SNAPSHOTS + 1}) - 1)")))
+    end = F.least(F.coalesce(F.lead("snap").over(w), F.lit(SNAPSHOTS + 1)), F.lit(SNAPSHOTS + 1))
+    rows = log(spark, sf_dir).withColumn("next", end).where("live AND next > snap")
+    return rows.select("path", "id", "size", "updated", "chunks", F.col("snap").alias("first"), "next")
+
+
+def snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """snap, snapshot_id, path, id, size, updated, chunks: a row for each snapshot that holds a version. Where intervals do, use them."""
+    rows = version_intervals(spark, sf_dir).withColumn("snap", F.explode(F.expr("sequence(first, next - 1)")))
     return rows.select("snap", snapshot_id(F.col("snap")).alias("snapshot_id"), "path", "id", "size", "updated", "chunks")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import chunks, folders, merge, reach
 
-from .fixtures import DOCUMENT_FILES_SQL, LOG_SQL, SIDES_SQL, SNAPSHOT_FILES_SQL, document_files, log, refs, side_conditions, snapshot_files, snapshot_id, snapshots
+from .fixtures import DOCUMENT_FILES_SQL, LOG_SQL, SIDES_SQL, SNAPSHOT_FILES_SQL, document_files, log, refs, side_conditions, snapshot_files, snapshot_id, snapshots, version_intervals
 from .merging import DECIDE_SQL, OUT, WIDE_SQL
 
 
@@ -16,24 +16,12 @@ def snapshot_by_id(spark, sf_dir):
     return snapshots(spark).join(files, "snapshot_id").select("snapshot_id", "created", "memo", "n_files")
 
 
-def file_by_id(spark, sf_dir):
-    """Versions whose id begins with 00."""
-    return log(spark, sf_dir).where("live AND id LIKE '00%'").select("id", "path", "updated").distinct()
-
-
 def files_by_ids(spark, sf_dir):
     """All versions with an id that snapshot 30 names."""
     named = snapshot_files(spark, sf_dir).where("snap = 30").select("id")
     return log(spark, sf_dir).where("live").select("id", "path", "updated").distinct().join(named, "id", "left_semi")
 
 
-def chunk_by_id(spark, sf_dir):
-    """A stored chunk by the id of its content: the first line of document 7."""
-    d = document_files(spark, sf_dir)
-    wanted = d.where("doc_id = 7").select(F.element_at("chunks", 1).alias("chunk_id"))
-    return chunks.store(chunks.exploded(d)).join(wanted, "chunk_id", "left_semi").select("chunk_id", "size")
-
-
 def chunks_by_ids(spark, sf_dir):
     """Stored chunks by the ids of the first lines of all documents."""
     d = document_files(spark, sf_dir)
@@ -71,7 +59,8 @@ SELECT path, local_delta, cloud_delta, CASE WHEN fold THEN 'cloud' ELSE winner E
 
 def file_log(spark, sf_dir):
     """All versions of each path that snapshots hold, with the first and last snapshot of each."""
-    return snapshot_files(spark, sf_dir).groupBy("path", "id").agg(F.min("snap").alias("first_snap"), F.max("snap").alias("last_snap"), F.count("*").alias("n_snapshots"))
+    spans = version_intervals(spark, sf_dir).groupBy("path", "id")
+    return spans.agg(F.min("first").alias("first_snap"), (F.max("next") - 1).alias("last_snap"), F.sum(F.col("next") - F.col("first")).alias("n_snapshots"))
 
 
 def unreferenced_snapshots(spark, sf_dir):
@@ -80,7 +69,7 @@ def unreferenced_snapshots(spark, sf_dir):
 
 def union_of_ids(spark, sf_dir):
     """Distinct file ids of all snapshots, with the newest snapshot's number: the set that a search reads."""
-    return snapshot_files(spark, sf_dir).groupBy("id").agg(F.max("snap").alias("newest"))
+    return version_intervals(spark, sf_dir).groupBy("id").agg((F.max("next") - 1).alias("newest"))
 
 
 def checkout_ranks(spark, sf_dir):
@@ -88,13 +77,11 @@ def checkout_ranks(spark, sf_dir):
     return log(spark, sf_dir).where("live").select("path").distinct().groupBy(folders.checkout_rank().alias("rank")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (snapshot_by_id, file_by_id, files_by_ids, chunk_by_id, chunks_by_ids, latest_files, latest_sync_files, count_snapshots, merge_with_folds, file_log, unreferenced_snapshots, union_of_ids, checkout_ranks)}
+QUERIES = {f.__name__: f for f in (snapshot_by_id, files_by_ids, chunks_by_ids, latest_files, latest_sync_files, count_snapshots, merge_with_folds, file_log, unreferenced_snapshots, union_of_ids, checkout_ranks)}
 ORACLE_SQL = {
     "snapshot_by_id": f"WITH {SNAPSHOT_FILES_SQL} SELECT s.snapshot_id, created, memo, count(*) AS n_files FROM snapshots s JOIN snapshot_files f USING (snapshot_id) WHERE s.snap = 12 GROUP BY ALL",
-    "file_by_id": f"WITH {LOG_SQL} SELECT DISTINCT id, path, updated FROM log WHERE live AND id LIKE '00%'",
     "files_by_ids": f"WITH {SNAPSHOT_FILES_SQL} SELECT DISTINCT id, path, updated FROM log SEMI JOIN (SELECT id FROM snapshot_files WHERE snap = 30) n USING (id) WHERE live",
     "chunks_by_ids": f"WITH {DOCUMENT_FILES_SQL} SELECT DISTINCT chunk AS chunk_id, cast(strlen(line) AS bigint) AS size FROM file_chunks WHERE pos = 0",
-    "chunk_by_id": f"WITH {DOCUMENT_FILES_SQL} SELECT chunk AS chunk_id, cast(strlen(line) AS bigint) AS size FROM file_chunks WHERE doc_id = 7 AND pos = 0",
     "latest_files": f"WITH {SNAPSHOT_FILES_SQL} SELECT path, id, size FROM snapshot_files WHERE snap = 30",
     "latest_sync_files": f"WITH {SNAPSHOT_FILES_SQL} SELECT 'a' AS device, count(*) AS n_files FROM snapshot_files WHERE snap = 20 UNION ALL SELECT * FROM (VALUES ('b', 0), ('c', 0))",
     "count_snapshots": "SELECT cast(30 AS bigint) AS n",

@@ -166,6 +166,17 @@ def missing_cloud_latest(spark, sf_dir):
 MISSING_SQL = OUTCOME_SQL.replace("base b FULL JOIN local l USING (path) FULL JOIN cloud c USING (path)", "base b FULL JOIN local l USING (path) FULL JOIN local c USING (path)")
 
 
+def merge_order(spark, sf_dir):
+    """The merge's decisions with the place of each path."""
+    return merge.in_path_order(_decisions(spark, sf_dir).select("path", "winner"))
+
+
+def cloud_ignore_change(spark, sf_dir):
+    """For each path of the top folder of plugins as ignore file: whether the cloud's version of it would hold back removals."""
+    d = _decisions(spark, sf_dir).where("path LIKE '/plugins/%' AND cloud IS NOT NULL")
+    return d.select("path", merge.ignore_counts().alias("counts"), F.col("cloud.id").alias("cloud_id"))
+
+
 def remove_ignore_filter(spark, sf_dir):
     actions = merge.apply_set(_decisions(spark, sf_dir))
     return merge.spared_removes(actions, F.col("path").rlike("^/(assets|plugins)/")).select("path", "action", F.col("v.id").alias("id"))
@@ -214,7 +225,7 @@ def _d(select: str, extra: str = "") -> str:
     return f"WITH {SIDES_SQL}, {WIDE_SQL}, {DECIDE_SQL}{extra}\n{select}"
 
 
-QUERIES = {f.__name__: f for f in (snapshot_diff, diff_upsert_remove, merge_delta_truth, merge_decision_truth, tmp_suppression, three_way_merge, merge_of_lists, merge_conflicts, conflict_counts, merge_apply_set, merge_history, merge_outcome, missing_cloud_latest, remove_ignore_filter, sync_download_plan, full_sync_plan, fold_only_change)}
+QUERIES = {f.__name__: f for f in (snapshot_diff, diff_upsert_remove, merge_delta_truth, merge_decision_truth, tmp_suppression, three_way_merge, merge_of_lists, merge_conflicts, conflict_counts, merge_apply_set, merge_history, merge_outcome, missing_cloud_latest, merge_order, cloud_ignore_change, remove_ignore_filter, sync_download_plan, full_sync_plan, fold_only_change)}
 _OUT = ", ".join(OUT)
 ORACLE_SQL = {
     "snapshot_diff": SNAPSHOT_DIFF,
@@ -230,6 +241,8 @@ ORACLE_SQL = {
     "merge_history": _d("SELECT DISTINCT path, CASE history WHEN 'cloud' THEN c_id ELSE l_id END AS id, 'history/2024-01-23-085320-sync' || path AS history_path FROM d WHERE CASE history WHEN 'cloud' THEN c_id WHEN 'local' THEN l_id END IS NOT NULL"),
     "merge_outcome": OUTCOME_SQL,
     "missing_cloud_latest": MISSING_SQL,
+    "merge_order": _d("SELECT path, winner, row_number() OVER (ORDER BY path) AS pos FROM d"),
+    "cloud_ignore_change": _d("SELECT path, c_id AS cloud_id, NOT coalesce(l_up // 1000 = c_up // 1000 AND l_ch = c_ch AND l_size = c_size, false) AS counts FROM d WHERE path LIKE '/plugins/%' AND c_id IS NOT NULL"),
     "remove_ignore_filter": _d("SELECT * FROM a WHERE action <> 'remove' OR NOT regexp_matches(path, '^/(assets|plugins)/')", f", a AS ({APPLY_SQL})"),
     "sync_download_plan": DOWNLOAD_SQL,
     "full_sync_plan": FULL_SYNC_SQL,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import scalars as S
 from palimpsest.operators import chunks, diff, reach, transfer
 
-from .fixtures import DOCUMENT_FILES_SQL, LOG_SQL, SIDES_SQL, SNAPSHOT_FILES_SQL, before, document_files, log, refs, side_conditions, snapshot_files, snapshot_id, snapshots, state, state_sql
+from .fixtures import DOCUMENT_FILES_SQL, LOG_SQL, SIDES_SQL, SNAPSHOT_FILES_SQL, before, document_files, log, refs, side_conditions, snapshot_files, snapshot_id, snapshots, state, state_sql, version_intervals
 
 OBJECTS_SQL = """
 objects AS (SELECT object_id, any_value(size) AS size FROM (SELECT id AS object_id, size FROM log WHERE live UNION ALL SELECT sha1(p1), cast(strlen(p1) AS bigint) FROM log WHERE live
@@ -27,12 +27,12 @@ def _kept(spark, retained=()):
     return reach.referenced(refs(spark), more)
 
 
-def _files(spark, sf_dir):
-    return snapshot_files(spark, sf_dir).select("snapshot_id", "id", "chunks")
+def _live(spark, sf_dir, kept):
+    return reach.objects_of(reach.in_kept(version_intervals(spark, sf_dir), snapshots(spark), kept))
 
 
 def reachable_objects(spark, sf_dir):
-    return reach.reachable(_files(spark, sf_dir), _kept(spark))
+    return _live(spark, sf_dir, _kept(spark))
 
 
 REACH_SQL = f"""WITH {SNAPSHOT_FILES_SQL}, {OBJECTS_SQL},
@@ -47,7 +47,7 @@ def purge_plan(spark, sf_dir):
 def _stat(spark, sf_dir, retained=()):
     kept = _kept(spark, retained)
     dead = reach.unreferenced_snapshots(snapshots(spark), kept)
-    return reach.purge_stat(dead, reach.garbage(objects(spark, sf_dir), reach.reachable(_files(spark, sf_dir), kept)))
+    return reach.purge_stat(dead, reach.garbage(objects(spark, sf_dir), _live(spark, sf_dir, kept)))
 
 
 def purge_stat(spark, sf_dir):
@@ -265,9 +265,9 @@ def latest_resolution(spark, sf_dir):
 
 def quota_guard(spark, sf_dir):
     """Whether each snapshot could be backed up with 3,000 bytes used, 20 kB left and one backup a snapshot before it."""
-    from palimpsest.operators.search import stats
+    from palimpsest.operators.search import interval_stats
 
-    sizes = stats(snapshot_files(spark, sf_dir)).join(snapshots(spark), "snapshot_id")
+    sizes = interval_stats(version_intervals(spark, sf_dir), snapshots(spark)).join(snapshots(spark), "snapshot_id")
     error = transfer.quota_error(F.lit(3000), F.col("size"), F.lit(20_000), F.col("snap") - 1)
     return sizes.select("snap", "size", error.alias("error"))
 

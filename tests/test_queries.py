@@ -144,9 +144,9 @@ def test_checkout_order_of_every_file(spark):
     assert registry.QUERIES["checkout_order_all"](spark, SF).count() == fixtures.state(spark, SF, 20).count() > 50
     from palimpsest.operators import folders
 
-    paths = [f"/{c}/{m}{k}" for c in ("assets", "notes", "x/.app", "notes/emojis/a-long-folder-name") for m in ("", "é", "u/", "u-") for k in range(9)]
+    paths = [f"/{c}/{m}{k}" for c in ("assets", "emojis", "notes", "x/.app", "notes/emojis/a-long-folder-name") for m in ("", "é", "u/", "u-") for k in range(9)]
     rows = folders.checkout_positions(spark.createDataFrame([(p,) for p in reversed(paths)], "path string")).orderBy("pos").collect()
-    rank = lambda p: 0 if ".app" in p else 1 if "/assets/" in p else 2 if "/emojis/" in p else 8
+    rank = lambda p: 0 if ".app" in p else 1 if p.startswith("/assets/") else 2 if p.startswith("/emojis/") else 8
     assert [(r.pos, r.path, r["rank"], r.depth) for r in rows] == [(n, p, rank(p), p.count("/")) for n, p in enumerate(sorted(paths, key=lambda p: (rank(p), p.count("/"), p)), 1)]
 
 
@@ -164,3 +164,30 @@ def test_look_ups_of_all_named_ids(spark):
     assert any(not i.startswith("00") for i in named)
     firsts = {r.c for r in fixtures.document_files(spark, SF).select(F.element_at("chunks", 1).alias("c")).collect()}
     assert {r.chunk_id for r in registry.QUERIES["chunks_by_ids"](spark, SF).collect()} == firsts
+
+
+def test_kept_intervals_against_rows(spark):
+    """Versions that kept snapshots hold, and counts a snapshot, by intervals and by a row for each snapshot."""
+    from palimpsest.operators import reach, search
+
+    intervals, rows, names = fixtures.version_intervals(spark, SF), fixtures.snapshot_files(spark, SF), fixtures.snapshots(spark)
+    for some in ((10, 20, 30), (1,), (), tuple(range(1, 31))):
+        kept = names.where(F.col("snap").isin(list(some)) if some else F.lit(False)).select("snapshot_id")
+        one = reach.objects_of(reach.in_kept(intervals, names, kept.unionByName(kept)))
+        two = reach.reachable(rows, kept)
+        assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+    one, two = (x.select("snapshot_id", "count", "size") for x in (search.interval_stats(intervals, names), search.stats(rows)))
+    assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+    one, two = search.newest_holder_of(intervals, names), search.newest_holder(rows, names)
+    assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+
+
+def test_titles_are_unescaped_before_they_are_searched(spark):
+    from palimpsest.operators import search
+
+    rows = [("/a/20200101000000-abcdefg.sy", "Q&amp;A &lt;new&gt; &quot;x&quot;"), ("/b.sy", "&amp;lt;"), ("/q&a.txt", "other"), ("/q&a.sy", ""), ("/q&a2.sy", None)]
+    df = spark.createDataFrame(rows, "path string, title string")
+    found = lambda k: {r.path for r in df.where(search.keyword_match(k)).collect()}
+    assert found("q&A") == {rows[0][0], "/q&a.txt", "/q&a.sy", "/q&a2.sy"}
+    assert found('<NEW> "X"') == {rows[0][0]} and found("&lt;") == {"/b.sy"} and found("amp;") == set()
+    assert found("20200101000000-abcdefg") == {rows[0][0]} and len(found("")) == 5

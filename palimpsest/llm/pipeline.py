@@ -35,7 +35,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     A null text stays null, an empty one empty; a null source is a source of its own; null ids don't matter.
     """
     cut = line_dedup.remove_lines(docs, host="source", copies_once=True)
-    return cut.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return cut.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,18 +44,24 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows, not ids, are linked and go, so ids may repeat or be null: a null doc_id comes last, and between rows of one doc_id
     the row's hash decides. Rows equal in all columns are one row. Other rows without words, null and empty texts, stay.
     """
-    keyed = docs.withColumn("__key", F.xxhash64(*(x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull()))))
-    member = jaccard_join.join(keyed, id="__key", percent=80, size=5).select("__key", "component_id")
-    many = member.groupBy("component_id").count().where("count > 1").select("component_id")
-    grouped = saved(member.join(many, "component_id").select("__key", "component_id"), "grouped")
+    names = docs.columns
+    text, doc_id = (F.col(f"c{names.index(c)}") for c in ("text", "doc_id"))
+    flat = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    keyed = flat.withColumn("key", F.xxhash64(*(x for c in flat.columns for x in (F.col(c), F.col(c).isNull()))))
+    member = jaccard_join.join(keyed.select("key", text.alias("text")), id="key", percent=80, size=5).select("key", "component_id")
+    # Equal rows are counted, and groups found by what their other members name: no join brings a whole group together.
+    rows = saved(member.groupBy("key", "component_id").agg(F.count("*").alias("n")), "rows")
+    first = rows.where("key <> component_id").select(F.col("component_id").alias("key"), "component_id").distinct()
+    grouped = saved(rows.where("key <> component_id OR n > 1").select("key", "component_id").unionByName(first).distinct(), "grouped")
     # Only rows of groups are shuffled; a bounded filter of row hashes tells.
-    doubtful, rest = rows_of(keyed, "__key", grouped.select("__key"), grouped.count())
-    of = grouped.distinct()
-    least = doubtful.select("__key", "doc_id").join(of, "__key").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("least"))
-    gone = saved(of.select("__key").join(least.select("least.__key"), "__key", "left_anti"), "gone")
-    dropped(grouped)
-    kept = doubtful.join(gone, "__key", "left_anti").dropDuplicates(["__key"])
-    return (kept if rest is None else kept.unionByName(rest)).select(*(f"`{c}`" for c in docs.columns))
+    doubtful, rest = rows_of(keyed, "key", grouped.select("key"), grouped.count())
+    ids = doubtful.select("key", doc_id.alias("id")).join(grouped, "key")
+    least = ids.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("least"))
+    gone = saved(grouped.select("key").join(least.select("least.key"), "key", "left_anti"), "gone")
+    dropped(rows, grouped)
+    kept = doubtful.join(gone, "key", "left_anti").dropDuplicates(["key"])
+    every = kept if rest is None else kept.unionByName(rest)
+    return every.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

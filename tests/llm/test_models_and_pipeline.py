@@ -372,3 +372,36 @@ def test_near_duplicates_of_repeated_and_null_ids(spark, corpus):
     ds = [x for x in got if x in ((None, d), (None, d + " end"))]
     assert len(ds) == 1
     assert sorted((x for x in got if x not in ds), key=repr) == sorted([(4, a), (2, b), (7, c), (None, e), (9, ""), (10, ""), (None, None), (11, None), (12, "page")], key=repr)
+
+
+def test_stages_of_odd_tables(spark, corpus, tmp_path):
+    """Empty tables, extra columns whose names clash, repeated rows, null ids and texts, and one very long text, in every stage."""
+    docs, labels, rows = corpus
+    r = random.Random(3)
+    passage = " ".join(f"bench{r.randrange(10**6)}" for _ in range(20))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ["__row", "key", "c0", "row", "id", "component_id", "n_words", "kept_text", "a.b", "hit_spans", "selected", "__host", "piece"]
+    clash = docs
+    for k, c in enumerate(names):
+        clash = clash.withColumn(c, F.lit(k))
+    long = clash.where("doc_id = 4").withColumn("text", F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(150_000)), lambda x: F.concat(F.lit("w"), x.cast("string")))))
+    odd = clash.where("doc_id < 60 OR doc_id IS NULL OR doc_id > 9000").unionByName(clash.where("doc_id IN (1, 2, 2)")).unionByName(long)
+    odd.write.parquet(str(tmp_path / "odd"))
+    odd = spark.read.parquet(str(tmp_path / "odd"))
+    n = odd.count()
+    for name, stage in pipeline.STAGES[:-1]:
+        assert stage(spark, odd.where("false"), str(tmp_path)).count() == 0
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns == odd.columns and [f.dataType for f in out.schema] == [f.dataType for f in odd.schema]
+        got = out.collect()
+        assert all(tuple(x[c] for c in names) == tuple(range(len(names))) for x in got)
+        if name == "quality":
+            assert len({x.doc_id for x in got if x.doc_id in (1, 2)}) * 2 == sum(x.doc_id in (1, 2) for x in got)
+        elif name == "near_duplicates":
+            assert len(got) == len({tuple(x) for x in got}) == n - 2 and sum(x.text is None for x in got) == 1
+        else:
+            assert len(got) == n
+    packed = pipeline.pack(spark, odd, str(tmp_path)).collect()
+    assert sum(x.piece == 0 for x in packed) == n and max(x.piece for x in packed) > 50
+    assert pipeline.pack(spark, odd.where("false"), str(tmp_path)).count() == 0

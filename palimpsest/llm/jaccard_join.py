@@ -289,7 +289,7 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int =
         return f
 
     fields = [T.StructField(c, T.LongType()) for c in ("n_shingles", "d1", "d2")]
-    sized = saved(with_columns(docs, "text", fields, make, needed=["doc"]), "sets")
+    sized = saved(with_columns(docs, "text", fields, make, needed=["doc"]), "sets", narrow=True)
     linkable = sized.where("doc IS NOT NULL AND n_shingles > 0")
     classes = saved(linkable.groupBy("d1", "d2").agg(F.min("doc").alias("class_id"), F.max("n_shingles").alias("n")), "classes")
     width = width_for(docs)

@@ -259,7 +259,7 @@ def default_tokenizer() -> str:
 
 def pack(docs: DataFrame, path: str | None = None, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """id, piece, start, length, ids_crc32, sequence_id, offset. `path`: the tokenizer file, at the same place on all machines."""
-    pieces = saved(tokenized(docs, path or default_tokenizer(), id, text, capacity, end), "pieces")
+    pieces = saved(tokenized(docs, path or default_tokenizer(), id, text, capacity, end), "pieces", narrow=True)
     return placed(pieces, capacity).select(id, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -214,7 +214,7 @@ def resample(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
     carried = F.struct(*(F.col(f"`{c}`") for c in columns)) if columns else F.struct("*")
     rows = docs.select(carried.alias("__row"), noise(F.col(id), seed).alias("__noise"), F.col(text).alias("text"))
     keyed = with_columns(rows, "text", fields, make, needed=["__row", "__noise"]).withColumn("key", _sortable(F.col("log_odds") / temperature + F.col("__noise")))
-    keyed = saved(keyed.drop("__noise"), "keys")
+    keyed = saved(keyed.drop("__noise"), "keys", narrow=columns is not None)
     released(shared)
     if not odds.line.any():
         return keyed.drop("key").withColumn("selected", F.lit(True))

@@ -121,7 +121,7 @@ def counter_bits(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], I
     merged = docs.mapInArrow(local, "slice int, once binary, twice binary").repartition(parts, "slice").mapInArrow(merge, "slice int, bits binary")
     bits = np.zeros(n * SLICE // 8, np.uint8)
     # Saved first: read straight from the plan, an iterator would merge one partition after the other.
-    merged = saved(merged, "sketch")
+    merged = saved(merged, "sketch", narrow=True)
     for r in merged.toLocalIterator():
         bits[r.slice * (SLICE // 8) : (r.slice + 1) * (SLICE // 8)] = np.frombuffer(r.bits, np.uint8)
     dropped(merged)

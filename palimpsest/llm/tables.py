@@ -28,11 +28,13 @@ def _path(spark: SparkSession, folder: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """`df` as a Parquet table in the shared folder, read back: lineage ends there and survives lost executors.
 
-    The table goes when the session ends, or by `dropped` when nothing reads it any more.
+    With `narrow`, rows are few bytes each and are brought together first, so that not every task of a wide scan leaves a
+    small file. The table goes when the session ends, or by `dropped` when nothing reads it any more.
     """
+    df = df.hint("rebalance") if narrow else df
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(folder)

@@ -3,7 +3,7 @@
 A block of texts is one byte array with document offsets. Words are maximal runs of bytes that a 256-entry table maps
 to a non-zero byte; the table also folds case. Every word gets a 64-bit hash in a fixed number of numpy passes, with no
 Python loop over words. Texts are handled whole: a block holds at most BLOCK_BYTES, or one longer text. Hashing goes over
-a block in pieces of PIECE bytes, so what a long text takes is about ten bytes a byte, for the places of its words.
+a block in pieces of PIECE bytes, so what a long text takes is three bytes a byte and some fifty a word, for the places and hashes of its words.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def powers(base: int) -> np.ndarray:
 
 def span_hashes(codes: np.ndarray, weights: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of codes[start:end] for each span, by the weight of each code; spans are in order and don't overlap."""
-    begin, finish, scale = np.zeros(len(starts), U), np.zeros(len(starts), U), np.zeros(len(starts), U)
+    value, scale = np.zeros(len(starts), U), np.zeros(len(starts), U)
     up, down = powers(_BASE), powers(_INVERSE)
     carry, high, low = 0, 1, 1  # the sum up to the piece; the base and its inverse to the power of its place
     for at in range(0, len(codes), PIECE):
@@ -56,12 +56,15 @@ def span_hashes(codes: np.ndarray, weights: np.ndarray, starts: np.ndarray, ends
         total = total * U(high) + U(carry)
         a, b = np.searchsorted(starts, [at, at + len(piece)])
         place = starts[a:b] - at
-        begin[a:b], scale[a:b] = total[place], down[place] * U(low)
+        value[a:b], scale[a:b] = U(0) - total[place], down[place] * U(low)
         a, b = np.searchsorted(ends, [at, at + len(piece)], "right")
-        finish[a:b] = total[ends[a:b] - at]
+        value[a:b] += total[ends[a:b] - at]
         carry = int(total[-1])
         high, low = high * pow(_BASE, len(piece), 1 << 64) & _MASK, low * pow(_INVERSE, len(piece), 1 << 64) & _MASK
-    return mix((finish - begin) * scale ^ (ends - starts).astype(U))
+    value *= scale
+    del scale
+    value ^= (ends - starts).astype(U)
+    return mix(value)
 
 
 def trim() -> None:
@@ -121,7 +124,9 @@ class Words:
         edges = edges[(edges > 0) & (edges < len(data))]
         first[edges] |= inside[edges]
         last[edges - 1] |= inside[edges - 1]
+        del inside
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        del first, last
         self.firsts = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.firsts)
         self.rows = np.repeat(np.arange(len(self.counts)), self.counts)
@@ -162,17 +167,19 @@ def with_columns(df: DataFrame, text: str, fields: list[StructField], make: Call
     """
     new = StructType(fields)
     used = [c for c in (needed if needed is not None else df.columns) if c not in new.names]
-    source = df.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*used, text])))
-    drop_text = text not in used
+    names = list(dict.fromkeys([*used, text]))
+    # Numbered names on the way: a column may have a dot or a space in its name.
+    source = df.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)))
+    place = names.index(text)
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        schema, f = to_arrow_schema(new), make()
-        for block, data, offsets in row_blocks(batches, text, size):
-            kept = block.drop_columns([text]) if drop_text else block
-            arrays = [pa.array(x, t.type) if not isinstance(x, pa.Array) else x.cast(t.type) for x, t in zip(f(block, data, offsets), schema, strict=True)]
-            yield pa.RecordBatch.from_arrays([*kept.columns, *arrays], schema=pa.schema([*kept.schema, *schema]))
+        schema, f = to_arrow_schema(out), make()
+        for block, data, offsets in row_blocks(batches, f"c{place}", size):
+            made = f(block.rename_columns(names), data, offsets)
+            arrays = [pa.array(x, t.type) if not isinstance(x, pa.Array) else x.cast(t.type) for x, t in zip(made, list(schema)[len(used) :], strict=True)]
+            yield pa.RecordBatch.from_arrays([*block.columns[: len(used)], *arrays], schema=schema)
 
-    out = StructType([source.schema[c] for c in used] + new.fields)
-    return source.mapInArrow(run, out)
+    out = StructType([StructField(f"c{k}", source.schema[k].dataType) for k in range(len(used))] + [StructField(f"n{k}", f.dataType) for k, f in enumerate(new.fields)])
+    return source.mapInArrow(run, out).toDF(*used, *new.names)

@@ -4,11 +4,14 @@ A text is cut into windows of `WINDOW` bytes (A-Z folded; the last one padded),
 filters of several widths, rectified, max-pooled over the window, and put through a linear layer and softmax. A text's
 prediction is the mean of its windows' log probabilities, weighted by the bytes they hold. Every byte of every text is read.
 
-Scale: training uses windows of at most `most` labelled rows of at most `most_bytes` each, on the driver; the network has
-about a thousand parameters and is broadcast; prediction is one narrow pass over batches of windows.
+Scale: training uses `windows_a_text` windows, spread over the text, of each of at most `most` labelled rows of at most
+`most_bytes`, on the driver, 94 MiB in all; the network has some three thousand parameters and is broadcast; prediction is one
+narrow pass that holds `batch` windows at a time, and some 60 bytes for each window of a text.
 
 Defined results: `und` with score 0 where the text is null, empty or without a letter, or where no labels could be
-learned; ties go to the language that sorts first; repeated rows are predicted alike; other columns are never inputs.
+learned; ties go to the language that sorts first; of several labels of one id the first in order counts; repeated rows are
+predicted alike; an empty table gives an empty one; columns named lang_pred or score give way to the result, and others are
+never inputs.
 """
 
 from __future__ import annotations
@@ -28,17 +31,27 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
-def cut(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(windows, row of each, bytes in each) of texts."""
+def places(offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, bytes held) of the windows of texts."""
     size = np.diff(offsets)
     n = -(-size // window)
     rows = np.repeat(np.arange(len(size)), n)
     start = offsets[rows] + (np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)) * window
-    held = np.minimum(window, offsets[rows + 1] - start)
-    at = start[:, None] + np.arange(window)
+    return rows, start, np.minimum(window, offsets[rows + 1] - start)
+
+
+def windows_at(data: np.ndarray, start: np.ndarray, held: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """The folded bytes of windows, padded with zeros."""
+    out = np.zeros((len(start), window), np.uint8)
     inside = np.arange(window) < held[:, None]
-    out = np.where(inside, _FOLD[data[np.minimum(at, max(len(data) - 1, 0))]] if len(data) else 0, 0).astype(np.uint8)
-    return out, rows, held
+    out[inside] = _FOLD[data[(start[:, None] + np.arange(window))[inside]]]
+    return out
+
+
+def cut(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(windows, row of each, bytes in each) of texts."""
+    rows, start, held = places(offsets, window)
+    return windows_at(data, start, held, window), rows, held
 
 
 def one_thread() -> None:
@@ -98,7 +111,8 @@ class Network:
         for j, t in enumerate(tables):
             total[:, : length - j, -t.shape[1] :] += t.take(x[:, j:], axis=0)
         pooled = [total[:, : length - w + 1, k * FILTERS : (k + 1) * FILTERS].max(axis=1) + self.p[f"b{w}"] for k, w in enumerate(WIDTHS)]
-        z = np.maximum(np.concatenate(pooled, axis=1), 0) @ self.p["o"] + self.p["c"]
+        # Not a matrix product: its rounding would hang on the other windows of the batch.
+        z = (np.maximum(np.concatenate(pooled, axis=1), 0)[:, :, None] * self.p["o"]).sum(axis=1) + self.p["c"]
         z = z - z.max(axis=1, keepdims=True)
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
@@ -162,7 +176,7 @@ def learn(rows: list[tuple[str, str]], steps: int = 500, windows_a_text: int = 4
     return network
 
 
-def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 3, held_out: int = 1, most: int = 3000, most_bytes: int = 1 << 17, steps: int = 500) -> Network | None:
+def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 3, held_out: int = 1, most: int = 3000, most_bytes: int = 1 << 15, steps: int = 500) -> Network | None:
     """Learn from rows with a language outside the held-out fold."""
     known = docs.where(F.col(lang).isNotNull() & F.col(id).isNotNull() & (fold_of(F.col(id), folds) != held_out))
     sample = by_hash(known.groupBy(F.col(id).alias("id")).agg(F.min(lang).alias("label")), most)
@@ -184,21 +198,16 @@ def predict(docs: DataFrame, network: Network | None, text: str = "text", needed
             n = rows.num_rows
             if net is None:
                 return [UNKNOWN] * n, np.zeros(n)
-            x, row, held = cut(data, offsets)
-            total = np.zeros((n, len(net.languages)))
-            for a in range(0, len(x), batch):
-                log_p = net.predict(x[a : a + batch], tables)
-                for k in range(log_p.shape[1]):
-                    total[:, k] += np.bincount(row[a : a + batch], log_p[:, k] * held[a : a + batch], n)
+            row, start, held = places(offsets)
+            every = [net.predict(windows_at(data, start[a : a + batch], held[a : a + batch]), tables) for a in range(0, len(row), batch)]
+            log_p = np.concatenate([np.zeros((0, len(net.languages))), *every])
+            # Summed in the order of a text's windows alone, so that equal texts score alike wherever they lie.
+            total = np.stack([np.bincount(row, log_p[:, k] * held, n) for k in range(log_p.shape[1])], axis=1)
             mean = total / np.maximum(np.diff(offsets), 1)[:, None]
             p = np.exp(mean - mean.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             best = p.argmax(axis=1)
-            ascii_letters = np.concatenate([[0], np.cumsum(letter[data])])
-            named = ascii_letters[offsets[1:]] > ascii_letters[offsets[:-1]]
-            raw = data.tobytes()
-            for i in np.flatnonzero(~named):
-                named[i] = any(c.isalpha() for c in raw[offsets[i] : offsets[i + 1]].decode())
+            named = np.array([letter[data[a:b]].any() or any(map(str.isalpha, data[a:b].tobytes().decode())) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], bool)
             return [net.languages[k] if ok else UNKNOWN for k, ok in zip(best, named, strict=True)], np.where(named, p[np.arange(n), best], 0.0)
 
         return block

@@ -1,10 +1,11 @@
 """Best-fit packing of token sequences by minimum bin slack.
 
-Tokens. A document is its ids by the word tokenizer, then one end id. Ids are made in batches: text is cut where the
-tokenizer itself would cut it (white space, letters, single digits, other marks), each different piece is encoded once by
-the library's model and kept, and ids are gathered with numpy. Anything that this cutting doesn't cover exactly
-(characters beyond Latin-1, apostrophes, the special tokens' marks) goes to the library's own encoder, one
-white-space-delimited stretch at a time.
+Tokens. A document is its ids by the tokenizer, then one end id. For the word tokenizer, known by its normaliser and its
+splitting rule, ids are made in batches: text is cut where the tokenizer itself would cut it (white space, letters, single
+digits, other marks), each different piece is encoded once by the library's model and kept, and ids are gathered with numpy.
+Anything that this cutting doesn't cover exactly (characters beyond Latin-1, apostrophes, the special tokens' marks) goes to
+the library's own encoder, one white-space-delimited stretch at a time. A long text is taken in pieces that end at white
+space. With any other tokenizer file, whole texts go to the library.
 
 Packing. Only documents longer than a sequence are cut. Pieces matter to the packing by length alone, and there are at
 most `capacity` lengths, so the plan is made on the driver from a histogram of at most `capacity` rows. Per bin, a bitset
@@ -14,11 +15,13 @@ places by their rank among those of their length: ranks come from counts per (le
 whole length.
 
 Defined results: null text is empty, and an empty document is the end id alone. Repeated rows are packed each by itself.
-A null doc_id is kept. Other columns are ignored.
+A null doc_id is kept. Pieces of one length are alike, so which of them lies where is open. An empty table gives an empty
+one. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -32,7 +35,16 @@ from .kernel import U, row_blocks, span_hashes
 
 CAPACITY = 4096
 END = 1
-MOST_KEPT = 1 << 20
+MOST_KEPT, LONG = 1 << 20, 1 << 20
+# The normaliser and the splitting rule that the batch encoder follows.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 _CODES = np.random.default_rng(20250115).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 
 #: Classes of code points below 256: 0 white space, 1 letter, 2 digit, 3 mark, 4 left to the library.
@@ -61,6 +73,9 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
+        spec = json.loads(self.library.to_str())
+        marks = all("<" in t["content"] for t in spec["added_tokens"])  # a mark that always goes to the library
+        self.batched = marks and spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == SPLITTER and spec["model"]["type"] == "BPE"
         self.stand_in = {chr(b): c for b, c in _byte_letters().items()}
         self.clear()
 
@@ -82,6 +97,30 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, where each row's begin): UTF-8 bytes and row offsets in."""
+        if not self.batched:
+            texts = [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            rows = [np.array(e.ids, np.uint32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *rows]), np.cumsum([0, *(len(r) for r in rows)])
+        if len(offsets) != 2 or len(data) <= LONG:
+            return self._encode(data, offsets)
+        ids, at = [], 0
+        while at < len(data):
+            end = self._white(data, at + LONG)
+            ids.append(self._encode(data[at:end], np.array([0, end - at]))[0])
+            at = end
+        return np.concatenate(ids), np.array([0, sum(map(len, ids))])
+
+    @staticmethod
+    def _white(data: np.ndarray, at: int) -> int:
+        """The first ASCII white space from `at` on, or the end."""
+        for a in range(at, len(data), 1 << 16):
+            part = data[a : a + (1 << 16)]
+            hit = np.flatnonzero((part == 32) | ((part >= 9) & (part <= 13)))
+            if len(hit):
+                return a + int(hit[0])
+        return len(data)
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > MOST_KEPT:
             self.clear()
         codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)

@@ -19,7 +19,8 @@ def by_hash(ids: DataFrame, most: int) -> DataFrame:
 
 
 def texts(docs: DataFrame, sample: DataFrame, most: int, most_bytes: int) -> list[tuple[str, object]]:
-    """(text, label) of the sampled ids, longest texts left out: on the driver, at most `most` rows of `most_bytes` bytes.
+    """(text, label) of the sampled ids, longest texts left out: on the driver, at most `most` rows of `most_bytes` bytes each,
+    so `most` times `most_bytes` bounds what it holds.
 
     `docs` has id and text. The order is that of the ids, so fitting repeats exactly.
     """

@@ -4,11 +4,15 @@ Base kinds: `assign` (a keyword, a separator and a value of 12 characters or mor
 `hex` (16 or more hex digits; runs of that length are found with numpy, as no keyword leads to them). Within a kind,
 matches are leftmost and don't overlap, and one whose value is too short still uses up its text. Further kinds must pass
 a check that is embedded in them: `forge` and `registry` tokens carry the CRC-32 of their body in base 62, a `jwt` has a
-header that decodes to JSON with an algorithm, a `pem` block has both its marks and base64 between them.
+header that decodes to JSON with an algorithm, a `pem` block has both its marks and base64 between them. Of the places in one
+run of token characters where a `jwt` may begin, the first decides.
 
-Scale: one narrow pass; the automaton is a few dozen fixed keywords. Positions are code points.
+Scale: one narrow pass; the automaton is a few dozen fixed keywords. Work is in proportion to a text's length, whatever it
+holds: patterns don't go back over what they have read, and no run is read from more than one of its places. Positions are
+code points.
 
-Defined results: null text is empty; repeated rows are scanned row by row; other columns are ignored.
+Defined results: null text is empty; repeated rows are scanned row by row, and equal spans of two kinds are both told; an
+empty table gives an empty one; a column named secret_spans gives way to the result, and other columns don't matter.
 """
 
 from __future__ import annotations
@@ -39,9 +43,11 @@ PATTERNS = {
     "access": re.compile(r"AKIA[A-Z0-9]+"),
     "forge": re.compile(r"gh[pousr]_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])"),
     "registry": re.compile(r"npm_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])"),
-    "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]*"),
-    "pem": re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----"),
+    "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]++)\.(eyJ[A-Za-z0-9_-]++)\.[A-Za-z0-9_-]*+"),
+    "pem": re.compile(r"-----BEGIN ((?:[A-Z]++ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]++)-----END \1-----"),
 }
+#: What a failed match has read, and no other match of its kind need read again.
+RUNS = {"jwt": re.compile(r"[A-Za-z0-9_-]*+")}
 HEX = re.compile(r"[0-9a-f]{16,}")
 DIGITS62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -89,11 +95,15 @@ class Scanner:
         hits = sorted((end - length + 1, kind) for end, (kind, length) in self.automaton.iter(low))
         free, out = dict.fromkeys(KINDS, 0), []
         for start, kind in hits:
-            if start >= free[kind] and (m := PATTERNS[kind].match(text, start)):
-                if ok := passes(kind, m):
-                    out.append((kind, start, m.end()))
-                if ok or kind in BASE_KINDS:
-                    free[kind] = m.end()
+            if start < free[kind]:
+                continue
+            m = PATTERNS[kind].match(text, start)
+            if m and (ok := passes(kind, m)):
+                out.append((kind, start, m.end()))
+            if m and (ok or kind in BASE_KINDS):
+                free[kind] = m.end()
+            elif kind in RUNS and (m or text.startswith("eyJ", start)):
+                free[kind] = RUNS[kind].match(text, start).end()
         if with_hex:
             out += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
         return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))

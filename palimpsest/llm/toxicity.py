@@ -1,16 +1,18 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick over folded text.
 
-Folding maps homoglyphs (Cyrillic, Greek and full-width look-alikes), digit and mark substitutions inside words, and case
-to plain lower-case letters, and all other marks to spaces. The lexicon holds words and word beginnings ("stems") with
+Folding maps homoglyphs (Cyrillic, Greek and full-width look-alikes), the digits and marks that stand for letters (0, 1, 3, 4, 5,
+7, @ and $, wherever they are) and case to plain lower-case letters, and all other marks to spaces. The lexicon holds words and word beginnings ("stems") with
 their log-odds weights, learned from labelled rows; exception phrases are two-word phrases around a lexicon word that
 labelled clean texts carry and toxic ones don't, and they cancel the match they cover. A text's score is a logistic
 function of its summed weight and of that sum per word (the length-normalised part).
 
-Scale: fitting reads at most `most` labelled rows of at most `most_bytes` each to the driver; the lexicon has at most
-`most_entries` entries, which bounds the automaton that is broadcast; scoring is one narrow pass over whole texts.
+Scale: fitting reads at most `most` labelled rows of at most `most_bytes` each to the driver, 94 MiB in all; the lexicon has at
+most `most_entries` entries, which bounds the automaton that is broadcast; scoring is one narrow pass over whole texts, and
+holds a few copies of a text and a number for each match.
 
 Defined results: null and empty text score as texts without matches; without labelled rows of both kinds every score is
-the share of toxic labels (0 if none); repeated rows score alike; other columns are never inputs.
+the share of toxic labels (0 if none); an id labelled both ways counts as toxic; repeated rows score alike; an empty table
+gives an empty one; a column named score gives way to the result, and other columns are never inputs.
 """
 
 from __future__ import annotations
@@ -18,7 +20,9 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +44,12 @@ FOLD = (
     | {k: " " for k in range(128) if not chr(k).isalnum()}
     | {ord(a): b for a, b in SUBSTITUTES.items()}
 )
-WORD = re.compile(r"[^\W_]+")
+GAP = re.compile(r"[\W_]+")
 
 
 def folded(text: str) -> str:
     """Words of the folded text, each between single spaces."""
-    return f" {' '.join(WORD.findall(text.lower().translate(FOLD)))} "
+    return f" {GAP.sub(' ', text.lower().translate(FOLD)).strip()} "
 
 
 class Lexicon:
@@ -75,7 +79,13 @@ class Lexicon:
                 spared.append((start, end))
             else:
                 found[start] = max(weight, found.get(start, 0.0))
-        return {s: w for s, w in found.items() if not any(a <= s < b for a, b in spared)} if spared and found else found
+        if not spared or not found:
+            return found
+        spared.sort()
+        begins, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+        # Of the phrases that begin at a match or before it, the one that ends last tells.
+        under = lambda s: (k := bisect_right(begins, s)) > 0 and reach[k - 1] > s
+        return {s: w for s, w in found.items() if not under(s)}
 
     def inputs(self, text: str, automaton) -> tuple[float, float]:
         """Summed weight on a log scale, and per word, of folded text."""
@@ -176,7 +186,7 @@ def learn(rows: list[tuple[str, int]], most_entries: int = 5000, least: int = 4,
     return lexicon
 
 
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, held_out: int = 0, most: int = 6000, most_bytes: int = 1 << 17) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, held_out: int = 0, most: int = 6000, most_bytes: int = 1 << 14) -> Lexicon:
     """Learn from labelled rows outside the held-out fold."""
     known = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull() & (fold_of(F.col(id), folds) != held_out))
     sample = by_hash(known.groupBy(F.col(id).alias("id")).agg(F.max(label).cast("int").alias("label")), most)

@@ -41,6 +41,32 @@ def test_encoder_equals_the_library(library, texts):
             assert ids[at[k] : at[k + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_long_texts_are_encoded_in_pieces(library, monkeypatch):
+    """A text beyond LONG is cut at white space; so is one that has none for long."""
+    monkeypatch.setattr(packing, "LONG", 300)
+    r = random.Random(8)
+    encoder = packing.Encoder(packing.default_tokenizer())
+    for alphabet in ("abc déf 12 ,. \n\t", "abcdef'<é", "x \u2003\x85y“z ", "a"):
+        text = "".join(r.choice(alphabet) for _ in range(5000))
+        ids, at = encoder.encode(*text_bytes(pa.array([text])))
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and at.tolist() == [0, len(ids)]
+
+
+def test_other_tokenizers_go_to_the_library(texts):
+    """Another file has other rules: ids are the library's for any text."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, library = packing.Encoder(path), Tokenizer.from_file(path)
+    assert not encoder.batched and packing.Encoder(packing.default_tokenizer()).batched
+    every = [t or "" for t in texts] + ODD
+    ids, at = encoder.encode(*text_bytes(pa.array(every)))
+    for k, t in enumerate(every):
+        assert ids[at[k] : at[k + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
+    assert encoder.encode(*text_bytes(pa.array([], pa.string())))[1].tolist() == [0]
+
+
 def check_packing(rows, docs, library, capacity):
     by = collections.defaultdict(list)
     for r in rows:
@@ -148,6 +174,64 @@ def test_toxicity_folding_and_exceptions():
     assert toxicity.learn([("x", 0)] * 3).score("x", None) < 1e-6
 
 
+def naive_score(lexicon, text):
+    """By looking for every entry at every word, and every exception at every place."""
+    t = toxicity.folded(text)
+    found = {}
+    for p, w in lexicon.entries.items():
+        for k in range(len(t)):
+            if t.startswith(p, k):
+                found[k] = max(w, found.get(k, 0.0))
+    spared = [(k, k + len(p) - 1) for p in lexicon.exceptions for k in range(len(t)) if t.startswith(p, k)]
+    total = sum(w for k, w in found.items() if not any(a <= k < b for a, b in spared))
+    words = len(t.split())
+    a, b, c = lexicon.coefficients
+    return 1 / (1 + np.exp(-np.clip(a + b * np.log1p(total) + c * 10 * total / (10 + words), -30, 30)))
+
+
+def test_toxicity_scores_against_plain_search(corpus):
+    docs, labels, _ = corpus
+    lexicon = toxicity.fit(docs, labels)
+    assert lexicon.entries
+    lexicon.exceptions = {" vilkor the ", " of vilkor ", " the of ", " grumph grumph "}
+    r = random.Random(5)
+    words = ["vilkor", "V1LKOR", "vіlkоr", "vilkora", "grumph", "grum", "the", "of", "other", "ｖｉｌｋｏｒ", "@nd", "“x”", "_", "ß"]
+    automaton = lexicon.automaton()
+    for n in (0, 1, 2, 5, 30):
+        for _ in range(40):
+            text = " ".join(r.choice(words) + r.choice(("", "", ".", "\n", "!!")) for _ in range(n))
+            assert abs(lexicon.score(text, automaton) - naive_score(lexicon, text)) < 1e-9
+
+
+def test_many_exceptions_take_time_in_proportion():
+    import time
+
+    lexicon = toxicity.Lexicon({" vilkor ": 3.0, " vil": 1.0}, {" vilkor fish ", " the vilkor "}, (0.0, 1.0, 1.0))
+    text, automaton = toxicity.folded("the vilkor fish swims vilkor alone " * 100_000), lexicon.automaton()
+    began = time.process_time()
+    found = lexicon.matches(text, automaton)
+    assert len(found) == 100_000 and time.process_time() - began < 10
+
+
+def test_classifiers_of_odd_rows(corpus, spark):
+    """Ties, repeated rows, labels of both kinds for one id, an empty table, and a text of some megabytes."""
+    docs, labels, rows = corpus
+    more = labels.union(spark.createDataFrame([(5, 1, 1), (6, 0, 0), (6, 1, 1)], labels.schema))
+    twice = docs.union(docs.where("doc_id < 20")).withColumn("lang_pred", F.lit(1)).withColumn("a.b", F.lit(2))
+    long = spark.createDataFrame([(8000, "vilkor the other " * 200_000)], "doc_id long, text string")
+    lexicon = toxicity.fit(twice, more)
+    by = collections.defaultdict(set)
+    for x in toxicity.score(twice.select("doc_id", "text").union(long), lexicon).collect():
+        by[x.doc_id, x.text].add(x.score)
+    assert all(len(v) == 1 and 0 <= min(v) <= 1 for v in by.values())
+    network = language_id.fit(twice.drop("lang_pred"), steps=60)
+    by = collections.defaultdict(set)
+    for x in language_id.predict(twice.select("doc_id", "text", "lang_pred", "`a.b`").union(long.select("*", F.lit(1), F.lit(2))), network).collect():
+        by[x.doc_id, x.text].add((x.lang_pred, x.score))
+    assert all(len(v) == 1 for v in by.values())
+    assert language_id.predict(docs.where("false"), network).count() == toxicity.score(docs.where("false"), lexicon).count() == 0
+
+
 def test_fitting_with_empty_tables(corpus, spark):
     docs, labels, _ = corpus
     none = labels.where("false")
@@ -197,6 +281,20 @@ def test_windows_read_every_byte():
     assert b"".join(w[:n].tobytes() for w, n in zip(x, held, strict=True)) == ("ab" * 300 + "x" + "y" * 256).encode()
 
 
+def test_windows_of_a_long_text_in_bounded_memory():
+    import tracemalloc
+
+    n = 16 << 20
+    data, offsets = np.full(n, 97, np.uint8), np.array([0, n])
+    tracemalloc.start()
+    rows, start, held = language_id.places(offsets)
+    for a in range(0, len(rows), 4096):
+        assert language_id.windows_at(data, start[a : a + 4096], held[a : a + 4096]).shape[1] == language_id.WINDOW
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 2 * n
+
+
 def test_quality_on_labels(corpus):
     docs, labels, rows = corpus
     got = {r["__row"].doc_id: r.selected for r in quality.resample(docs, labels).collect()}

@@ -138,6 +138,24 @@ SELECT value, 'id' AS kind, regexp_full_match(value, '[0-9a-f]{{40}}') AS ok FRO
 UNION ALL SELECT value, 'name', strlen(value) BETWEEN 1 AND 63 AND NOT regexp_matches(value, '[~`!@#$%^&*()+=\\[\\]{{}}\\\\|;:''",<>/? \\x00-\\x1F\\x7F]') FROM n"""
 
 
+TAGS = (*NAMES, ".", "..", "...", "a/b", "tag-1", "späť")
+
+
+def tag_name_validity(spark, sf_dir):
+    return spark.createDataFrame([(n,) for n in TAGS], "value string").select("value", S.valid_tag_name("value").alias("ok"))
+
+
+TAG_NAMES_SQL = f"""WITH n(value) AS (VALUES {', '.join("('" + n.replace(chr(9), "' || chr(9) || '") + "')" for n in TAGS)})
+SELECT value, strlen(value) BETWEEN 1 AND 63 AND NOT regexp_matches(value, '[~`!@#$%^&*()+=\\[\\]{{}}\\\\|;:''",<>/? \\x00-\\x1F\\x7F]') AND value NOT IN ('.', '..') AS ok FROM n"""
+
+
+def rooted_paths(spark, sf_dir):
+    """Paths as a walk of /data would give them, some with the other separator, relative to it."""
+    full = F.concat(F.lit("/data"), F.col("path"))
+    shown = F.when(F.col("event_id") % 2 == 0, F.replace(full, F.lit("/"), F.lit("\\"))).otherwise(full)
+    return log(spark, sf_dir).select("event_id", S.rooted(shown, "/data").alias("path"))
+
+
 def _disk(spark, sf_dir):
     """Paths as a walk would meet them: the log's, some of them under hidden folders or with special names."""
     p = log(spark, sf_dir).select("path", "event_id").groupBy("path").agg(F.min("event_id").alias("n"))
@@ -282,7 +300,7 @@ r AS (
   FROM r JOIN a ON a.lease = r.lease AND a.n = r.n + 1, LATERAL (SELECT NOT list_contains(r.done, a.event_id) AS needed, needed AND (r.holder = a.device OR a.moment >= r.free) AS ok) g)
 SELECT lease, device, event_id, count(*) AS tries, max(moment) FILTER (granted) AS granted_ms FROM r WHERE tried GROUP BY 1, 2, 3"""
 
-QUERIES = {f.__name__: f for f in (search_keyword, search_title, search_exact_name, search_page, search_totals, snapshot_page, snapshot_stats, snapshot_log, tag_log, cloud_index_page, tag_log_with_cloud, log_projection, resolve_files, object_listing, id_and_name_validity_all, ignore_filter, checkout_order_all, repo_totals, cloud_stat, valid_references, cloud_checkout_plan, session_gap, peer_staleness, peer_counts, discovery_bucket, discovery_tags, lease_takeover, lease_lifecycle)}
+QUERIES = {f.__name__: f for f in (search_keyword, search_title, search_exact_name, search_page, search_totals, snapshot_page, snapshot_stats, snapshot_log, tag_log, cloud_index_page, tag_log_with_cloud, log_projection, resolve_files, object_listing, id_and_name_validity_all, tag_name_validity, rooted_paths, ignore_filter, checkout_order_all, repo_totals, cloud_stat, valid_references, cloud_checkout_plan, session_gap, peer_staleness, peer_counts, discovery_bucket, discovery_tags, lease_takeover, lease_lifecycle)}
 ORACLE_SQL = {
     "search_keyword": FOUND_SQL.format(KEYWORD.format("k5")),
     "search_title": FOUND_SQL.format(KEYWORD.format("purchase&1")),
@@ -299,6 +317,8 @@ ORACLE_SQL = {
     "resolve_files": RESOLVE_SQL,
     "object_listing": f"WITH {LOG_SQL} SELECT DISTINCT 'objects/' || id[1:2] || '/' || id[3:] AS path, id AS object_id, first(size) OVER (PARTITION BY id) AS size FROM log WHERE live AND id LIKE 'a%'",
     "id_and_name_validity_all": VALID_SQL,
+    "tag_name_validity": TAG_NAMES_SQL,
+    "rooted_paths": f"WITH {LOG_SQL} SELECT event_id, path FROM log",
     "ignore_filter": IGNORE_SQL,
     "checkout_order_all": CHECKOUT_SQL,
     "repo_totals": f"WITH {LOG_SQL} SELECT split_part(path, '/', 2) AS name, cast(sum(size) AS bigint) AS size, max(updated) AS updated, count(*) AS objects, cast(row_number() OVER (ORDER BY split_part(path, '/', 2)) AS integer) AS pos FROM log WHERE live GROUP BY 1",

@@ -309,3 +309,25 @@ def test_rolling_cuts():
     other = data[:1000] + b"inserted" + data[1000:]
     moved = list(roller.cuts(other))
     assert sum(other[a:b] not in whole for a, b in zip([0, *moved[:-1]], moved, strict=True)) <= 4
+
+
+def test_objects_of_a_store(spark, tmp_path):
+    from palimpsest.sources import objects
+
+    for k in ("objects/ab/cd01", "objects/ab/ef02", "objects/b0/aa03", "indexes/x", "objects/ab/half.tmp"):
+        put(tmp_path / "store", k, k.encode())
+    for root in (f"file://{tmp_path}/store", f"{tmp_path}/store/"):
+        rows = {r.path: (r.size, r.updated) for r in objects.listing(spark, root).collect()}
+        assert rows == {k: (len(k), T0 * 1000) for k in ("objects/ab/cd01", "objects/ab/ef02", "objects/b0/aa03", "indexes/x")}
+        assert {r.path for r in objects.listing(spark, root, "objects/ab/c").collect()} == {"objects/ab/cd01"}
+        assert {r.path: bytes(r.data) for r in objects.contents(spark, root, "indexes/").collect()} == {"indexes/x": b"indexes/x"}
+    plan = objects.listing(spark, str(tmp_path / "store"))._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
+
+
+def test_rooted_paths(spark):
+    from palimpsest.functions import scalars as S
+
+    rows = [("/data/a/b.txt", "/a/b.txt"), ("/data/", "/"), ("\\data\\a\\b", "/a/b"), ("other/x", "/other/x"), ("//y", "/y"), (None, None)]
+    df = spark.createDataFrame(rows, "path string, want string").withColumn("got", S.rooted("path", "/data"))
+    assert [r.got for r in df.collect()] == [w for _, w in rows]

@@ -12,7 +12,10 @@ adaptive skew split cuts a hot host's pages.
 Defined results: a null host is a host of its own; a null text has no lines and stays null; a page whose lines all go has
 an empty text; repeated rows each count as a page. With `copies_once`, pages of a host that have the same set of lines count
 as one page, both for their lines and in the total, so that a group of copies does not make its own lines boilerplate (all
-pages without lines, null ones as well, are then up to two pages). Near copies still count each.
+pages without lines, null ones as well, are then up to two pages). Near copies still count each; with `most_lost` below 100, a
+page that would lose more than that percent of its lines stays whole: it is a copy of other pages rather than a page with
+boilerplate on it, and for the removal of near copies to judge. Ties at `percent` stay. An empty table gives an empty one; columns
+of any name are carried in one struct, so none clashes.
 """
 
 from __future__ import annotations
@@ -47,17 +50,26 @@ def boilerplate(pages: DataFrame, percent: int = PERCENT, min_pages: int = MIN_P
     return above.groupBy("__host").agg(F.collect_list("line").alias("__drop"))
 
 
-def dedup(pages: DataFrame, host: str = "source", text: str = "text", percent: int = PERCENT, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
+def dedup(pages: DataFrame, host: str = "source", text: str = "text", percent: int = PERCENT, min_pages: int = MIN_PAGES, copies_once: bool = False, most_lost: int = 100) -> DataFrame:
     """__row (a struct of `pages`' columns), kept_text, n_lines and n_dropped."""
-    keyed = pages.select(F.struct("*").alias("__row"), F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("-")).alias("__host"), F.col(text).alias("text"))
+    key = F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("-"))
+    keyed = pages.select(F.struct("*").alias("__row"), key.alias("__host"), F.col(text).alias("text"))
     drop = saved(boilerplate(keyed.select("__host", "text"), percent, min_pages, copies_once), "lines")
-    lines = F.split("text", "\n", -1)
-    joined = keyed.join(drop, "__host", "left").withColumn("__lines", lines)
-    kept = F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x: _blank(x) | ~F.array_contains("__drop", _digest(x))))
-    sized = joined.withColumn("__kept", kept)
-    return sized.select("__row", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.concat_ws("\n", "__kept")).alias("__joined"), "text", F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"), (F.size("__lines") - F.size("__kept")).cast("long").alias("n_dropped")).select(
-        "__row", F.when(F.col("text").isNotNull(), F.col("__joined")).alias("kept_text"), F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines")).alias("n_lines"), F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_dropped")).alias("n_dropped")
-    )
+    joined = keyed.join(drop, "__host", "left").withColumn("__lines", F.split("text", "\n", -1))
+    kept = F.filter("__lines", lambda x: _blank(x) | ~F.array_contains("__drop", _digest(x)))
+    joined = joined.withColumn("__kept", F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(kept))
+    if most_lost < 100:
+        own = F.size(F.filter("__lines", lambda x: ~_blank(x)))
+        lost = F.size("__lines") - F.size("__kept")
+        joined = joined.withColumn("__kept", F.when(100 * lost > most_lost * own, F.col("__lines")).otherwise(F.col("__kept")))
+    some, none = F.col("text").isNotNull(), F.lit(0).cast("long")
+    n, left = F.size("__lines").cast("long"), F.size("__kept").cast("long")
+    return joined.select(
+        "__row",
+        F.when(some, F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.concat_ws("\n", "__kept"))).alias("kept_text"),
+        F.when(some, n).otherwise(none).alias("n_lines"),
+        F.when(some, n - left).otherwise(none).alias("n_dropped"),
+    )
 
 
 def remove_lines(pages: DataFrame, host: str = "source", text: str = "text", **options) -> DataFrame:

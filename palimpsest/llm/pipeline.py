@@ -29,12 +29,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that too many documents of their source carry. Copies count once there: they are left
-    to the removal of near duplicates, which keeps one.
+    """All documents, without the lines that too many documents of their source carry. Copies count once there, and a document
+    that would lose more than half of its lines stays whole: copies and near copies are left to the removal of near
+    duplicates, which keeps one.
 
     A null text stays null, an empty one empty; a null source is a source of its own; null ids don't matter.
     """
-    cut = line_dedup.remove_lines(docs, host="source", copies_once=True)
+    cut = line_dedup.remove_lines(docs, host="source", copies_once=True, most_lost=50)
     return cut.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
 
 

@@ -461,6 +461,20 @@ def test_copies_do_not_make_their_lines_boilerplate(spark, corpus):
     assert kept == {1000, 2001}
 
 
+def test_near_copies_keep_their_lines(spark, corpus):
+    """A third of a source's rows are near copies, alike in all lines but one: they stay whole, one of them is kept in the end, and
+    true boilerplate still goes."""
+    docs, r = corpus[0], random.Random(9)
+    lines = [" ".join(f"w{r.randrange(10**6)}" for _ in range(12)) for _ in range(9)]
+    rows = [(k, f"menu\npage {k} has words {k * k} of its own\nand {k + 7} more", "en", "s", 1) for k in range(80)]
+    rows += [(1000 + k, "\n".join([*lines, f"and line {k}"]), "en", "s", 1) for k in range(40)]
+    cut = pipeline.drop_boilerplate(spark, spark.createDataFrame(rows, docs.schema).repartition(3), "")
+    got = {x.doc_id: x.text for x in cut.collect()}
+    assert all(got[d] == t for d, t, *_ in rows if d >= 1000) and not any(got[k].startswith("menu") for k in range(80))
+    kept = {x.doc_id for x in pipeline.drop_near_duplicates(spark, cut, "").collect()}
+    assert kept == {*range(80), 1000}
+
+
 def test_near_duplicates_of_repeated_and_null_ids(spark, corpus):
     r = random.Random(8)
     a, b, c, d, e = (" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(5))

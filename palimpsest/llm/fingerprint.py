@@ -16,7 +16,9 @@ from the ids alone, rows go to their bucket in one shuffle, and the first row of
 bucket before it (the first of all to the last).
 
 Defined results: a null text is empty; an empty text has no units and the zero fingerprint; two empty texts have likeness
-1. A null doc_id comes first; equal doc_ids are ordered by text. With one document, the next one is itself.
+1. A null doc_id comes first; equal doc_ids are ordered by text, and lie in one bucket. With one document, the next one is
+itself; an empty table gives an empty one. Repeated rows are fingerprinted row by row; `with_next` adds columns whose names
+begin with two underscores on the way, so those of its input must not.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ _SEEDS = (11, 23, 37, 53, 71, 97)
 
 def units(text):
     """Units of a text; blank ones don't count."""
-    return F.filter(F.split(text, r"\n|(?<=[^\p{L}\p{N}\s])\x20"), lambda u: F.trim(u) != "")
+    # At a newline, or at a space with a mark before it: what lies behind is looked at where one of the two is, not everywhere.
+    return F.filter(F.split(text, r"[\n\x20](?:(?<=\n)|(?<=[^\p{L}\p{N}\s]\x20))"), lambda u: F.trim(u) != "")
 
 
 def _longs(values):

@@ -73,9 +73,9 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
-        spec = json.loads(self.library.to_str())
-        marks = all("<" in t["content"] for t in spec["added_tokens"])  # a mark that always goes to the library
-        self.batched = marks and spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == SPLITTER and spec["model"]["type"] == "BPE"
+        state = lambda x: x and json.loads(x.__getstate__())
+        marks = all("<" in t.content for t in self.library.get_added_tokens_decoder().values())  # a mark that always goes to the library
+        self.batched = marks and type(self.model).__name__ == "BPE" and state(self.library.normalizer) == NORMALIZER and state(self.library.pre_tokenizer) == SPLITTER
         self.stand_in = {chr(b): c for b, c in _byte_letters().items()}
         self.clear()
 

@@ -103,7 +103,9 @@ def log_projection(spark, sf_dir):
 
 def resolve_files(spark, sf_dir):
     """Snapshot 20's files in path order against a store that has lost ids beginning with f."""
-    files = state(spark, sf_dir, 20).withColumn("ordinal", F.row_number().over(Window.partitionBy(F.substring("path", 1, 6)).orderBy("path"))).withColumn("ordinal", F.concat(F.substring("path", 1, 6), F.lpad(F.col("ordinal").cast("string"), 9, "0")))
+    start = F.substring("path", 1, 6)
+    number = F.row_number().over(Window.partitionBy(start).orderBy("path"))
+    files = state(spark, sf_dir, 20).withColumn("ordinal", F.concat(start, F.lpad(number.cast("string"), 9, "0")))
     return search.resolve(files, state(spark, sf_dir, 20).where("id NOT LIKE 'f%'"))
 
 
@@ -122,7 +124,9 @@ NAMES = ("main", "a b", "", "x" * 63, "x" * 64, "tab\there", "ünïcode", "semi;
 
 
 def _validity(spark, log_rows):
-    ids = log_rows.select(F.when(F.col("event_id") % 4 == 1, F.upper("id")).when(F.col("event_id") % 4 == 2, F.substring("id", 1, 39)).when(F.col("event_id") % 4 == 3, F.concat(F.substring("id", 1, 39), F.lit("g"))).otherwise(F.col("id")).alias("value"))
+    kind, short = F.col("event_id") % 4, F.substring("id", 1, 39)
+    value = F.when(kind == 1, F.upper("id")).when(kind == 2, short).when(kind == 3, F.concat(short, F.lit("g"))).otherwise(F.col("id"))
+    ids = log_rows.select(value.alias("value"))
     names = spark.createDataFrame([(n,) for n in NAMES], "value string")
     return ids.select("value", F.lit("id").alias("kind"), S.valid_object_id("value").alias("ok")).unionByName(names.select("value", F.lit("name").alias("kind"), S.valid_repo_name("value").alias("ok")))
 
@@ -159,7 +163,14 @@ def rooted_paths(spark, sf_dir):
 def _disk(spark, sf_dir):
     """Paths as a walk would meet them: the log's, some of them under hidden folders or with special names."""
     p = log(spark, sf_dir).select("path", "event_id").groupBy("path").agg(F.min("event_id").alias("n"))
-    path = F.when(F.col("n") % 11 == 0, F.concat(F.lit("/.git"), F.col("path"))).when(F.col("n") % 11 == 1, F.concat(F.lit("/.app/.cache"), F.col("path"))).when(F.col("n") % 11 == 2, F.concat(F.col("path"), F.lit("/.hidden"))).when(F.col("n") % 11 == 3, F.concat(F.lit("/filesys_status_check"), F.col("path"))).otherwise(F.col("path"))
+    kind, before = F.col("n") % 11, lambda folder: F.concat(F.lit(folder), F.col("path"))
+    path = (
+        F.when(kind == 0, before("/.git"))
+        .when(kind == 1, before("/.app/.cache"))
+        .when(kind == 2, F.concat(F.col("path"), F.lit("/.hidden")))
+        .when(kind == 3, before("/filesys_status_check"))
+        .otherwise(F.col("path"))
+    )
     return p.select(path.alias("path"))
 
 
@@ -199,7 +210,12 @@ def repo_totals(spark, sf_dir):
 def cloud_stat(spark, sf_dir):
     """One row: bytes of the sync snapshot and of all backups, and how many there are."""
     sizes = search.interval_stats(version_intervals(spark, sf_dir), snapshots(spark)).join(refs(spark), "snapshot_id")
-    return sizes.agg(F.sum(F.when(F.col("name") == "latest", F.col("size"))).alias("sync_bytes"), F.coalesce(F.sum(F.when(F.col("kind") == "tag", F.col("size"))), F.lit(0)).alias("backup_bytes"), F.count_if(F.col("kind") == "tag").alias("backups"))
+    tag, size = F.col("kind") == "tag", F.col("size")
+    return sizes.agg(
+        F.sum(F.when(F.col("name") == "latest", size)).alias("sync_bytes"),
+        F.coalesce(F.sum(F.when(tag, size)), F.lit(0)).alias("backup_bytes"),
+        F.count_if(tag).alias("backups"),
+    )
 
 
 def valid_references(spark, sf_dir):
@@ -300,7 +316,12 @@ r AS (
   FROM r JOIN a ON a.lease = r.lease AND a.n = r.n + 1, LATERAL (SELECT NOT list_contains(r.done, a.event_id) AS needed, needed AND (r.holder = a.device OR a.moment >= r.free) AS ok) g)
 SELECT lease, device, event_id, count(*) AS tries, max(moment) FILTER (granted) AS granted_ms FROM r WHERE tried GROUP BY 1, 2, 3"""
 
-QUERIES = {f.__name__: f for f in (search_keyword, search_title, search_exact_name, search_page, search_totals, snapshot_page, snapshot_stats, snapshot_log, tag_log, cloud_index_page, tag_log_with_cloud, log_projection, resolve_files, object_listing, id_and_name_validity_all, tag_name_validity, rooted_paths, ignore_filter, checkout_order_all, repo_totals, cloud_stat, valid_references, cloud_checkout_plan, session_gap, peer_staleness, peer_counts, discovery_bucket, discovery_tags, lease_takeover, lease_lifecycle)}
+QUERIES = {f.__name__: f for f in (
+    search_keyword, search_title, search_exact_name, search_page, search_totals, snapshot_page, snapshot_stats, snapshot_log, tag_log,
+    cloud_index_page, tag_log_with_cloud, log_projection, resolve_files, object_listing, id_and_name_validity_all, tag_name_validity,
+    rooted_paths, ignore_filter, checkout_order_all, repo_totals, cloud_stat, valid_references, cloud_checkout_plan, session_gap,
+    peer_staleness, peer_counts, discovery_bucket, discovery_tags, lease_takeover, lease_lifecycle,
+)}
 ORACLE_SQL = {
     "search_keyword": FOUND_SQL.format(KEYWORD.format("k5")),
     "search_title": FOUND_SQL.format(KEYWORD.format("purchase&1")),

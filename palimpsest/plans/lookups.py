@@ -77,7 +77,10 @@ def checkout_ranks(spark, sf_dir):
     return log(spark, sf_dir).where("live").select("path").distinct().groupBy(folders.checkout_rank().alias("rank")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (snapshot_by_id, files_by_ids, chunks_by_ids, latest_files, latest_sync_files, count_snapshots, merge_with_folds, file_log, unreferenced_snapshots, union_of_ids, checkout_ranks)}
+QUERIES = {f.__name__: f for f in (
+    snapshot_by_id, files_by_ids, chunks_by_ids, latest_files, latest_sync_files, count_snapshots, merge_with_folds, file_log,
+    unreferenced_snapshots, union_of_ids, checkout_ranks,
+)}
 ORACLE_SQL = {
     "snapshot_by_id": f"WITH {SNAPSHOT_FILES_SQL} SELECT s.snapshot_id, created, memo, count(*) AS n_files FROM snapshots s JOIN snapshot_files f USING (snapshot_id) WHERE s.snap = 12 GROUP BY ALL",
     "files_by_ids": f"WITH {SNAPSHOT_FILES_SQL} SELECT DISTINCT id, path, updated FROM log SEMI JOIN (SELECT id FROM snapshot_files WHERE snap = 30) n USING (id) WHERE live",

@@ -225,7 +225,11 @@ def _d(select: str, extra: str = "") -> str:
     return f"WITH {SIDES_SQL}, {WIDE_SQL}, {DECIDE_SQL}{extra}\n{select}"
 
 
-QUERIES = {f.__name__: f for f in (snapshot_diff, diff_upsert_remove, merge_delta_truth, merge_decision_truth, tmp_suppression, three_way_merge, merge_of_lists, merge_conflicts, conflict_counts, merge_apply_set, merge_history, merge_outcome, missing_cloud_latest, merge_order, cloud_ignore_change, remove_ignore_filter, sync_download_plan, full_sync_plan, fold_only_change)}
+QUERIES = {f.__name__: f for f in (
+    snapshot_diff, diff_upsert_remove, merge_delta_truth, merge_decision_truth, tmp_suppression, three_way_merge, merge_of_lists,
+    merge_conflicts, conflict_counts, merge_apply_set, merge_history, merge_outcome, missing_cloud_latest, merge_order, cloud_ignore_change,
+    remove_ignore_filter, sync_download_plan, full_sync_plan, fold_only_change,
+)}
 _OUT = ", ".join(OUT)
 ORACLE_SQL = {
     "snapshot_diff": SNAPSHOT_DIFF,

@@ -286,7 +286,12 @@ def cdc_chunks(spark, sf_dir):
     return chunks.content_defined(d, **CDC)
 
 
-QUERIES = {f.__name__: f for f in (reachable_objects, purge_plan, purge_stat, purge_with_retention, cloud_purge_plan, check_index_cleanup, missing_files, missing_chunks, sync_upload_plan, upload_chunks, cloud_absent_chunks, chunk_dedup, distinct_chunks, reassemble_file, dedup_puts, integrity_check, peer_routing, peer_fetch, transfer_traffic, missing_object_repair, backup_upload_plan, backup_download_plan, prefetch_plan, publish_plan, index_list_upsert, index_list_retain, seq_latest, latest_resolution, quota_guard, cdc_chunks)}
+QUERIES = {f.__name__: f for f in (
+    reachable_objects, purge_plan, purge_stat, purge_with_retention, cloud_purge_plan, check_index_cleanup, missing_files, missing_chunks,
+    sync_upload_plan, upload_chunks, cloud_absent_chunks, chunk_dedup, distinct_chunks, reassemble_file, dedup_puts, integrity_check,
+    peer_routing, peer_fetch, transfer_traffic, missing_object_repair, backup_upload_plan, backup_download_plan, prefetch_plan,
+    publish_plan, index_list_upsert, index_list_retain, seq_latest, latest_resolution, quota_guard, cdc_chunks,
+)}
 TWO = f"WITH {LOG_SQL}, {state_sql('a', 'snap <= 20')}, {state_sql('b', 'snap <= 15')}"
 ORACLE_SQL = {
     "reachable_objects": f"{REACH_SQL} SELECT * FROM live",

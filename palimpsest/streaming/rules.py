@@ -78,7 +78,9 @@ def _folded(rows: DataFrame, gap_ms: int, order: list[str], kept: list[str], sch
                     at, state = (row["lease"], row["run"]), start()
                 state, values = step(state, row)
                 added.append(values)
-            new = [pa.array(v, f.type) for v, f in zip(zip(*added, strict=True), list(arrow)[len(kept) :], strict=True)] if added else [pa.array([], f.type) for f in list(arrow)[len(kept) :]]
+            fields = list(arrow)[len(kept) :]
+            values = zip(*added, strict=True) if added else [[] for _ in fields]
+            new = [pa.array(v, f.type) for v, f in zip(values, fields, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], schema=arrow)
 
     return dealt.mapInArrow(fold, out)
@@ -109,7 +111,7 @@ def lease_requests(requests: DataFrame, most_ms: int) -> DataFrame:
     if most_ms < 0:
         raise ValueError("most_ms is below 0")
     number = F.explode(F.sequence(F.lit(0), F.lit(LEASE_TRIES - 1)))
-    tries = requests.withColumn("number", number).withColumn("first", F.col("updated")).withColumn("updated", F.col("updated") + F.col("number") * LEASE_PAUSE_MS)
+    tries = requests.withColumn("number", number).withColumn("updated", F.col("updated") + F.col("number") * LEASE_PAUSE_MS)
     tries = tries.withColumn("hold_ms", F.least(F.greatest("hold_ms", F.lit(0)), F.lit(most_ms)))
 
     def step(state, row):
@@ -129,6 +131,8 @@ def lease_requests(requests: DataFrame, most_ms: int) -> DataFrame:
         return state, (False,)
 
     gap = most_ms + LEASE_MS + LEASE_TRIES * LEASE_PAUSE_MS
-    rows = _folded(tries.select("lease", "device", "event_id", "updated", "hold_ms", "released", "number"), gap, ["updated", "event_id", "number"], ["lease", "device", "event_id", "updated", "number"], "granted boolean", lambda: (None, set()), step)
+    tries = tries.select("lease", "device", "event_id", "updated", "hold_ms", "released", "number")
+    kept, order = ["lease", "device", "event_id", "updated", "number"], ["updated", "event_id", "number"]
+    rows = _folded(tries, gap, order, kept, "granted boolean", lambda: (None, set()), step)
     tried = rows.where("granted IS NOT NULL").groupBy("lease", "device", "event_id")
     return tried.agg(F.count("*").alias("tries"), F.max(F.when(F.col("granted"), F.col("updated"))).alias("granted_ms"))

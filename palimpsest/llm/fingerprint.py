@@ -141,6 +141,15 @@ def op7_fingerprint(spark, sf_dir):
     own = docs.withColumn("u", units(F.col("text"))).withColumn("f", fingerprint(F.col("u"))).drop("u")
     both = with_next(own, "doc_id", ["text", "f"], ["text"]).withColumn("n_chars", F.length("text").cast("long"))
     k = F.floor(F.col("n_chars") / 4).cast("int")
-    edited = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - k).cast("int")), F.substring("next_text", F.lit(1), k))).withColumn("eu", units(F.col("edited")))
+    text = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - k).cast("int")), F.substring("next_text", F.lit(1), k))
+    edited = both.withColumn("edited", text).withColumn("eu", units(F.col("edited")))
     done = edited.withColumn("ef", fingerprint(F.col("eu")))
-    return done.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), shown(F.col("f")).alias("fingerprint"), shown(F.col("ef")).alias("edited_fingerprint"), likeness(F.col("f"), F.col("ef")).alias("near_edited"), likeness(F.col("f"), F.col("next_f")).alias("near_next"))
+    return done.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        shown(F.col("f")).alias("fingerprint"),
+        shown(F.col("ef")).alias("edited_fingerprint"),
+        likeness(F.col("f"), F.col("ef")).alias("near_edited"),
+        likeness(F.col("f"), F.col("next_f")).alias("near_next"),
+    )

@@ -162,7 +162,10 @@ def candidate_edges(docs: DataFrame, percent: int, size: int, width: int, bits)
             first[1:] = s[1:] != s[:-1]
             u, v = _star(s, node)
             s, node = s[first], node[first]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([s, u]).view(np.int64)), pa.array(np.concatenate([node, u]).view(np.int64)), pa.array(np.concatenate([np.zeros(len(s), U), v]).view(np.int64), mask=np.arange(len(s) + len(u)) < len(s))], ["s", "u", "v"])
+            none = np.arange(len(s) + len(u)) < len(s)
+            columns = np.concatenate([s, u]), np.concatenate([node, u]), np.concatenate([np.zeros(len(s), U), v])
+            arrays = [pa.array(x.view(np.int64), mask=m) for x, m in zip(columns, (None, None, none), strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, ["s", "u", "v"])
 
         for block, data, offsets in row_blocks(batches, "text"):
             rows, value = shingles(data, offsets, size)

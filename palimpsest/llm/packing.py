@@ -202,7 +202,8 @@ def tokenized(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text"
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], schema.names)
 
     docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    schema = T.StructType([docs.schema["id"]] + [T.StructField(c, t) for c, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("chunk", T.IntegerType()), ("nth", T.LongType()))])
+    more = "piece int, start long, length long, ids_crc32 long, chunk int, nth long"
+    schema = T.StructType([docs.schema["id"], *T._parse_datatype_string(more).fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kinds = to_arrow_schema(schema).types

@@ -92,7 +92,8 @@ def _counted(docs: DataFrame, forms: int, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([-1] * m, pa.int32()), kept.column("id"), pa.array([0] * m), pa.array([0] * m), kept.column("good"), pa.array(held, pa.binary())], names)
         used = np.flatnonzero(total[0])
         m = len(used)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.zeros(m, np.int64)), pa.array(total[0][used]), pa.array(total[1][used]), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+        numbers = [used.astype(np.int32), np.zeros(m, np.int64), total[0][used], total[1][used]]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
 
     names = [x.split()[0] for x in COUNTED.split(", ")]
     rows = docs.select("id", "text", "good", "part").mapInArrow(count, COUNTED)
@@ -195,7 +196,18 @@ def noise(id, seed: int):
     return -F.log(-F.log(unit))
 
 
-def resample(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", k: int | None = None, columns: list[str] | None = None, temperature: float = TEMPERATURE, seed: int = SEED, **options) -> DataFrame:
+def resample(
+    docs: DataFrame,
+    labels: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    label: str = "quality",
+    k: int | None = None,
+    columns: list[str] | None = None,
+    temperature: float = TEMPERATURE,
+    seed: int = SEED,
+    **options,
+) -> DataFrame:
     """__row (a struct of `docs`' columns, or of `columns`), log_weight, n_words, log_odds and selected."""
     odds = fit(docs, labels, id, text, label, **options)
     shared = docs.sparkSession.sparkContext.broadcast(odds)

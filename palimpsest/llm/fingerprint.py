@@ -44,18 +44,20 @@ def _longs(values):
     return F.array(*(F.lit(v).cast("long") for v in values))
 
 
-def _sum(hashes, steps, term, modulus):
-    """Per step, the sum of term(hash, step) modulo a mask."""
-    return F.aggregate(hashes, _longs([0] * len(steps)), lambda total, h: F.zip_with(total, _longs(steps), lambda t, j: (t + term(h, j)).bitwiseAND(F.lit(modulus).cast("long"))))
+def _sum(hashes, steps, part, mask):
+    """Per step, the sum of h >> step, cut down to `part`, over the hashes h, modulo `mask`."""
+    zeros, part, mask = _longs([0] * len(steps)), F.lit(part).cast("long"), F.lit(mask).cast("long")
+    # shiftright takes its distance as an expression only in SQL form.
+    add = lambda t, j, h: (t + F.call_function("shiftright", h, j).bitwiseAND(part)).bitwiseAND(mask)
+    return F.aggregate(hashes, zeros, lambda total, h: F.zip_with(total, F.array(*map(F.lit, steps)), lambda t, j: add(t, j, h)))
 
 
 def _bits(hashes):
-    # shiftright takes its distance as an expression only in SQL form.
-    return _sum(hashes, range(NARROW), lambda h, j: F.call_function("shiftright", h, j.cast("int")).bitwiseAND(F.lit(_ONES).cast("long")), _LANES)
+    return _sum(hashes, range(NARROW), _ONES, _LANES)
 
 
 def _halves(hashes):
-    return _sum(hashes, (0, 32), lambda h, j: F.call_function("shiftright", h, j.cast("int")).bitwiseAND(F.lit(_LOW32).cast("long")), _LOW32)
+    return _sum(hashes, (0, 32), _LOW32, _LOW32)
 
 
 def _seeded(seed: int):
@@ -91,23 +93,34 @@ def shown(f):
     return F.lower(F.concat_ws("", F.transform(f, lambda x: F.lpad(F.hex(x), 16, "0"))))
 
 
-def likeness(a, b):
-    """2 <a, b> / (<a, a> + <b, b>) of the unit counts as vectors, estimated by the narrow lanes, from 0 to 1; 1 for equal fingerprints.
+def _dot(a, b):
+    """Sum of products of the narrow lanes of two fingerprints."""
+    lane = F.lit((1 << 20) - 1).cast("long")
+    product = lambda x, y, s: F.shiftright(x, s).bitwiseAND(lane) * F.shiftright(y, s).bitwiseAND(lane)
+    products = F.zip_with(F.slice(a, 1, 2 * NARROW), F.slice(b, 1, 2 * NARROW), lambda x, y: product(x, y, 0) + product(x, y, 21) + product(x, y, 42))
+    return F.aggregate(products, F.lit(0).cast("long"), lambda t, x: t + x)
 
-    Where no unit repeats, that is the part of all units that the two texts share.
-    """
-    n, m = F.element_at(a, -1), F.element_at(b, -1)
 
-    def lane(x, shift, count):
-        return (2 * F.shiftright(x, shift).bitwiseAND(F.lit((1 << 20) - 1).cast("long")) - count).cast("double")
+def moments(f):
+    """n, the number of units; sum and square, of the narrow lanes: what `likeness` needs of each side alone."""
+    lane = F.lit((1 << 20) - 1).cast("long")
+    lanes = lambda x: x.bitwiseAND(lane) + F.shiftright(x, 21).bitwiseAND(lane) + F.shiftright(x, 42).bitwiseAND(lane)
+    total = F.aggregate(F.slice(f, 1, 2 * NARROW), F.lit(0).cast("long"), lambda t, x: t + lanes(x))
+    return F.struct(F.element_at(f, -1).alias("n"), total.alias("sum"), _dot(f, f).alias("square"))
 
-    def moments(x, y):
-        pairs = [(lane(x, s, n), lane(y, s, m)) for s in (0, 21, 42)]
-        return F.struct(sum(((p - q) * (p - q) for p, q in pairs), F.lit(0.0)).alias("apart"), sum((p * p + q * q for p, q in pairs), F.lit(0.0)).alias("both"))
 
-    zero = F.struct(F.lit(0.0).alias("apart"), F.lit(0.0).alias("both"))
-    total = F.aggregate(F.zip_with(F.slice(a, 1, 2 * NARROW), F.slice(b, 1, 2 * NARROW), moments), zero, lambda t, x: F.struct((t["apart"] + x["apart"]).alias("apart"), (t["both"] + x["both"]).alias("both")))
-    near = F.when(total["both"] > 0, 1 - total["apart"] / total["both"]).otherwise(0.0)
+def likeness(a, b, of_a=None, of_b=None):
+    """2 <a, b> / (<a, a> + <b, b>) of the unit counts as vectors, estimated by the narrow lanes, from 0 to 1; 1 for equal fingerprints.
+
+    Where no unit repeats, that is the part of all units that the two texts share. A lane x of n units stands for 2 x - n; sums over
+    lanes are exact in longs. `of_a` and `of_b` are columns of `moments`, where they are at hand.
+    """
+    p, q = (moments(f) if m is None else m for f, m in ((a, of_a), (b, of_b)))
+    n, m, lanes = p["n"], q["n"], 6 * NARROW
+    own = lambda x: 4 * x["square"] - 4 * x["n"] * x["sum"] + lanes * x["n"] * x["n"]
+    both = (own(p) + own(q)).cast("double")
+    shared = (4 * _dot(a, b) - 2 * m * p["sum"] - 2 * n * q["sum"] + lanes * n * m).cast("double")
+    near = F.when(both > 0, 2 * shared / both).otherwise(0.0)
     return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), near))
 
 
@@ -138,18 +151,18 @@ def with_next(docs: DataFrame, id: str, values: list[str], order: list[str], buc
 
 def op7_fingerprint(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = docs.withColumn("u", units(F.col("text"))).withColumn("f", fingerprint(F.col("u"))).drop("u")
-    both = with_next(own, "doc_id", ["text", "f"], ["text"]).withColumn("n_chars", F.length("text").cast("long"))
+    own = docs.withColumn("u", units(F.col("text"))).withColumn("f", fingerprint(F.col("u"))).withColumn("m", moments(F.col("f"))).drop("u")
+    both = with_next(own, "doc_id", ["text", "f", "m"], ["text"]).withColumn("n_chars", F.length("text").cast("long"))
     k = F.floor(F.col("n_chars") / 4).cast("int")
     text = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - k).cast("int")), F.substring("next_text", F.lit(1), k))
     edited = both.withColumn("edited", text).withColumn("eu", units(F.col("edited")))
-    done = edited.withColumn("ef", fingerprint(F.col("eu")))
+    done = edited.withColumn("ef", fingerprint(F.col("eu"))).withColumn("em", moments(F.col("ef")))
     return done.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         shown(F.col("f")).alias("fingerprint"),
         shown(F.col("ef")).alias("edited_fingerprint"),
-        likeness(F.col("f"), F.col("ef")).alias("near_edited"),
-        likeness(F.col("f"), F.col("next_f")).alias("near_next"),
+        likeness(F.col("f"), F.col("ef"), F.col("m"), F.col("em")).alias("near_edited"),
+        likeness(F.col("f"), F.col("next_f"), F.col("m"), F.col("next_m")).alias("near_next"),
     )

@@ -166,6 +166,16 @@ def test_look_ups_of_all_named_ids(spark):
     assert {r.chunk_id for r in registry.QUERIES["chunks_by_ids"](spark, SF).collect()} == firsts
 
 
+def test_the_clouds_ignore_file_counts_where_it_differs(spark):
+    d = merge.decided(merging._truth(spark)).withColumn("counts", merge.ignore_counts())
+    version = lambda v: v and (v["updated"] // 1000, v["size"], v["chunks"])
+    rows = d.collect()
+    assert all(r.counts == (r.cloud is not None and version(r.local) != version(r.cloud)) for r in rows)
+    one, none = next(r for r in rows if r.counts), next(r for r in rows if not r.counts)
+    assert [x.v["id"] for x in merge.cloud_ignore(d, one.path).collect()] == [one.cloud["id"]]
+    assert merge.cloud_ignore(d, none.path).isEmpty() and merge.cloud_ignore(d, "/elsewhere").isEmpty()
+
+
 def test_kept_intervals_against_rows(spark):
     """Versions that kept snapshots hold, and counts a snapshot, by intervals and by a row for each snapshot."""
     from palimpsest.operators import reach, search

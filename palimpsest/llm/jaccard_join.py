@@ -27,7 +27,8 @@ The exact comparison of a component of m different sets costs m * m / block rows
 
 Defined results: null, empty or blank text has an empty set, size 0, and is its own component. Fewer than 3 words are one
 shingle. A null doc_id stays null and its document links with nothing. Repeated doc_ids link like their texts and share
-the id. Other columns are ignored.
+the id. A similarity of exactly `percent` links. Texts of any length are read whole; a long one is a block of its own. An empty
+table gives an empty one. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -36,6 +36,11 @@ def _blank(line):
     return F.trim(F.translate(line, "\t\r\u000b\u000c", "    ")) == ""
 
 
+def host_of(url):
+    """The host of a URL in lower case; null where there is none."""
+    return F.lower(F.try_parse_url(url, F.lit("HOST")))
+
+
 def boilerplate(pages: DataFrame, percent: int = PERCENT, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """__host and __drop, the digests of its boilerplate lines, of `pages` (__host, text)."""
     lines = F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), lambda x: ~_blank(x)), _digest))

@@ -5,7 +5,8 @@ removed when a window that covers it starts earlier as well (smaller doc_id, or
 
 1. Sketch. Each task hashes its windows into two rows of counters that saturate at two, in chunks, and emits the counters
    it touched as byte-coded gaps, cut into slices. Slices are merged by addition; what is kept is one bit a counter:
-   two or more. A window whose bits are both set is estimated repeated; estimates are never too low.
+   two or more. A window whose bits are both set is estimated repeated; estimates are never too low. Tasks of the second pass
+   drop all other windows block by block, before anything is gathered.
 2. Exact pass. Only windows estimated repeated go on. Within a chunk all but the earliest occurrence are marked at once,
    so a window contributes one row a chunk to the shuffle however often it occurs. Those rows are ranked by 95-bit window hash;
    all but the first are marked. Nothing is lost to the sketch: it only spares windows that occur once.
@@ -16,7 +17,9 @@ broadcast. Beyond it the prefilter spares fewer windows and the results stay the
 
 Defined results: null or empty text has no words. Texts of fewer than 20 words stay whole. A null doc_id counts as the
 smallest. Rows that share a doc_id count as one document: equal starts are the same occurrence, and a mark holds for all
-of them; each row gives a result row. Other columns are ignored.
+of them; each row gives a result row. Of equal windows the one with the least (doc_id, start) stays, so there are no ties. Texts of any
+length are read whole, at some fifty bytes a word. An empty table gives an empty one. Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

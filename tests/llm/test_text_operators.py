@@ -365,6 +365,15 @@ def test_lines_against_brute_force(docs, texts, spark, empty):
     assert {r.doc_id: r.text for r in line_dedup.remove_lines(docs).collect()} == {10 * k + 3: t for k, t in enumerate(texts)}
 
 
+def test_hosts_of_urls(spark):
+    urls = ["https://Some.Example.org:8080/a?b", "http://x.org", "not a url", None, "", "ftp://user@y.net/f"]
+    df = spark.createDataFrame([(k, u, f"menu\nown {k}") for k, u in enumerate(urls * 6)], "page_id long, url string, text string")
+    hosts = [r.h for r in df.where("page_id < 6").orderBy("page_id").select(line_dedup.host_of(F.col("url")).alias("h")).collect()]
+    assert hosts == ["some.example.org", "x.org", None, None, None, "y.net"]
+    cut = line_dedup.remove_lines(df.withColumn("host", line_dedup.host_of(F.col("url"))), host="host")
+    assert {r.text for r in cut.collect()} == {f"own {k}" for k in range(36)}
+
+
 # Fingerprints
 
 

@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 
 from .components import components
 from .kernel import SPACED_FOLDED, U, Words, mix, row_blocks, with_columns
-from .sketch import counter_bits, passing, rows_of, width_for
+from .sketch import counter_bits, passing, rows_of, size_for
 from .tables import dropped, released, saved
 
 SHINGLE, CELLS = 3, 4
@@ -145,9 +145,9 @@ def _star(s: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _distinct(node[~new], centre[~new])
 
 
-def repeated_shingles(docs: DataFrame, size: int, width: int) -> bytes:
+def repeated_shingles(docs: DataFrame, size: int, width: int, spread: int = 1) -> bytes:
     """The bits of counters that are two or more, over each text's distinct shingles."""
-    return counter_bits(docs.select("text"), lambda batches: (shingles(data, offsets, size)[1] for _, data, offsets in row_blocks(batches, "text")), width)
+    return counter_bits(docs.select("text"), lambda batches: (shingles(data, offsets, size)[1] for _, data, offsets in row_blocks(batches, "text")), width, spread=spread)
 
 
 def candidate_edges(docs: DataFrame, percent: int, size: int, width: int, bits) -> DataFrame:
@@ -296,8 +296,8 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int =
     sized = saved(with_columns(docs, "text", fields, make, needed=["doc"]), "sets", narrow=True)
     linkable = sized.where("doc IS NOT NULL AND n_shingles > 0")
     classes = saved(linkable.groupBy("d1", "d2").agg(F.min("doc").alias("class_id"), F.max("n_shingles").alias("n")), "classes")
-    width = width_for(docs)
-    bits = spark.sparkContext.broadcast(repeated_shingles(docs, size, width))
+    width, spread = size_for(docs)
+    bits = spark.sparkContext.broadcast(repeated_shingles(docs, size, width, spread))
     comps = saved(components(candidate_edges(docs.where("doc IS NOT NULL"), percent, size, width, bits)), "comps")
     released(bits)
     members = saved(classes.join(comps.select(F.col("node").alias("d1"), F.col("component").alias("comp")), "d1").select(F.col("class_id").alias("doc"), "comp", "n"), "members")

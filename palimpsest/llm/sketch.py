@@ -39,10 +39,13 @@ def ungaps(data: bytes) -> np.ndarray:
     return np.cumsum(code, dtype=np.int64)[ends] + np.arange(len(ends))
 
 
-def width_for(docs: DataFrame, counters_per_byte: float = COUNTERS_PER_BYTE, max_bytes: int = MAX_BYTES) -> int:
-    """Counters a row for the texts of `docs`; `max_bytes` of bits bound the broadcast."""
+def size_for(docs: DataFrame, counters_per_byte: float = COUNTERS_PER_BYTE, max_bytes: int = MAX_BYTES, merged_bytes: int = 64 << 20) -> tuple[int, int]:
+    """(counters a row, spread) for the texts of `docs`. `max_bytes` of bits bound the broadcast; with so many first mergers a
+    slice, each reads about `merged_bytes`, as a byte of text costs about 0.4 bytes of gaps."""
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return bounded_width(n_bytes * counters_per_byte, max_bytes)
+    width = bounded_width(n_bytes * counters_per_byte, max_bytes)
+    slices = -(-ROWS * width // SLICE)
+    return width, max(1, -(-int(0.4 * n_bytes) // (slices * merged_bytes)))
 
 
 def bounded_width(wanted: float, max_bytes: int) -> int:
@@ -79,11 +82,17 @@ def chunked(hashes: Iterator[np.ndarray], chunk: int | None = None) -> Iterator[
         yield np.concatenate(held)
 
 
-def counter_bits(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], width: int, least: int = 2) -> bytes:
-    """The bits of counters that are `least` (1 or 2) or more, over all hashes of `docs`."""
+def counter_bits(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], width: int, least: int = 2, spread: int = 1) -> bytes:
+    """The bits of counters that are `least` (1 or 2) or more, over all hashes of `docs`.
+
+    A slice's gaps are merged by `spread` tasks first, each of which hands on two bitmaps, so that the number of slices does not
+    bound how many tasks share the work.
+    """
 
     def local(batches):
-        bounds = np.arange(0, ROWS * width + SLICE, SLICE)
+        from pyspark import TaskContext
+
+        bounds, salt = np.arange(0, ROWS * width + SLICE, SLICE), TaskContext.get().partitionId() % spread
         for h in chunked(hashes(batches)):
             for touched in counters(h, width):
                 touched = touched.astype(np.uint32 if ROWS * width < 1 << 32 else np.int64)
@@ -97,34 +106,49 @@ def counter_bits(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], I
                 for k in np.flatnonzero(np.diff(cut)).tolist():
                     a, b = cut[k], cut[k + 1]
                     at = once[a:b].astype(np.int64) - bounds[k]
-                    parts.append((k, gaps(at), gaps(at[twice[a:b]]) if least > 1 else b""))
+                    parts.append((k, salt, gaps(at), gaps(at[twice[a:b]]) if least > 1 else b""))
                 if parts:
-                    k, x, y = zip(*parts, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["slice", "once", "twice"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*parts, strict=True), kinds, strict=True)], names)
         trim()
 
-    def merge(batches):
+    def merged(batches, bitmaps: bool):
+        """(slice, counts up to 2) of each slice, from gaps or from bitmaps."""
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, once, twice in zip(*batch.columns, strict=True):
+            for k, once, twice in zip(*(batch.column(c) for c in ("slice", "once", "twice")), strict=True):
                 count = held.setdefault(k.as_py(), np.zeros(SLICE, np.uint8))
                 for part in (once, twice):
-                    at = ungaps(part.as_buffer())
-                    count[at] = np.minimum(count[at] + 1, 2)
-        for k, count in held.items():
+                    if bitmaps:
+                        count += np.unpackbits(np.frombuffer(part.as_buffer(), np.uint8))
+                        np.minimum(count, 2, out=count)
+                    else:
+                        at = ungaps(part.as_buffer())
+                        count[at] = np.minimum(count[at] + 1, 2)
+        yield from held.items()
+
+    def merge_gaps(batches):
+        for k, count in merged(batches, False):
+            arrays = [pa.array([x], t) for x, t in zip((k, 0, np.packbits(count > 0).tobytes(), np.packbits(count > 1).tobytes()), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+        trim()
+
+    def merge(batches):
+        for k, count in merged(batches, spread > 1):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(count >= least).tobytes()], pa.binary())], ["slice", "bits"])
-        held = None
         trim()
 
-    n = -(-ROWS * width // SLICE)
-    parts = min(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    merged = docs.mapInArrow(local, "slice int, once binary, twice binary").repartition(parts, "slice").mapInArrow(merge, "slice int, bits binary")
+    names, kinds = ["slice", "salt", "once", "twice"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    touched = "slice int, salt int, once binary, twice binary"
+    n, most = -(-ROWS * width // SLICE), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.mapInArrow(local, touched)
+    if spread > 1:
+        rows = rows.repartition(min(n * spread, most), "slice", "salt").mapInArrow(merge_gaps, touched)
     bits = np.zeros(n * SLICE // 8, np.uint8)
     # Saved first: read straight from the plan, an iterator would merge one partition after the other.
-    merged = saved(merged, "sketch")
-    for r in merged.toLocalIterator():
+    table = saved(rows.repartition(min(n, most), "slice").mapInArrow(merge, "slice int, bits binary"), "sketch")
+    for r in table.toLocalIterator():
         bits[r.slice * (SLICE // 8) : (r.slice + 1) * (SLICE // 8)] = np.frombuffer(r.bits, np.uint8)
-    dropped(merged)
+    dropped(table)
     return bits.tobytes()
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernel import SPACED, U, Words, mix, row_blocks, windows, with_columns
-from .sketch import COUNTERS_PER_BYTE, MAX_BYTES, counter_bits, passing, rows_of, width_for
+from .sketch import COUNTERS_PER_BYTE, MAX_BYTES, counter_bits, passing, rows_of, size_for
 from .tables import released, saved
 
 WINDOW = 20
@@ -56,9 +56,9 @@ def window_blocks(batches, size: int):
             yield whole[inside], inside, words, h, block
 
 
-def sketch(docs: DataFrame, size: int, width: int) -> bytes:
+def sketch(docs: DataFrame, size: int, width: int, spread: int = 1) -> bytes:
     """The bits of counters that are two or more, over all windows of `docs` (doc, text)."""
-    return counter_bits(docs, lambda batches: (x[0] for x in window_blocks(batches, size)), width)
+    return counter_bits(docs, lambda batches: (x[0] for x in window_blocks(batches, size)), width, spread=spread)
 
 
 def suspects(batches, size: int, width: int, bits: bytes, chunk: int):
@@ -113,8 +113,8 @@ def occurrences(docs: DataFrame, size: int, width: int, bits) -> DataFrame:
 
 def marks(docs: DataFrame, size: int = WINDOW, counters_per_byte: float = COUNTERS_PER_BYTE, max_sketch_bytes: int = MAX_BYTES) -> DataFrame:
     """doc and runs (start << 32 | number of starts) of the windows of `docs` (doc, text) that also start earlier; saved."""
-    width = width_for(docs, counters_per_byte, max_sketch_bytes)
-    bits = docs.sparkSession.sparkContext.broadcast(sketch(docs, size, width))
+    width, spread = size_for(docs, counters_per_byte, max_sketch_bytes)
+    bits = docs.sparkSession.sparkContext.broadcast(sketch(docs, size, width, spread))
     rows = occurrences(docs, size, width, bits)
     high, start = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit(0x7FFFFFFF).cast("long"))
     known = F.col("h").bitwiseAND(F.lit(1).cast("long")) == 1

@@ -147,7 +147,9 @@ def test_gap_code():
 def test_sketch_never_underestimates(spark, docs):
     part = docs.select(F.col("doc_id").alias("doc"), "text")
     width = sketch.SLICE // 2
-    bits = np.frombuffer(substring_dedup.sketch(part, 20, width), np.uint8)
+    whole = substring_dedup.sketch(part, 20, width)
+    assert all(substring_dedup.sketch(part, 20, width, spread) == whole for spread in (2, 3))  # merged in two steps
+    bits = np.frombuffer(whole, np.uint8)
     h = []
     for _, data, offsets in substring_dedup.row_blocks(part.toArrow().to_batches(), "text"):
         w = substring_dedup.Words(data, offsets, substring_dedup.SPACED)
@@ -160,6 +162,17 @@ def test_sketch_never_underestimates(spark, docs):
         assert ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all()
 
 
+def test_sketch_sizes(spark):
+    """Counters follow the text up to their bound; beyond it more tasks merge a slice first."""
+    texts = lambda n: spark.range(1).select(F.repeat(F.lit("x" * 1000), n).alias("text"))
+    assert sketch.size_for(texts(1)) == (sketch.SLICE // 2, 1)
+    width, spread = sketch.size_for(texts(20_000))
+    assert width == 7_000_000 and spread == 1
+    width, spread = sketch.size_for(texts(20_000), max_bytes=1 << 20, merged_bytes=1 << 20)
+    assert width == 8 * (1 << 20) // 2 and spread == 4
+    assert sketch.size_for(spark.range(0).select(F.lit("x").alias("text"))) == (sketch.SLICE // 2, 1)
+
+
 # Jaccard join
 
 

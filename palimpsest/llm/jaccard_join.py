@@ -21,9 +21,12 @@ nothing: a set that shares less than about the linking part of its shingles with
 Candidates. Sets that share a signature are joined to one of them, not paired: each task keeps one row a signature, the
 shuffle brings together at most one row a task, and each gets an edge to the first. Components of these edges hold all
 possible links. They are verified exactly, with sets compared within blocks of about `block` members and at most
-`block_shingles` shingles (or one longer set) by matrix product; larger components are dealt as pairs of blocks. Only a
-spanning forest of the links of a block pair leaves the task, so neither candidates nor links are ever written out as pairs.
-The exact comparison of a component of m different sets costs m * m / block rows read; equal sets count once.
+`block_shingles` shingles (or one longer set) by matrix product. Only a spanning forest of the links of a pair of blocks leaves
+the task, so neither candidates nor links are ever written out as pairs. A component of up to `few` blocks is dealt as all pairs
+of its blocks. In a larger one all blocks are first compared with one of them and each within itself, two rows a member; members
+that this connects need not be compared again. Families so found get blocks of their own, and only pairs of blocks that are not
+of one family follow. So a large group of near copies costs rows in proportion to its size, times the blocks of members that it
+does not connect; equal sets count once.
 
 Defined results: null, empty or blank text has an empty set, size 0, and is its own component. Fewer than 3 words are one
 shingle. A null doc_id stays null and its document links with nothing. Repeated doc_ids link like their texts and share
@@ -37,7 +40,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -241,8 +244,21 @@ def forest(sets: list[np.ndarray], percent: int, cut: int | None = None, columns
     return out
 
 
-def verified_edges(members: DataFrame, percent: int, size: int) -> DataFrame:
-    """u, v of links in each group, of rows (comp, a, b, side, doc, text): those of block a and of block b of a component."""
+def dealt(rows: DataFrame, others) -> DataFrame:
+    """`rows` (comp, own, doc, text) once for each pair of their block `own` and one of the array `others`."""
+    pairs = rows.select("comp", "doc", "text", "own", F.explode(others).alias("other"))
+    side = (F.col("own") > F.col("other")).cast("int").alias("side")
+    return pairs.select("comp", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), side, "doc", "text")
+
+
+def numbers(first, end):
+    """The integers from `first` to before `end`, as an array."""
+    return F.when(first < end, F.sequence(first, end - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def verified_edges(members: DataFrame, percent: int, size: int, whole: bool = False) -> DataFrame:
+    """u, v of links in each group, of rows (comp, a, b, side, doc, text): those of block a and of block b of a component. With
+    `whole`, links within the two blocks count as well."""
 
     def check(batches):
         group, held, total = None, [], 0
@@ -256,7 +272,7 @@ def verified_edges(members: DataFrame, percent: int, size: int) -> DataFrame:
                     cut = len(docs)
                 docs.append(doc)
                 sets.append(s)
-            within = group[1] == group[2]
+            within = whole or group[1] == group[2]
             edges = forest(sets, percent, None if within else (len(docs) if cut is None else cut)) if len(docs) > 1 else []
             held, total = [], 0
             if edges:
@@ -278,7 +294,36 @@ def verified_edges(members: DataFrame, percent: int, size: int) -> DataFrame:
     return members.repartition(parts, "comp", "a", "b").sortWithinPartitions("comp", "a", "b").mapInArrow(check, "u long, v long").distinct()
 
 
-def join(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 90, size: int = SHINGLE, block: int = 96, block_shingles: int = 1 << 19) -> DataFrame:
+def linked(docs: DataFrame, members: DataFrame, percent: int, size: int, block: int, block_shingles: int, few: int) -> DataFrame:
+    """u, v: links enough to connect what is connected, among `members` (doc, comp, n) of each comp."""
+    n_blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).cast("int")
+    within = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
+    sized = members.join(members.groupBy("comp").agg(n_blocks.alias("blocks")), "comp").withColumn("own", within(F.col("blocks")))
+    large = saved(sized.where(F.col("blocks") > few), "large")
+    # Most texts are in no component; a bounded filter keeps them out of the shuffle.
+    texts = rows_of(docs, "doc", members.select("doc"), members.count())[0].select("doc", "text")
+    pairs = dealt(sized.where(F.col("blocks") <= few).join(texts, "doc"), numbers(F.lit(0), F.col("blocks")))
+    if large.isEmpty():
+        return verified_edges(pairs, percent, size)
+    texts = saved(large.select("doc").join(texts, "doc"), "texts")
+    others = F.when(F.col("own") == 0, numbers(F.lit(1), F.col("blocks"))).otherwise(F.array(F.lit(0)))
+    first = saved(verified_edges(dealt(large.join(texts, "doc"), others), percent, size, whole=True), "links")
+    found = components(first).select(F.col("node").alias("doc"), "component")
+    large = saved(large.drop("own", "blocks").join(found, "doc", "left").withColumn("label", F.coalesce("component", "doc")), "labelled")
+    family = large.groupBy("comp", "label").agg(F.count("*").alias("m")).select("comp", "label", (F.col("m") >= block).alias("pure"))
+    family = family.withColumn("family", F.when(F.col("pure"), F.col("label")).otherwise(0))
+    named = large.join(family, ["comp", "label"]).select("comp", "doc", "n", "pure", "family")
+    key, w = ["comp", "pure", "family"], Window.partitionBy("comp")
+    kinds = named.groupBy(*key).agg(n_blocks.alias("blocks"))
+    before = F.coalesce(F.sum("blocks").over(w.orderBy("pure", "family").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kinds = kinds.select(*key, "blocks", before.cast("int").alias("first"), F.sum("blocks").over(w).cast("int").alias("total"))
+    rows = named.join(kinds, key).join(texts, "doc").withColumn("own", F.col("first") + within(F.col("blocks")))
+    others = F.concat(numbers(F.lit(0), F.col("first")), numbers(F.col("first") + F.col("blocks"), F.col("total")))
+    others = F.when(F.col("pure"), others).otherwise(numbers(F.lit(0), F.col("total")))
+    return verified_edges(pairs.unionByName(dealt(rows, others)), percent, size).unionByName(first)
+
+
+def join(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 90, size: int = SHINGLE, block: int = 96, block_shingles: int = 1 << 19, few: int = 6) -> DataFrame:
     """id, n_shingles, class_id (least id of an equal set) and component_id (least id reachable by links)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
@@ -301,13 +346,8 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int =
     comps = saved(components(candidate_edges(docs.where("doc IS NOT NULL"), percent, size, width, bits)), "comps")
     released(bits)
     members = saved(classes.join(comps.select(F.col("node").alias("d1"), F.col("component").alias("comp")), "d1").select(F.col("class_id").alias("doc"), "comp", "n"), "members")
-    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).cast("int")
-    dealt = members.join(members.groupBy("comp").agg(blocks.alias("blocks")), "comp").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    # Most texts are in no component; a bounded filter keeps them out of the shuffle.
-    texts = dealt.join(rows_of(docs, "doc", members.select("doc"), members.count())[0], "doc")
-    pairs = texts.select("comp", "doc", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.select("comp", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc", "text")
-    groups = saved(components(verified_edges(pairs, percent, size)), "groups")
+    links = linked(docs, members, percent, size, block, block_shingles, few)
+    groups = saved(components(links), "groups")
     dropped(comps, members)
     groups = groups.select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
     of = classes.join(groups, "class_id", "left").select("d1", "d2", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))

@@ -213,14 +213,66 @@ def edited(seed, percent):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize(("percent", "n", "block"), [(90, 3, 192), (90, 3, 3), (80, 5, 4)])
-def test_jaccard_components(spark, percent, n, block, monkeypatch):
+@pytest.mark.parametrize(("percent", "n", "block", "few"), [(90, 3, 192, 6), (90, 3, 3, 6), (80, 5, 4, 1), (90, 3, 2, 1)])
+def test_jaccard_components(spark, percent, n, block, few, monkeypatch):
     monkeypatch.setattr(jaccard_join, "CHUNK", 500)
     rows = edited(percent + block, percent)
-    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), percent=percent, size=n, block=block)
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), percent=percent, size=n, block=block, few=few)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, percent, n)
 
 
+def chained(seed):
+    """One component of candidates at 80 %: two families of near copies, a chain of texts between them of which each links with its
+    neighbours alone, and texts that share most with a family and link with none."""
+    r = random.Random(seed)
+    word = lambda: f"w{r.randrange(10**6)}"
+    base, out = [word() for _ in range(120)], []
+    far = base[:60] + [word() for _ in range(60)]
+    for source in (base, far):
+        for _ in range(40):
+            w = list(source)
+            w[r.randrange(len(w))] = word()
+            out.append(w)
+    step = list(base)
+    for k in range(60, 120, 3):
+        step = step[:k] + far[k : k + 3] + step[k + 3 :]
+        out.append(step)
+    for _ in range(12):
+        w = list(base)
+        for k in r.sample(range(120), 9):
+            w[k] = word()
+        out.append(w)
+    r.shuffle(out)
+    return [(k, " ".join(w)) for k, w in enumerate(out)]
+
+
+@pytest.mark.parametrize(("block", "few"), [(4, 1), (8, 2), (16, 3)])
+def test_large_components_are_compared_family_by_family(spark, block, few, monkeypatch):
+    """The same components as by brute force; and families are not compared with themselves again."""
+    rows, seen = chained(block), []
+    whole = jaccard_join.verified_edges
+
+    monkeypatch.setattr(jaccard_join, "verified_edges", lambda m, *a, **b: seen.append(m.count()) or whole(m, *a, **b))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard_join.join(df, percent=80, size=3, block=block, few=few)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, 80, 3)
+    assert len(seen) == 2
+
+
+def test_a_family_of_near_copies_costs_rows_in_proportion(spark, monkeypatch):
+    r = random.Random(2)
+    base = [f"w{r.randrange(10**6)}" for _ in range(80)]
+    rows, seen = [], []
+    for k in range(600):
+        w = list(base)
+        w[r.randrange(80)] = f"e{k}"
+        rows.append((k, " ".join(w)))
+    whole = jaccard_join.verified_edges
+    monkeypatch.setattr(jaccard_join, "verified_edges", lambda m, *a, **b: seen.append(m.count()) or whole(m, *a, **b))
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), percent=80, size=3, block=10, few=2).collect()
+    assert {x.component_id for x in got} == {0} and sum(seen) < 3 * 600
+
+
 def test_jaccard_of_odd_rows(spark, docs, texts, empty):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(docs).collect()}
     assert got == brute_components([(10 * k + 3, t) for k, t in enumerate(texts)], 90, 3)

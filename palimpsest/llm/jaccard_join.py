@@ -294,8 +294,8 @@ def verified_edges(members: DataFrame, percent: int, size: int, whole: bool = Fa
     return members.repartition(parts, "comp", "a", "b").sortWithinPartitions("comp", "a", "b").mapInArrow(check, "u long, v long").distinct()
 
 
-def linked(docs: DataFrame, members: DataFrame, percent: int, size: int, block: int, block_shingles: int, few: int) -> DataFrame:
-    """u, v: links enough to connect what is connected, among `members` (doc, comp, n) of each comp."""
+def linked(docs: DataFrame, members: DataFrame, percent: int, size: int, block: int, block_shingles: int, few: int) -> tuple[DataFrame, list[DataFrame]]:
+    """u, v: links enough to connect what is connected, among `members` (doc, comp, n) of each comp; and the tables it reads."""
     n_blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).cast("int")
     within = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
     sized = members.join(members.groupBy("comp").agg(n_blocks.alias("blocks")), "comp").withColumn("own", within(F.col("blocks")))
@@ -304,15 +304,15 @@ def linked(docs: DataFrame, members: DataFrame, percent: int, size: int, block:
     texts = rows_of(docs, "doc", members.select("doc"), members.count())[0].select("doc", "text")
     pairs = dealt(sized.where(F.col("blocks") <= few).join(texts, "doc"), numbers(F.lit(0), F.col("blocks")))
     if large.isEmpty():
-        return verified_edges(pairs, percent, size)
+        return verified_edges(pairs, percent, size), [large]
     texts = saved(large.select("doc").join(texts, "doc"), "texts")
     others = F.when(F.col("own") == 0, numbers(F.lit(1), F.col("blocks"))).otherwise(F.array(F.lit(0)))
     first = saved(verified_edges(dealt(large.join(texts, "doc"), others), percent, size, whole=True), "links")
     found = components(first).select(F.col("node").alias("doc"), "component")
-    large = saved(large.drop("own", "blocks").join(found, "doc", "left").withColumn("label", F.coalesce("component", "doc")), "labelled")
-    family = large.groupBy("comp", "label").agg(F.count("*").alias("m")).select("comp", "label", (F.col("m") >= block).alias("pure"))
+    labelled = saved(large.drop("own", "blocks").join(found, "doc", "left").withColumn("label", F.coalesce("component", "doc")), "labelled")
+    family = labelled.groupBy("comp", "label").agg(F.count("*").alias("m")).select("comp", "label", (F.col("m") >= block).alias("pure"))
     family = family.withColumn("family", F.when(F.col("pure"), F.col("label")).otherwise(0))
-    named = large.join(family, ["comp", "label"]).select("comp", "doc", "n", "pure", "family")
+    named = labelled.join(family, ["comp", "label"]).select("comp", "doc", "n", "pure", "family")
     key, w = ["comp", "pure", "family"], Window.partitionBy("comp")
     kinds = named.groupBy(*key).agg(n_blocks.alias("blocks"))
     before = F.coalesce(F.sum("blocks").over(w.orderBy("pure", "family").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -320,7 +320,8 @@ def linked(docs: DataFrame, members: DataFrame, percent: int, size: int, block:
     rows = named.join(kinds, key).join(texts, "doc").withColumn("own", F.col("first") + within(F.col("blocks")))
     others = F.concat(numbers(F.lit(0), F.col("first")), numbers(F.col("first") + F.col("blocks"), F.col("total")))
     others = F.when(F.col("pure"), others).otherwise(numbers(F.lit(0), F.col("total")))
-    return verified_edges(pairs.unionByName(dealt(rows, others)), percent, size).unionByName(first)
+    edges = verified_edges(pairs.unionByName(dealt(rows, others)), percent, size)
+    return edges.unionByName(first), [large, texts, first, labelled]
 
 
 def join(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 90, size: int = SHINGLE, block: int = 96, block_shingles: int = 1 << 19, few: int = 6) -> DataFrame:
@@ -346,9 +347,9 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int =
     comps = saved(components(candidate_edges(docs.where("doc IS NOT NULL"), percent, size, width, bits)), "comps")
     released(bits)
     members = saved(classes.join(comps.select(F.col("node").alias("d1"), F.col("component").alias("comp")), "d1").select(F.col("class_id").alias("doc"), "comp", "n"), "members")
-    links = linked(docs, members, percent, size, block, block_shingles, few)
+    links, read = linked(docs, members, percent, size, block, block_shingles, few)
     groups = saved(components(links), "groups")
-    dropped(comps, members)
+    dropped(comps, members, *read)
     groups = groups.select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
     of = classes.join(groups, "class_id", "left").select("d1", "d2", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
     out = sized.join(of, ["d1", "d2"], "left")

@@ -19,7 +19,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     A round moves every edge towards the least node seen around it; the number of rounds grows with the logarithm of
     the longest chain. Hubs are safe: the minimum is aggregated before the shuffle and the join can split a hub's rows.
     """
-    now = saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    # Rows are two longs: an eighth of the shuffle's partitions, and so of the files, is plenty for a table a round.
+    files = max(1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    kept = lambda df: saved(df.distinct().coalesce(files), "edges")
+    now = kept(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     state = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,7 +30,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        then = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        then = kept(small.unionByName(least.select("u", F.col("m").alias("v"))))
         before, now = now, then
         dropped(before)
         told = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()

@@ -153,11 +153,9 @@ def _blocks_of(items: DataFrame, size: int, max_block_bytes: int):
     yield Grams(held, size)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, max_block_bytes: int = 8 << 20, blocks_a_pass: int = 4) -> DataFrame:
-    """`docs` with n_words, hit_spans (merged word intervals that windows cover) and item_ids (strings, sorted).
-
-    The driver builds one block of the benchmark at a time and holds those of one pass.
-    """
+def _marked(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, max_block_bytes: int = 8 << 20, blocks_a_pass: int = 4) -> DataFrame:
+    """`docs` with its columns numbered (c0 and so on), and FIELDS. The driver builds one block of the benchmark at a time and
+    holds those of one pass."""
     context = docs.sparkSession.sparkContext
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("t"))
     names = docs.columns
@@ -169,9 +167,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
             released(*shared)
             shared = []
         shared.append(context.broadcast(grams))
-    out = _scan(out, column, shared)
+    return _scan(out, column, shared)
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """`docs` with n_words, hit_spans (merged word intervals that windows cover) and item_ids (strings, sorted)."""
     new = [f.name for f in FIELDS]
-    return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names) if c not in new), *new)
+    marked = _marked(docs, benchmark, text, **options)
+    return marked.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns) if c not in new), *new)
 
 
 def n_hit() -> F.Column:
@@ -183,20 +186,21 @@ def contaminated() -> F.Column:
     return (n_hit() > 0) & (20 * n_hit() >= F.col("n_words"))
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def remove_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The clean rows of `docs`, with its columns in its order."""
-    marked = scan(docs.select(F.struct("*").alias("row"), F.col(options.pop("text", "text")).alias("text")), benchmark, **options)
-    return marked.where(~contaminated()).select("row.*")
+    clean = _marked(docs, benchmark, text, **options).where(~contaminated())
+    return clean.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """`docs` with the hit words cut out of the text, each cut leaving one space; other bytes stay as they are."""
-    marked = scan(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")), benchmark, **options)
+    place = docs.columns.index(text)
+    marked = _marked(docs, benchmark, text, **options)
 
     def make():
         def block(batch, data, offsets):
             words, out = Words(data, offsets, ALNUM_FOLDED), []
-            for row, (value, spans) in enumerate(zip(batch.column("text").to_pylist(), batch.column("hit_spans").to_pylist(), strict=True)):
+            for row, (value, spans) in enumerate(zip(batch.column(f"c{place}").to_pylist(), batch.column("hit_spans").to_pylist(), strict=True)):
                 if spans:
                     raw, base, first = value.encode(), int(offsets[row]), int(words.firsts[row])
                     for s in reversed(spans):
@@ -207,8 +211,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **op
 
         return block
 
-    cut = with_columns(marked, "text", [T.StructField("cut", T.StringType())], make)
-    return cut.select(*(F.col("cut").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    cut = with_columns(marked, f"c{place}", [T.StructField("cut", T.StringType())], make)
+    return cut.select(*(F.col("cut" if c == text else f"c{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 def op1_decontaminate(spark, sf_dir):

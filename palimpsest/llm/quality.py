@@ -21,7 +21,7 @@ Scale: two narrow passes over the text. The first counts, and gathers the n-gram
 Defined results: a null or empty text has log weight 0 and is judged by the odds of that; repeated rows, equal texts of one id
 and all rows of null ids share a draw; ties at the cut are all kept; of several texts of one labelled id, calibration reads one.
 Without labels of both kinds, in either part, every document has log odds 0 and all are kept. An empty table gives an
-empty one. Columns may have any names: they are carried in one struct.
+empty one. Columns may have any names.
 """
 
 from __future__ import annotations
@@ -223,10 +223,15 @@ def resample(
         return block
 
     fields = [T.StructField("log_weight", T.DoubleType()), T.StructField("n_words", T.LongType()), T.StructField("log_odds", T.DoubleType())]
-    carried = F.struct(*(F.col(f"`{c}`") for c in columns)) if columns else F.struct("*")
-    rows = docs.select(carried.alias("__row"), noise(F.col(id), seed).alias("__noise"), F.col(text).alias("text"))
-    keyed = with_columns(rows, "text", fields, make, needed=["__row", "__noise"]).withColumn("key", _sortable(F.col("log_odds") / temperature + F.col("__noise")))
-    keyed = saved(keyed.drop("__noise"), "keys", narrow=columns is not None)
+    names = columns or docs.columns
+    place = {c: f"c{k}" for k, c in enumerate(names)}
+    other = [] if text in place else [F.col(text).alias("text")]
+    # The text goes to Python once, as one of the columns, and into the struct after that.
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in place.items()), noise(F.col(id), seed).alias("noise"), *other)
+    scored = with_columns(rows, place.get(text, "text"), fields, make, needed=[*place.values(), "noise"])
+    key = _sortable(F.col("log_odds") / temperature + F.col("noise")).alias("key")
+    row = F.struct(*(F.col(n).alias(c) for c, n in place.items())).alias("__row")
+    keyed = saved(scored.select(row, "log_weight", "n_words", "log_odds", key), "keys", narrow=columns is not None)
     released(shared)
     if not odds.line.any():
         return keyed.drop("key").withColumn("selected", F.lit(True))

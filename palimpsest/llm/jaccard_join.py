@@ -14,7 +14,8 @@ a twelfth of the pairs is left out, those with few or no elements, which many se
 A signature covers 10 or more shingles of a long set at 90 %, and 5 at 80 %. No scheme that misses nothing can have many more:
 differences may lie anywhere, and the number of signatures grows exponentially with what each covers.
 
-A count-min sketch of all shingles tells which may be repeated (never too few). An element that no other set has is a
+A count-min sketch of all shingles tells which may be repeated (never too few); beyond what `max_sketch_bytes` can count,
+shingles are counted in a shuffle and the sketch holds the repeated ones alone. An element that no other set has is a
 difference to each of them, so a set with more than k such elements, a part with more than 2 and a pair with any emit
 nothing: a set that shares less than about the linking part of its shingles with the rest of the corpus has no signatures.
 
@@ -46,8 +47,8 @@ from pyspark.sql import types as T
 
 from .components import components
 from .kernel import SPACED_FOLDED, U, Words, mix, row_blocks, with_columns
-from .sketch import counter_bits, passing, rows_of, size_for
-from .tables import dropped, released, saved
+from .sketch import Repeats, rows_of
+from .tables import dropped, released, saved, swept
 
 SHINGLE, CELLS = 3, 4
 CHUNK = 1 << 20
@@ -148,14 +149,14 @@ def _star(s: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _distinct(node[~new], centre[~new])
 
 
-def repeated_shingles(docs: DataFrame, size: int, width: int, spread: int = 1) -> bytes:
-    """The bits of counters that are two or more, over each text's distinct shingles."""
-    return counter_bits(docs.select("text"), lambda batches: (shingles(data, offsets, size)[1] for _, data, offsets in row_blocks(batches, "text")), width, spread=spread)
+def repeated_shingles(docs: DataFrame, size: int, max_bytes: int | None = None) -> Repeats:
+    """Which shingles more than one text may have, over each text's distinct ones."""
+    return Repeats(docs.select("text"), lambda batches: (shingles(data, offsets, size)[1] for _, data, offsets in row_blocks(batches, "text")), max_bytes)
 
 
-def candidate_edges(docs: DataFrame, percent: int, size: int, width: int, bits) -> DataFrame:
+def candidate_edges(docs: DataFrame, percent: int, size: int, repeated) -> DataFrame:
     """u, v: digests of sets that may link, as stars. A chunk's own edges pass through the shuffle under a null signature.
-    `bits`: a broadcast of repeated_shingles."""
+    `repeated`: a broadcast of repeated_shingles."""
 
     def local(batches):
         held, n = [], 0
@@ -174,7 +175,7 @@ def candidate_edges(docs: DataFrame, percent: int, size: int, width: int, bits)
         for block, data, offsets in row_blocks(batches, "text"):
             rows, value = shingles(data, offsets, size)
             first, _ = digests(rows, value, block.num_rows)
-            s, row = signatures(rows, value, block.num_rows, percent, passing(bits.value, value, width))
+            s, row = signatures(rows, value, block.num_rows, percent, repeated.value.passes(value))
             if len(s):
                 held.append((s, first[row]))
                 n += len(s)
@@ -324,7 +325,7 @@ def linked(docs: DataFrame, members: DataFrame, percent: int, size: int, block:
     return edges.unionByName(first), [large, texts, first, labelled]
 
 
-def join(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 90, size: int = SHINGLE, block: int = 96, block_shingles: int = 1 << 19, few: int = 6) -> DataFrame:
+def join(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 90, size: int = SHINGLE, block: int = 96, block_shingles: int = 1 << 19, few: int = 6, max_sketch_bytes: int | None = None) -> DataFrame:
     """id, n_shingles, class_id (least id of an equal set) and component_id (least id reachable by links)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
@@ -342,10 +343,14 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int =
     sized = saved(with_columns(docs, "text", fields, make, needed=["doc"]), "sets", narrow=True)
     linkable = sized.where("doc IS NOT NULL AND n_shingles > 0")
     classes = saved(linkable.groupBy("d1", "d2").agg(F.min("doc").alias("class_id"), F.max("n_shingles").alias("n")), "classes")
-    width, spread = size_for(docs)
-    bits = spark.sparkContext.broadcast(repeated_shingles(docs, size, width, spread))
-    comps = saved(components(candidate_edges(docs.where("doc IS NOT NULL"), percent, size, width, bits)), "comps")
-    released(bits)
+    found = repeated_shingles(docs, size, max_sketch_bytes)
+    large, repeated = found.sparse is not None, spark.sparkContext.broadcast(found)
+    if large:
+        swept(spark)
+    comps = saved(components(candidate_edges(docs.where("doc IS NOT NULL"), percent, size, repeated)), "comps")
+    released(repeated)
+    if large:
+        swept(spark)
     members = saved(classes.join(comps.select(F.col("node").alias("d1"), F.col("component").alias("comp")), "d1").select(F.col("class_id").alias("doc"), "comp", "n"), "members")
     links, read = linked(docs, members, percent, size, block, block_shingles, few)
     groups = saved(components(links), "groups")

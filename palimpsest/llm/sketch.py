@@ -3,6 +3,9 @@
 Each task counts its hashes in chunks, one row of counters after the other, and emits the counters it touched as byte-coded
 gaps, cut into slices; slices are merged by addition where they meet, and kept as one bit a counter: `least` or more.
 Estimates are never too low. A task holds a chunk of hashes and one row's counters of it; a merging task a few slices.
+
+Where so many counters would be too large to broadcast, hashes are counted in far more counters, which no task holds: each
+chunk sends the numbers of those it touched, and only the numbers met again go into the broadcast, as a filter of ids.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from .tables import dropped, saved
 SLICE, CHUNK = 1 << 22, 1 << 20
 ROWS = 2
 COUNTERS_PER_BYTE, MAX_BYTES = 0.35, 96 << 20
+SPARSE_SLICE_BITS, SPARSE_PER_BYTE = 24, 4
 
 
 def gaps(index: np.ndarray) -> bytes:
@@ -42,7 +46,14 @@ def ungaps(data: bytes) -> np.ndarray:
 def size_for(docs: DataFrame, counters_per_byte: float = COUNTERS_PER_BYTE, max_bytes: int = MAX_BYTES, merged_bytes: int = 64 << 20) -> tuple[int, int]:
     """(counters a row, spread) for the texts of `docs`. `max_bytes` of bits bound the broadcast; with so many first mergers a
     slice, each reads about `merged_bytes`, as a byte of text costs about 0.4 bytes of gaps."""
-    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return size_of(bytes_of(docs), counters_per_byte, max_bytes, merged_bytes)
+
+
+def bytes_of(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def size_of(n_bytes: int, counters_per_byte: float, max_bytes: int, merged_bytes: int = 64 << 20) -> tuple[int, int]:
     width = bounded_width(n_bytes * counters_per_byte, max_bytes)
     slices = -(-ROWS * width // SLICE)
     return width, max(1, -(-int(0.4 * n_bytes) // (slices * merged_bytes)))
@@ -152,6 +163,55 @@ def counter_bits(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], I
     return bits.tobytes()
 
 
+def sparse_counters(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], bits: int) -> DataFrame:
+    """counter: the numbers of the counters that are two or more, of 2**`bits` that count hashes by their first bits.
+
+    A touched counter is three bytes in the shuffle; a merging task holds those of one slice, however many slices there are.
+    """
+
+    def local(batches):
+        for h in chunked(hashes(batches)):
+            at = h >> U(64 - bits)
+            at.sort()
+            few = np.ones(len(at), bool)
+            few[2:] = at[2:] != at[:-2]  # two tell as much as more
+            at = at[few]
+            part = (at >> U(SPARSE_SLICE_BITS)).astype(np.int64)
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            data = np.ascontiguousarray(at.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3])
+            ends = np.append(first, len(at)).astype(np.int32) * 3
+            blobs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([pa.array(part[first]), blobs], ["slice", "counters"])
+        trim()
+
+    def met_again(held, number):
+        data = np.concatenate(held).reshape(-1, 3)
+        at = data[:, 0] | data[:, 1].astype(np.uint32) << 8 | data[:, 2].astype(np.uint32) << 16
+        at.sort()
+        again = np.unique(at[1:][at[1:] == at[:-1]]).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(again | number << SPARSE_SLICE_BITS)], ["counter"])
+
+    def merge(batches):
+        held, number = [], None
+        for batch in batches:
+            part, blobs = batch.column("slice").to_numpy(), batch.column("counters")
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+            for a, b in zip(first, [*first[1:], len(part)], strict=True):
+                if held and part[a] != number:
+                    yield met_again(held, number)
+                    held = []
+                number = part[a]
+                held += [np.frombuffer(x.as_buffer(), np.uint8).copy() for x in blobs[a:b]]
+        if held:
+            yield met_again(held, number)
+        trim()
+
+    # A merging task's counters go on in chunks: a quarter of the usual tasks fills them better.
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+    rows = docs.mapInArrow(local, "slice long, counters binary")
+    return rows.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(merge, "counter long")
+
+
 class IdFilter:
     """A Bloom filter of long ids, as a sketch of counters of one or more: never misses one, passes few others. `max_bytes` bounds it."""
 
@@ -164,6 +224,28 @@ class IdFilter:
         return passing(self.bits, mix(ids.astype(np.int64).view(U)), self.width)
 
 
+class Repeats:
+    """Which 64-bit hashes of `docs` may occur more than once: never misses one. `max_bytes` bounds the broadcast.
+
+    Up to max_bytes * 4 / COUNTERS_PER_BYTE bytes of text the bits are of the counters themselves; beyond that a filter of the
+    sparse counters that are two or more, so that hashes that occur once don't fill it.
+    """
+
+    def __init__(self, docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], max_bytes: int | None = None):
+        n_bytes, max_bytes = bytes_of(docs), max_bytes or MAX_BYTES
+        self.width, spread = size_of(n_bytes, COUNTERS_PER_BYTE, max_bytes)
+        self.sparse = None
+        if n_bytes * COUNTERS_PER_BYTE <= max_bytes * 8 / ROWS:
+            self.bits = counter_bits(docs, hashes, self.width, spread=spread)
+            return
+        number = min(62, max(1, (SPARSE_PER_BYTE * n_bytes - 1).bit_length()))
+        self.sparse = IdFilter(sparse_counters(docs, hashes, number), max_bytes, max_bytes)
+        self.shift = 64 - number
+
+    def passes(self, h: np.ndarray) -> np.ndarray:
+        return passing(self.bits, h, self.width) if self.sparse is None else self.sparse.passes(h >> U(self.shift))
+
+
 def rows_of(df: DataFrame, id: str, ids: DataFrame, n: int, max_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame | None]:
     """`df` in two: rows whose long `id` is among the `n` of `ids` (one column) and few others, for the map side of a join;
     and the rest, surely not among them. Where a filter of `max_bytes` has less than two bits an id, it would spare little:

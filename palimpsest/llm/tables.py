@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.broadcast import Broadcast
@@ -55,3 +56,9 @@ def released(*broadcasts: Broadcast) -> None:
     """Free the executors' copies of what saved tables no longer need. The driver keeps its own, so a late task still finds it."""
     for b in broadcasts:
         b.unpersist()
+
+
+def swept(spark: SparkSession) -> None:
+    """Shuffle files of plans that are done go now; Spark's cleaner waits until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()

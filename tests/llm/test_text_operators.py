@@ -173,6 +173,20 @@ def test_sketch_sizes(spark):
     assert sketch.size_for(spark.range(0).select(F.lit("x").alias("text"))) == (sketch.SLICE // 2, 1)
 
 
+def test_repeats_of_more_hashes_than_counters(spark, monkeypatch):
+    """Beyond the bound of the broadcast, hashes that occur once must not fill it: with half a counter a hash, counters of all of
+    them would pass three in four."""
+    monkeypatch.setattr(sketch, "CHUNK", 5000)
+    r = np.random.default_rng(3)
+    once, again = r.integers(0, 1 << 63, 100_000).astype(np.uint64) * np.uint64(2), r.integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2)
+    rows = [(x.tobytes().hex(),) for x in np.array_split(np.concatenate([once, again, again[::-1]]), 40)]
+    docs = spark.createDataFrame(rows, "text string").repartition(3)
+    found = sketch.Repeats(docs, lambda batches: (np.frombuffer(bytes.fromhex(t), np.uint64) for b in batches for t in b.column("text").to_pylist()), max_bytes=12_500)
+    assert found.sparse.width == 50_000
+    assert found.passes(again).all() and found.passes(once).mean() < 0.1
+    assert not sketch.Repeats(docs.where("false"), lambda batches: iter(()), max_bytes=12_500).passes(once).any()
+
+
 # Jaccard join
 
 
@@ -221,6 +235,14 @@ def test_jaccard_components(spark, percent, n, block, few, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, percent, n)
 
 
+@pytest.mark.parametrize(("percent", "n"), [(80, 5), (90, 3)])
+def test_jaccard_beyond_the_bound_of_the_sketch(spark, percent, n, monkeypatch):
+    monkeypatch.setattr(sketch, "CHUNK", 500)
+    rows = edited(percent, percent) + [(1_000_000, None), (1_000_001, ""), (1_000_002, "x")]
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), percent=percent, size=n, max_sketch_bytes=2000)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, percent, n)
+
+
 def chained(seed):
     """One component of candidates at 80 %: two families of near copies, a chain of texts between them of which each links with its
     neighbours alone, and texts that share most with a family and link with none."""

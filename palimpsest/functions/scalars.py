@@ -75,11 +75,11 @@ def valid_tag_name(name: Column | str) -> Column:
     return valid_repo_name(name) & ~col(name).isin(".", "..")
 
 
-def human_size(n: Column | str) -> Column:
-    """Bytes in units of 1000 with one decimal from kB on."""
+def human_size(n: Column | str, units: tuple[str, ...] = ("kB", "MB", "GB", "TB")) -> Column:
+    """Bytes in units of 1000 with one decimal from kB on; the last of `units` has no bound."""
     n = col(n)
     out = F.concat(n.cast("string"), F.lit(" B"))
-    for k, unit in enumerate(("kB", "MB", "GB", "TB"), 1):
+    for k, unit in enumerate(units, 1):
         tenths = F.floor(n / (1000**k / 10)).cast("bigint")
         out = F.when(n >= 1000**k, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))).otherwise(out)
     return out

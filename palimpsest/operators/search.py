@@ -93,10 +93,10 @@ def stats(snapshot_files: DataFrame) -> DataFrame:
     return snapshot_files.groupBy("snapshot_id").agg(F.count("*").alias("count"), F.sum("size").alias("size"))
 
 
-def log_rows(snapshots: DataFrame, counts: DataFrame) -> DataFrame:
-    """Log rows: a snapshot with its numbers and how they are shown."""
+def log_rows(snapshots: DataFrame, counts: DataFrame, **options) -> DataFrame:
+    """Log rows: a snapshot with its numbers and how they are shown. `options` are those of human_size."""
     rows = snapshots.join(counts, "snapshot_id", "left").na.fill(0, ["count", "size"])
-    return rows.select("snapshot_id", "memo", "created", shown_time("created").alias("created_text"), "count", "size", human_size("size").alias("size_text"))
+    return rows.select("snapshot_id", "memo", "created", shown_time("created").alias("created_text"), "count", "size", human_size("size", **options).alias("size_text"))
 
 
 def tag_log(refs: DataFrame, logs: DataFrame, cloud_logs: DataFrame | None = None) -> DataFrame:

@@ -41,6 +41,20 @@ def test_against_sql(spark, duck, name):
     assert sorted((tuple(shown(x[i]) for i in at) for x in r.fetchall()), key=repr) == rows
 
 
+@pytest.mark.parametrize("name", ["snapshot_log"])
+def test_logs_of_large_snapshots_against_sql(spark, tmp_path, name):
+    """Snapshots of more than a megabyte."""
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT * REPLACE (event_type || repeat('v', 20000) AS event_type) FROM '{SF}/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    df = registry.QUERIES[name](spark, str(tmp_path))
+    r = c.execute(registry.ORACLE_SQL[name])
+    at = [[d[0] for d in r.description].index(x) for x in df.columns]
+    want = sorted((tuple(x[i] for i in at) for x in r.fetchall()), key=repr)
+    assert max(x[df.columns.index("n_bytes")] for x in want) > 1_000_000
+    assert sorted(map(tuple, df.collect()), key=repr) == want
+
+
 def decide(b, l, c):
     """The merge rules, row by row: versions are None or (content, updated)."""
 

@@ -160,24 +160,25 @@ def row_blocks(batches: Iterator[pa.RecordBatch], text: str, size: int = BLOCK_B
     trim()
 
 
-def with_columns(df: DataFrame, text: str, fields: list[StructField], make: Callable[[], Callable], needed: list[str] | None = None, size: int = BLOCK_BYTES) -> DataFrame:
+def with_columns(df: DataFrame, text: str, fields: list[StructField], make: Callable[[], Callable], needed: list[str] | None = None, size: int = BLOCK_BYTES, only: Callable | None = None) -> DataFrame:
     """`df`'s columns (or `needed`) and new ones, computed in Arrow blocks. A column of `df` that has a new one's name gives way.
 
-    `make()` runs once in each task and returns f(block, data, offsets) -> the new columns as Arrow arrays.
+    `make()` runs once in each task and returns f(block, data, offsets) -> the new columns as Arrow arrays. `only` maps the batches
+    to those of the rows to keep in the same worker: a second mapInArrow in the stage would take another worker for each task.
     """
     new = StructType(fields)
     used = [c for c in (needed if needed is not None else df.columns) if c not in new.names]
     names = list(dict.fromkeys([*used, text]))
     # Numbered names on the way: a column may have a dot or a space in its name.
     source = df.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)))
-    place = names.index(text)
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema, f = to_arrow_schema(out), make()
-        for block, data, offsets in row_blocks(batches, f"c{place}", size):
-            made = f(block.rename_columns(names), data, offsets)
+        batches = (b.rename_columns(names) for b in batches)
+        for block, data, offsets in row_blocks(only(batches) if only else batches, text, size):
+            made = f(block, data, offsets)
             arrays = [pa.array(x, t.type) if not isinstance(x, pa.Array) else x.cast(t.type) for x, t in zip(made, list(schema)[len(used) :], strict=True)]
             yield pa.RecordBatch.from_arrays([*block.columns[: len(used)], *arrays], schema=schema)
 

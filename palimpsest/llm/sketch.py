@@ -246,15 +246,14 @@ class Repeats:
         return passing(self.bits, h, self.width) if self.sparse is None else self.sparse.passes(h >> U(self.shift))
 
 
-def rows_of(df: DataFrame, id: str, ids: DataFrame, n: int, max_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame | None]:
-    """`df` in two: rows whose long `id` is among the `n` of `ids` (one column) and few others, for the map side of a join;
-    and the rest, surely not among them. Where a filter of `max_bytes` has less than two bits an id, it would spare little:
-    then all rows are in the first part and the rest is None."""
+def sieve_of(spark, ids: DataFrame, n: int, max_bytes: int = 32 << 20) -> Callable[[str, bool], Callable] | None:
+    """part(id, wanted): a map of Arrow batches to their rows whose long `id` is among the `n` of `ids` (one column) and few others,
+    or to the rest, surely not among them. None where a filter of `max_bytes` has less than two bits an id: it would spare little."""
     if 2 * n > 8 * max_bytes:
-        return df, None
-    sieve = df.sparkSession.sparkContext.broadcast(IdFilter(ids, n, max_bytes))
+        return None
+    sieve = spark.sparkContext.broadcast(IdFilter(ids, n, max_bytes))
 
-    def part(wanted: bool):
+    def part(id: str, wanted: bool):
         def keep(batches):
             for batch in batches:
                 column = batch.column(id)
@@ -262,6 +261,14 @@ def rows_of(df: DataFrame, id: str, ids: DataFrame, n: int, max_bytes: int = 32
                 yield batch.filter(pa.array(passed == wanted))
             trim()
 
-        return df.mapInArrow(keep, df.schema)
+        return keep
+
+    return part
 
-    return part(True), part(False)
+
+def rows_of(df: DataFrame, id: str, ids: DataFrame, n: int, max_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame | None]:
+    """`df` in two by `sieve_of`, for the map side of a join; without a sieve all rows are in the first part and the rest is None."""
+    part = sieve_of(df.sparkSession, ids, n, max_bytes)
+    if part is None:
+        return df, None
+    return df.mapInArrow(part(id, True), df.schema), df.mapInArrow(part(id, False), df.schema)

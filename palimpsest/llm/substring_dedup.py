@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import SPACED, U, Words, mix, row_blocks, windows, with_columns
-from .sketch import COUNTERS_PER_BYTE, MAX_BYTES, counter_bits, passing, rows_of, size_for
+from .kernel import SPACED, U, Words, mix, row_blocks, trim, windows, with_columns
+from .sketch import COUNTERS_PER_BYTE, MAX_BYTES, counter_bits, passing, sieve_of, size_for
 from .tables import released, saved
 
 WINDOW = 20
@@ -75,11 +75,55 @@ def suspects(batches, size: int, width: int, bits: bytes, chunk: int):
         held.append((whole[keep] & ~U(1), other, docs, (inside - words.firsts[rows]).astype(np.int32)))
         n += len(keep)
         if n >= chunk:
-            joined = [np.concatenate(x) for x in zip(*held, strict=True)]
-            held, n = [], 0
-            yield joined
+            yield _joined(held)
+            n = 0
     if n:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+        yield _joined(held)
+
+
+def _joined(held: list) -> list[np.ndarray]:
+    """The parts of each column as one array, a column at a time; `held` is empty afterwards."""
+    columns = [list(x) for x in zip(*held, strict=True)]
+    held.clear()
+    for k, parts in enumerate(columns):
+        columns[k] = np.concatenate(parts)
+        parts.clear()
+    return columns
+
+
+def firsts(chunk: list[np.ndarray]) -> pa.RecordBatch:
+    """ROWs of a chunk of suspects: the earliest occurrence of each window, and runs of the starts of others. `chunk` is used up."""
+    order = np.lexsort(chunk[::-1])
+    for k in range(4):
+        chunk[k] = chunk[k][order]
+    del order
+    h, h2, doc, start = chunk
+    chunk.clear()
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
+    # Equal starts of equal doc_ids are one occurrence.
+    first = np.flatnonzero(new)
+    group = np.repeat(first, np.diff(first, append=len(h)))
+    later = (doc != doc[group]) | (start != start[group])
+    del first, group
+    d, s = doc[later], start[later]
+    h, h2, doc, start = h[new], h2[new], doc[new], start[new]
+    del new, later
+    order = np.lexsort((s, d))
+    d, s = d[order], s[order]
+    del order
+    fresh = np.ones(len(d), bool)
+    fresh[1:] = (d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1)
+    runs = np.flatnonzero(fresh)
+    ends = np.append(runs[1:], len(d)) - 1
+    length = (s[ends] - s[runs] + 1).astype(np.int32) if len(d) else np.zeros(0, np.int32)
+    d, s = d[runs], s[runs]
+    del fresh, runs, ends
+    spread = mix(d.astype(np.int64).view(U) ^ (s.astype(U) << U(40))) | U(1)
+    at = np.concatenate([h2, length]).astype(np.int64)
+    at <<= 32
+    at |= np.concatenate([start, s])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h, spread]).view(np.int64)), pa.array(at), pa.array(np.concatenate([doc, d]))], ROW.names)
 
 
 def occurrences(docs: DataFrame, size: int, width: int, bits) -> DataFrame:
@@ -87,26 +131,8 @@ def occurrences(docs: DataFrame, size: int, width: int, bits) -> DataFrame:
     later ones."""
 
     def find(batches):
-        for h, h2, doc, start in suspects(batches, size, width, bits.value, CHUNK):
-            order = np.lexsort((start, doc, h2, h))
-            h, h2, doc, start = h[order], h2[order], doc[order], start[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
-            # Equal starts of equal doc_ids are one occurrence.
-            group = np.flatnonzero(new)[np.cumsum(new) - 1]
-            later = (doc != doc[group]) | (start != start[group])
-            d, s = doc[later], start[later]
-            order = np.lexsort((s, d))
-            d, s = d[order], s[order]
-            fresh = np.ones(len(d), bool)
-            fresh[1:] = (d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1)
-            runs = np.flatnonzero(fresh)
-            ends = np.append(runs[1:], len(d)) - 1
-            length = (s[ends] - s[runs] + 1).astype(np.int32) if len(d) else np.zeros(0, np.int32)
-            d, s = d[runs], s[runs]
-            spread = mix(d.astype(np.int64).view(U) ^ (s.astype(U) << U(40))) | U(1)
-            at = np.concatenate([h2[new].astype(np.int64), length.astype(np.int64)]) << 32 | np.concatenate([start[new], s]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[new], spread]).view(np.int64)), pa.array(at), pa.array(np.concatenate([doc[new], d]))], ROW.names)
+        yield from map(firsts, suspects(batches, size, width, bits.value, CHUNK))
+        trim()
 
     return docs.mapInArrow(find, ROW)
 
@@ -131,11 +157,12 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = W
     """id, n_words, n_removed, kept_sha256 and, on request, kept_text: the kept words joined by one space."""
     docs = docs.select(F.col(id).alias("id"), F.coalesce(F.col(id), F.lit(KEY)).cast("long").alias("doc"), F.col(text).alias("text"))
     marked = marks(docs.select("doc", "text"), size, **options)
+    docs = docs.withColumn("runs", F.lit(None).cast("array<bigint>"))
     # Only texts that marks may touch are shuffled; a bounded filter of their ids tells.
-    touched, rest = rows_of(docs, "doc", marked.select("doc"), marked.count())
-    found = touched.join(marked, "doc", "left")
-    if rest is not None:
-        found = found.unionByName(rest.withColumn("runs", F.lit(None).cast("array<bigint>")))
+    part = sieve_of(docs.sparkSession, marked.select("doc"), marked.count())
+    touched = docs.drop("runs")
+    if part is not None:
+        touched = touched.mapInArrow(part("doc", True), touched.schema)
 
     def make():
         def block(batch, data, offsets):
@@ -159,7 +186,12 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = W
         return block
 
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())]
-    return with_columns(found, "text", fields[: 3 + with_text], make, needed=["id", "runs"]).drop("runs").withColumnRenamed("id", id)
+    def made(rows, only=None):
+        return with_columns(rows, "text", fields[: 3 + with_text], make, needed=["id", "doc", "runs"], only=only).drop("doc", "runs").withColumnRenamed("id", id)
+
+    # By a shuffle even if there are few marks: over a broadcast, the filter and the digests would be two maps of one stage.
+    out = made(touched.join(marked.hint("merge"), "doc", "left"))
+    return out if part is None else out.unionByName(made(docs, part("doc", False)))
 
 
 def op2_substring_dedup(spark, sf_dir):

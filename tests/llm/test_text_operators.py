@@ -137,6 +137,46 @@ def test_substrings_of_odd_rows(spark, docs, empty):
     assert got == [(False, 0), (True, 30), (True, 30)]
 
 
+def maps_a_task(plan) -> int:
+    """The most Arrow maps that a task of any stage of a plan runs over each other; each takes a Python worker of its own."""
+    most = 0
+
+    def walk(node):
+        nonlocal most
+        below = node.children()
+        n = max((walk(below.apply(k)) for k in range(below.size())), default=0)
+        n = 0 if "Exchange" in node.nodeName() else n + (node.nodeName() == "MapInArrow")
+        most = max(most, n)
+        return n
+
+    walk(plan.initialPlan() if "Adaptive" in plan.nodeName() else plan)
+    return most
+
+
+def test_substrings_take_one_worker_a_task(docs, texts, monkeypatch):
+    assert maps_a_task(substring_dedup.dedup(docs)._jdf.queryExecution().executedPlan()) == 1
+    monkeypatch.setattr(substring_dedup, "sieve_of", lambda *a: None, raising=False)  # as with more marks than it has bits for
+    got = substring_dedup.dedup(docs)
+    assert maps_a_task(got._jdf.queryExecution().executedPlan()) == 1
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()}
+    assert got == brute_substrings([(10 * k + 3, t) for k, t in enumerate(texts)])
+
+
+def test_substring_tasks_leave_no_memory(monkeypatch):
+    """Workers outlive their tasks: when memory is given back at the end, a task must hold nothing of its chunks any more."""
+    held, width = [], 1 << 20
+    for module in (kernel, substring_dedup):
+        monkeypatch.setattr(module, "trim", lambda: held.append(tracemalloc.get_traced_memory()[0]), raising=False)
+    bits = type("Bits", (), {"value": b"\xff" * (2 * width // 8)})
+    find = substring_dedup.occurrences(type("Docs", (), {"mapInArrow": staticmethod(lambda f, schema: f)}), 20, width, bits)
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(20)), "text": [" ".join(map(str, range(k * 10_000, (k + 1) * 10_000))) for k in range(20)]})
+    assert sum(b.num_rows for b in find(iter([batch]))) == 20 * (10_000 - 19)
+    tracemalloc.start()
+    collections.deque(find(iter([batch])), maxlen=0)
+    tracemalloc.stop()
+    assert held[-1] < 1 << 20
+
+
 def test_gap_code():
     r = np.random.default_rng(1)
     for n in (0, 1, 5000):
